@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["series"]
+_PARTS = ["series", "ingest"]
 
 
 def _merge(kind: str, attribute: str) -> dict:
