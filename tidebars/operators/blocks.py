@@ -56,10 +56,11 @@ def blocked(
     ts: str = TS,
     step: int | None = None,
     rows: int = ROWS,
+    total: str | None = None,
 ) -> DataFrame:
     """Add the block number, the 1-based row number in the series and the own-row mark.
 
-    Every block holds at least ``back`` earlier and ``fwd`` later rows of the series where these
+    ``total`` names a further column for the number of rows in the series. Every block holds at least ``back`` earlier and ``fwd`` later rows of the series where these
     exist. Times must be unique in a series, which bars are by their key.
     """
     if max(back, fwd) + FINE > rows:
@@ -69,6 +70,7 @@ def blocked(
     sliced = df.withColumn("_fine", time_bucket(FINE, keys, ts, step))
     counts = sliced.groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    length = [F.sum(cnt).over(Window.partitionBy(*keys)).alias(total)] if total else []
     cuts = (
         counts.withColumn("_off", F.coalesce(F.sum(cnt).over(before), F.lit(0)))
         .withColumn("_mine", F.floor(off / rows).cast("long"))
@@ -77,6 +79,7 @@ def blocked(
             "_fine",
             "_off",
             "_mine",
+            *length,
             F.array_compact(F.array(
                 own,
                 F.when(((own + 1) * rows - (off + cnt)) < back, own + 1),
@@ -144,14 +147,18 @@ def carry_last(
     ts: str = TS,
     step: int | None = None,
     bars: int = ROWS,
+    order: str | None = None,
 ) -> DataFrame:
-    """Last non-null value up to and including each row: ``columns`` maps source to output name."""
-    part = "_slice"
-    w = Window.partitionBy(*keys, part).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    """Last non-null value up to and including each row: ``columns`` maps source to output name.
+
+    ``order`` names a finer order than ``ts`` where times repeat within a series.
+    """
+    part, order = "_slice", order or ts
+    w = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn(part, time_bucket(bars, keys, ts, step)).withColumns(
         {f"_l_{c}": F.last(c, ignorenulls=True).over(w) for c in columns}
     )
-    out = hand_on(local, {f"_l_{c}": name for c, name in columns.items()}, keys, part, ts)
+    out = hand_on(local, {f"_l_{c}": name for c, name in columns.items()}, keys, part, order)
     return out.drop(part, *[f"_l_{c}" for c in columns])
 
 

@@ -14,6 +14,7 @@ from tidebars.operators.blocks import (
     BLOCK, HALO, OWN, ROW, block_window, blocked, carry_last, decay_scan, hand_on, own_rows, run_stages,
 )
 from tidebars.schema import SERIES
+from tidebars.session import materialize
 
 Stages = list[dict[str, Column]]
 SETTLED = 600  # rows after which a Wilder average no longer depends on what came before (q^600 < 1e-19)
@@ -192,7 +193,8 @@ def rolling_volatility(df: DataFrame, window: int = 20) -> DataFrame:
     value of the rows before. So the returns that exist form a series of their own.
     """
     name = f"rolling_volatility_{window}"
-    returns = own_rows(run_stages(blocked(df, back=1), return_stages()[:1])).drop("return_5bar", "return_12bar")
+    step = [{"return_1bar": return_stages()[0]["return_1bar"]}]
+    returns = materialize(own_rows(run_stages(blocked(df, back=1), step)))  # used three times below
     real = returns.filter(F.col("return_1bar").isNotNull()).select(*SERIES, "ts", "return_1bar")
     spread = own_rows(blocked(real, back=window).withColumn(
         "_vol", F.when(F.col(ROW) >= window, F.stddev_pop("return_1bar").over(_tail(window)))
@@ -236,7 +238,7 @@ def _directional(df: DataFrame, period: int) -> DataFrame:
 
 def adx(df: DataFrame, period: int = 14, name: str = "adx_14") -> DataFrame:
     """Average directional index: Wilder smoothing of DX over the rows that have a DX."""
-    dx = _directional(df, period)
+    dx = materialize(_directional(df, period))  # used three times below
     rows = blocked(dx.filter(F.col("dx").isNotNull()), back=HALO)
     q, gain = (period - 1) / period, 1 / period
     stages: Stages = [

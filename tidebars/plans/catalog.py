@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["series", "ingest"]
+_PARTS = ["series", "ingest", "cross", "model"]
 
 
 def _merge(kind: str, attribute: str) -> dict:
