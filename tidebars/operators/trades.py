@@ -26,10 +26,10 @@ def holding_table(horizon: int) -> list[list[int]]:
 
 
 def signal_rule(probability_long: Column, probability_short: Column, threshold: float = 0.55) -> tuple[Column, Column]:
-    """(direction, confidence): NEUTRAL unless the stronger side is above the threshold."""
+    """(direction, confidence): neutral unless the stronger side is above the threshold."""
     best = F.greatest(probability_long, probability_short)
-    side = F.when(probability_long >= probability_short, "LONG").otherwise("SHORT")
-    return F.when(best <= threshold, "NEUTRAL").otherwise(side), F.when(best <= threshold, 0.0).otherwise(best)
+    side = F.when(probability_long >= probability_short, "long").otherwise("short")
+    return F.when(best <= threshold, "neutral").otherwise(side), F.when(best <= threshold, 0.0).otherwise(best)
 
 
 def replay(
@@ -57,14 +57,14 @@ def replay(
         "_exit": F.last("close").over(ahead), "_exit_ts": F.last("ts").over(ahead),
         "_held": (F.count(F.lit(1)).over(ahead) - 1).cast("int"), "_ok": eligible,
     }))
-    active = F.col(direction).isin("LONG", "SHORT") & F.col("_ok") & (F.col("_entry") > 0)
+    active = F.col(direction).isin("long", "short") & F.col("_ok") & (F.col("_entry") > 0)
     coded = priced.withColumn("_code", F.coalesce(active.cast("int"), F.lit(0)))
     run = run_automaton(coded, "_code", holding_table(horizon), keys, name="_left", rows=block_rows)
     flat = F.greatest(F.col("_left") - 1, F.lit(0)) == 0
     checked = run.filter(flat & F.col("_ok"))
     entry, leave = F.col("_entry"), F.col("_exit")
     cost = F.lit(float(spread)) / F.nullif(entry, F.lit(0.0))
-    gain = F.when(F.col(direction) == "LONG", (leave - entry) / F.nullif(entry, F.lit(0.0))).otherwise(
+    gain = F.when(F.col(direction) == "long", (leave - entry) / F.nullif(entry, F.lit(0.0))).otherwise(
         (entry - leave) / F.nullif(entry, F.lit(0.0)))
     trades = run.filter(flat & (F.col("_code") == 1)).select(
         *keys, F.col("ts").alias("signal_ts"), F.col(direction).alias("direction"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["series", "ingest", "cross", "model"]
+_PARTS = ["series", "ingest", "cross", "model", "agent"]
 
 
 def _merge(kind: str, attribute: str) -> dict:

@@ -179,7 +179,7 @@ def transition_report(spark: SparkSession, folder: str) -> DataFrame:
 def _signals(spark: SparkSession, folder: str, timeframe: str) -> DataFrame:
     """A contrarian rule: long after a drop over five bars, short after a rise."""
     bars = ind.log_returns(event_bars(spark, folder, timeframe))
-    side = F.when(F.col("return_5bar") < -1, "LONG").when(F.col("return_5bar") > 1, "SHORT").otherwise("NEUTRAL")
+    side = F.when(F.col("return_5bar") < -1, "long").when(F.col("return_5bar") > 1, "short").otherwise("neutral")
     regime = F.when(F.col("volume") > 2, "high_vol_trend").otherwise("ranging")
     return bars.withColumns({"direction": side, "regime_state": regime})
 

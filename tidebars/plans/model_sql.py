@@ -105,7 +105,7 @@ st AS (
 def _trades(bars: str, horizon: int, spread: str, gate: str) -> str:
     """Bar by bar: how many bars are left to hold before and after each bar."""
     return f"""{bars}, {_LR},
-sg AS (SELECT symbol, ts, rn, open, close, volume, CASE WHEN r5 < -1 THEN 'LONG' WHEN r5 > 1 THEN 'SHORT' END AS side,
+sg AS (SELECT symbol, ts, rn, open, close, volume, CASE WHEN r5 < -1 THEN 'long' WHEN r5 > 1 THEN 'short' END AS side,
   lead(open) OVER {_W} AS nopen, lead(ts) OVER {_W} AS nts, max(rn) OVER (PARTITION BY symbol) AS last_rn FROM rt),
 cd AS (SELECT *, side IS NOT NULL AND nopen > 0 AND {gate} AS cand FROM sg),
 hold AS (
@@ -116,7 +116,7 @@ hold AS (
 tr AS (
   SELECT e.symbol, e.side AS direction, e.nts AS entry_ts, e.nopen AS entry_price, x.ts AS exit_ts, x.close AS exit_price,
     CAST(x.rn - e.rn AS INTEGER) AS bars_held, CASE WHEN e.volume > 2 THEN 'high_vol_trend' ELSE 'ranging' END AS regime_state,
-    100 * ((CASE WHEN e.side = 'LONG' THEN x.close - e.nopen ELSE e.nopen - x.close END) / e.nopen - {spread} / e.nopen) AS pnl_pct
+    100 * ((CASE WHEN e.side = 'long' THEN x.close - e.nopen ELSE e.nopen - x.close END) / e.nopen - {spread} / e.nopen) AS pnl_pct
   FROM hold h JOIN cd e ON e.symbol = h.symbol AND e.rn = h.rn
     JOIN cd x ON x.symbol = e.symbol AND x.rn = least(e.rn + {horizon}, e.last_rn) WHERE h.entered)"""
 
