@@ -28,7 +28,7 @@ def holding_table(horizon: int) -> list[list[int]]:
 def signal_rule(probability_long: Column, probability_short: Column, threshold: float = 0.55) -> tuple[Column, Column]:
     """(direction, confidence): neutral unless the stronger side is above the threshold."""
     best = F.greatest(probability_long, probability_short)
-    side = F.when(probability_long >= probability_short, "long").otherwise("short")
+    side = F.when(probability_long > probability_short, "long").otherwise("short")
     return F.when(best <= threshold, "neutral").otherwise(side), F.when(best <= threshold, 0.0).otherwise(best)
 
 

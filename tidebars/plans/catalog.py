@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["series", "ingest", "cross", "model", "agent"]
+_PARTS = ["series", "ingest", "cross", "model", "agent", "learn"]
 
 
 def _merge(kind: str, attribute: str) -> dict:
