@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_PARTS = ["series", "ingest", "cross", "model", "agent", "learn"]
+_PARTS = ["series", "ingest", "cross", "model", "agent", "learn", "stream"]
 
 
 def _merge(kind: str, attribute: str) -> dict:

@@ -1 +1 @@
-
+"""Structured Streaming versions of resampling, features, regimes and signals."""
