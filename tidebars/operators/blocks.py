@@ -82,8 +82,8 @@ def blocked(
             *length,
             F.array_compact(F.array(
                 own,
-                F.when(((own + 1) * rows - (off + cnt)) < back, own + 1),
-                F.when((own > 0) & (off - own * rows - (FINE - 1) < fwd), own - 1),
+                *([F.when(((own + 1) * rows - (off + cnt)) < back, own + 1)] if back else []),
+                *([F.when((own > 0) & (off - own * rows - (FINE - 1) < fwd), own - 1)] if fwd else []),
             )).alias("_blks"),
         )
     )

@@ -100,6 +100,8 @@ class _Stats:
 def _follow(group: pd.DataFrame, logs: np.ndarray, ts: str) -> pd.DataFrame:
     """Scores of a block's own rows, with the statistics before the first and after the last of them."""
     group = group.sort_values(ts, kind="stable")
+    if group[OWN].any():  # nothing after the last own row may enter
+        group = group.iloc[: np.flatnonzero(group[OWN])[-1] + 1]
     values = np.stack([np.asarray(v, float) for v in group["_vec"]])
     values[:, logs] = np.log(np.maximum(values[:, logs], 1e-10))
     times, own = group[ts].to_numpy(), group[OWN].to_numpy()
