@@ -90,11 +90,12 @@ def geometric_index(
 def coverage(bars: DataFrame, index: DataFrame, symbols: Sequence[str], low: float = 50.0, high: float = 150.0
              ) -> DataFrame:
     """How much of the component bars the index uses, and whether its closes stay in the expected range."""
-    total = bars.filter(F.col("symbol").isin(*symbols)).agg(F.count(F.lit(1)).alias("total_bars"))
-    stats = index.agg(
-        F.count(F.lit(1)).alias("index_bars"), F.min("close").alias("min_close"), F.max("close").alias("max_close"),
-        F.avg("close").alias("avg_close"))
-    return total.crossJoin(stats).withColumns({  # one row each
+    used = bars.filter(F.col("symbol").isin(*symbols)).select(F.lit(1).alias("part"), F.lit(None).cast("double").alias("c"))
+    both = used.unionByName(index.select(F.lit(0).alias("part"), F.col("close").alias("c")))
+    return both.agg(
+        F.count_if(F.col("part") == 1).alias("total_bars"), F.count_if(F.col("part") == 0).alias("index_bars"),
+        F.min("c").alias("min_close"), F.max("c").alias("max_close"), F.avg("c").alias("avg_close"),
+    ).withColumns({
         "coverage": F.try_divide(F.col("index_bars") * len(symbols), F.col("total_bars")),
         "out_of_range": (F.col("min_close") < low) | (F.col("max_close") > high),
     })

@@ -88,12 +88,13 @@ def fit_scaler(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 def apply_scaler(rows: DataFrame, scaler: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Standardize ``columns``; the scaler has one row per column and group."""
-    wide = scaler.groupBy(*keys).agg(F.map_from_entries(
+    one = F.lit(1).alias("_one")
+    wide = scaler.groupBy(*keys, one).agg(F.map_from_entries(
         F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("_scaler"))
-    joined = rows.join(wide, list(keys)) if keys else rows.crossJoin(F.broadcast(wide))  # a single row
+    joined = rows.select("*", one).join(wide, [*keys, "_one"])
     return joined.withColumns({
         c: (F.col(c).cast("double") - F.col("_scaler")[c]["mean"]) / F.col("_scaler")[c]["scale"] for c in columns
-    }).drop("_scaler")
+    }).drop("_scaler", "_one")
 
 
 def save_scaler(scaler: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from tidebars.schema import BARS, SYMBOL_SPECS, SYMBOLS
 
 PRICES = ("open", "high", "low", "close")
 EXACT = T.DecimalType(38, 12)
+_NUMBERS = [f"_{c}" for c in (*PRICES, "volume")]
 REJECT_TYPE = "struct<field:string,rule:string,value:string>"
 
 
@@ -26,16 +27,16 @@ def _first(failures: Sequence[Column]) -> Column:
     return F.coalesce(*failures, F.lit(None).cast(REJECT_TYPE))
 
 
-def exact(field: str) -> Column:
-    """A raw text field as a decimal; null when absent or not a number."""
-    return F.col(field).try_cast(EXACT)
+def number(field: str) -> Column:
+    """The number in a raw text field, read once per row by ``check_bars``; null when there is none."""
+    return F.col(f"_{field}")
 
 
 def _readable(field: str) -> list[Column]:
     raw = F.col(field)
     return [
         _fail(raw.isNull(), field, "not_none", raw),
-        _fail(raw.isNotNull() & exact(field).isNull(), field, "decimal_conversion", raw),
+        _fail(raw.isNotNull() & number(field).isNull(), field, "decimal_conversion", raw),
     ]
 
 
@@ -80,7 +81,7 @@ def price_bounds(specs: dict[str, tuple[str, float, float]] = SYMBOL_SPECS) -> R
         listed = F.col("symbol").isin(*specs)
         failures = []
         for p in PRICES:
-            outside = (exact(p) < bound(1).cast(EXACT)) | (exact(p) > bound(2).cast(EXACT))
+            outside = (number(p) < bound(1)) | (number(p) > bound(2))
             failures += [F.when(listed, f) for f in _readable(p)]
             failures.append(_fail(listed & outside, p, "price_bounds", F.col(p)))
         return _first(failures)
@@ -90,7 +91,7 @@ def price_bounds(specs: dict[str, tuple[str, float, float]] = SYMBOL_SPECS) -> R
 
 def ohlc_consistency() -> Rule:
     def check(now: Column) -> Column:
-        o, h, l, c = (exact(p) for p in PRICES)
+        o, h, l, c = (number(p) for p in PRICES)
         name = "ohlc_consistency"
         return _first([
             *[f for p in ("open", "high", "low", "close") for f in _readable(p)],
@@ -106,8 +107,8 @@ def volume_non_negative() -> Rule:
     def check(now: Column) -> Column:
         v = F.col("volume")
         return _first([
-            _fail(v.isNotNull() & exact("volume").isNull(), "volume", "decimal_conversion", v),
-            _fail(exact("volume") < 0, "volume", "volume_non_negative", v),
+            _fail(v.isNotNull() & number("volume").isNull(), "volume", "decimal_conversion", v),
+            _fail(number("volume") < 0, "volume", "volume_non_negative", v),
         ])
 
     return Rule("volume_non_negative", check)
@@ -136,10 +137,14 @@ def check_bars(
         "symbol": F.upper(given("symbol", default_symbol)),
         "timeframe": given("timeframe", default_timeframe),
     })
+    # A decimal decides what counts as a number; comparing is left to doubles. The explode of one struct
+    # keeps the optimizer from copying the casts into each of the many places that refer to them.
+    numbers = F.struct(*[F.col(c).try_cast(EXACT).cast("double").alias(f"_{c}") for c in (*PRICES, "volume")])
+    filled = filled.select("*", F.explode(F.array(numbers)).alias("_n")).select(*filled.columns, "_n.*")
     # what the bar itself insists on, whichever rules are chosen
     built_in = [
-        *[_fail(exact(p).isNull(), p, "decimal_conversion", F.col(p)) for p in PRICES],
-        _fail(F.col("volume").isNotNull() & exact("volume").isNull(), "volume", "decimal_conversion", F.col("volume")),
+        *[_fail(number(p).isNull(), p, "decimal_conversion", F.col(p)) for p in PRICES],
+        _fail(F.col("volume").isNotNull() & number("volume").isNull(), "volume", "decimal_conversion", F.col("volume")),
         _fail(F.col("ts").isNull(), "timestamp", "not_none", F.col("ts")),
         _fail(parse_timeframe(F.col("timeframe")).isNull(), "timeframe", "timeframe", F.col("timeframe")),
         ohlc_consistency().check(now),
@@ -153,15 +158,15 @@ def accepted(checked: DataFrame) -> DataFrame:
         "symbol",
         parse_timeframe(F.col("timeframe")).alias("timeframe"),
         "ts",
-        *[F.col(p).try_cast("double").alias(p) for p in PRICES],
-        F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)).alias("volume"),
+        *[number(p).alias(p) for p in PRICES],
+        F.coalesce(number("volume"), F.lit(0.0)).alias("volume"),
         F.lit(True).alias("is_complete"),
     ).select(*BARS.fieldNames())
 
 
 def rejected(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("reject").isNotNull()).select(
-        *[c for c in checked.columns if c != "reject"], "reject.field", "reject.rule", "reject.value")
+        *[c for c in checked.columns if c != "reject" and c not in _NUMBERS], "reject.field", "reject.rule", "reject.value")
 
 
 def normalize_bars(raw: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +194,7 @@ def list_symbols() -> list[str]:
 def symbol_config(name: str) -> dict:
     key = name.upper()
     if key not in SYMBOLS:
-        raise ValueError(f"Unknown symbol: {name}. Available: {', '.join(sorted(SYMBOLS))}")
+        raise ValueError(f"no symbol {name}; there are: {', '.join(sorted(SYMBOLS))}")
     return dict(zip(("exchange", "security_type", "currency", "timeframes", "is_tradeable"), SYMBOLS[key]))
 
 

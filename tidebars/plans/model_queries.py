@@ -185,8 +185,8 @@ def _signals(spark: SparkSession, folder: str, timeframe: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(_signals(spark, folder, "5m"), 12, spread=0.3, regime="regime_state",
-                  eligible=F.hour("ts") != 3)[0]
+    return materialize(replay(_signals(spark, folder, "5m"), 12, spread=0.3, regime="regime_state",
+                              eligible=F.hour("ts") != 3)[0])
 
 
 def trades_rule_signal(spark: SparkSession, folder: str) -> DataFrame:

@@ -87,7 +87,7 @@ def rolling_vol(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def momentum(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(ind.momentum(event_bars(spark, folder, "5m")).select("symbol", "ts", "momentum_48"))
+    return rounded(ind.momentum(event_bars(spark, folder, "5m")).select("symbol", "ts", "momentum_48"), 8)
 
 
 def atr_mean(spark: SparkSession, folder: str) -> DataFrame:

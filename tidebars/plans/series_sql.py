@@ -88,7 +88,7 @@ SELECT symbol, ts, {p.r('r1', 'return_1bar')}, {p.r('r5', 'return_5bar')}, {p.r(
     "rolling_vol": f"""WITH {B5}, {p.numbered(extra=p.LAGS)}, {p.VOL20}
 SELECT symbol, ts, {p.r('v', 'rolling_volatility_20')} FROM vol""",
     "momentum": f"""WITH {B5}, {p.numbered(extra=p.LAGS)}, {p.VOL20}
-SELECT symbol, ts, {p.r('m48', 'momentum_48')} FROM rt""",
+SELECT symbol, ts, {p.r('m48', 'momentum_48', 8)} FROM rt""",
     "atr_mean": f"""WITH {B5}, {p.numbered()}, t AS (SELECT *, {p.TR.format('b')} AS tr FROM b)
 SELECT symbol, ts, CASE WHEN rn >= 14 THEN {p.r('avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING)', 'x')[:-5]}
   END AS atr_mean FROM t""",

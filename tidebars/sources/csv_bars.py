@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -43,8 +44,21 @@ class Loaded(NamedTuple):
     stats: DataFrame     # one row
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts a pattern can match: trying a pattern in vain is the dear part."""
+    out = ["^"]
+    for literal, letters, _, other in re.findall(r"'([^']*)'|(([A-Za-z])\3*)|(.)", pattern):
+        if letters.startswith("X"):
+            out.append(r"(Z|[+-]\d{2}:\d{2})" if len(letters) == 3 else r"(Z|[+-]\d{4})")
+        elif letters:
+            out.append(r"\d{4}" if len(letters) == 4 else r"\d{1,2}")
+        else:
+            out.append(re.escape(literal or other))
+    return "".join(out) + "$"
+
+
 def parse_datetime(text: Column, formats: Sequence[str] = DATETIME_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def load_csv(
@@ -57,12 +71,12 @@ def load_csv(
 ) -> Loaded:
     header = spark.read.option("header", True).csv(path).columns
     if not header:
-        raise ValueError(f"CSV file has no header row: {path}")
+        raise ValueError(f"{path} is empty")
     by_name = {name.strip(): name for name in header}
     required = {mapping.datetime, mapping.open, mapping.high, mapping.low, mapping.close}
     missing = required - set(by_name)
     if missing:
-        raise ValueError(f"CSV is missing required columns: {sorted(missing)}. Found columns: {sorted(by_name)}")
+        raise ValueError(f"columns {sorted(missing)} are not in the header of {path}; it has {sorted(by_name)}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     text = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
@@ -79,7 +93,7 @@ def load_csv(
     absent = [F.when(F.col(p).isNull(), F.lit(f"missing field '{p}'")) for p in ("open", "high", "low", "close")]
     rows = rows.withColumn("error", F.coalesce(
         F.when(F.col("ts").isNull(),
-               F.concat(F.lit("Cannot parse datetime '"), F.coalesce("datetime", F.lit("")), F.lit("'"))),
+               F.concat(F.lit("no known date format: "), F.coalesce("datetime", F.lit("")))),
         *absent))
     good = rows.filter(F.col("error").isNull()).select(
         "ts", "open", "high", "low", "close", "volume",
