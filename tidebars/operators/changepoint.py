@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 
 from tidebars.operators.blocks import ROW, block_window, blocked, carry_last, own_rows
 from tidebars.schema import SERIES
+from tidebars.session import spread
 
 # fixed values: segmentation settings
 WINDOW, MIN_SIZE, PENALTY, GRID, RECENT = 100, 10, 3.0, 5, 20
-_BATCH = 128
+_BATCH = 64
 
 
 def segment(x: np.ndarray, min_size: int = MIN_SIZE, penalty: float = PENALTY, grid: int = GRID) -> list[list[int]]:
@@ -31,19 +32,23 @@ def segment(x: np.ndarray, min_size: int = MIN_SIZE, penalty: float = PENALTY, g
     rows, n = x.shape
     dist = (x[:, :, None] - x[:, None, :]) ** 2
     median = np.median(dist[:, *np.triu_indices(n, 1)], axis=1)
-    scaled = dist / np.where(median > 0, median, 1.0)[:, None, None]
-    gram = np.exp(-np.clip(scaled, 1e-2, 1e2))
+    dist /= np.where(median > 0, median, 1.0)[:, None, None]
+    gram = np.exp(-np.clip(dist, 1e-2, 1e2, out=dist))
     gram[:, np.arange(n), np.arange(n)] = 1.0
-    total = np.zeros((rows, n + 1, n + 1))
-    total[:, 1:, 1:] = gram.cumsum(axis=1).cumsum(axis=2)
+    # breaks lie on the grid, so sums over grid cells are all the costs need
+    cells = -(-n // grid)
+    member = (np.arange(n)[:, None] // grid == np.arange(cells)).astype(float)
+    total = np.zeros((rows, cells + 1, cells + 1))
+    total[:, 1:, 1:] = (member.T @ gram @ member).cumsum(axis=1).cumsum(axis=2)
     ends = [k for k in range(grid, n, grid) if k >= min_size] + [n]
     best = {0: np.zeros(rows)}
     came: dict[int, np.ndarray] = {}
     for end in ends:
         options = [t for t in best if end - t >= min_size]
+        e = -(-end // grid)
         costs = np.stack([
             best[t] + penalty + (end - t)
-            - (total[:, end, end] - total[:, t, end] - total[:, end, t] + total[:, t, t]) / (end - t)
+            - (total[:, e, e] - 2 * total[:, t // grid, e] + total[:, t // grid, t // grid]) / (end - t)
             for t in options
         ])
         pick = costs.argmin(axis=0)
@@ -93,9 +98,9 @@ def with_change_points(bars: DataFrame) -> DataFrame:
         blocked(returns.filter(F.col("_r").isNotNull()), back=WINDOW)
         .withColumn("_win", F.when(F.col(ROW) >= 2 * MIN_SIZE, F.collect_list("_r").over(frame)))
     ).select(*SERIES, "ts", "_win")
-    # the segmentation is the dear part: spread it evenly, whatever the blocks look like
-    spread = windows.filter(F.col("_win").isNotNull()).repartition(*SERIES, "ts")
-    points = spread.withColumn("_p", change_points("_win")).select(
+    # the segmentation is the dear part: share it out evenly, whatever the blocks look like
+    shared = spread(windows.filter(F.col("_win").isNotNull()), *SERIES, "ts")
+    points = shared.withColumn("_p", change_points("_win")).select(
         *SERIES, "ts", F.struct(
             F.col("_p").alias("change_points"),
             has_recent_change(F.col("_p"), F.size("_win")).alias("recent_change")).alias("_c"))

@@ -15,14 +15,18 @@ def warmup_complete() -> F.Column:
     return F.col(ROW) >= WARMUP_BARS
 
 
-def compute_features(bars: DataFrame, cross: DataFrame | None = None, positive_prices: bool = False) -> DataFrame:
+def compute_features(bars: DataFrame, cross: DataFrame | None = None, positive_prices: bool | None = None) -> DataFrame:
     """Every indicator, return, session flag and the warm-up mark for all series at once.
 
     ``cross`` holds the cross-asset columns per (symbol, timeframe, ts), see ``crossasset``; without
-    it they are null. Set ``positive_prices`` for bars that passed the price bounds: then volatility
-    needs no look-back over rows without a return and comes out of the same pass.
+    it they are null. Where all closes are above zero every return exists, and volatility comes out of
+    the same pass as the rest; otherwise it needs passes of its own. Say so in ``positive_prices``
+    when it is known (bars that passed the price bounds); by default one scan of the closes finds out.
     """
     narrow = bars.select(*SERIES, "ts", "high", "low", "close")
+    if positive_prices is None:
+        lowest = narrow.agg(F.min("close")).first()[0]
+        positive_prices = lowest is None or lowest > 0
     programs = [
         ind.rsi_stages(14, "rsi_14"), ind.rsi_stages(7, "rsi_7"), ind.macd_stages(), ind.bollinger_stages(),
         ind.atr_stages(), ind.return_stages(), ind.momentum_stages(),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidebars.operators.blocks import block_window, blocked, own_rows, run_stages
 from tidebars.schema import SERIES
+from tidebars.session import spread
 
 # fixed values
 STATE_CYCLE = ("low_vol_trend", "high_vol_trend", "ranging")
@@ -151,7 +152,7 @@ def fit_states(features: DataFrame, states: int = 3, covariance: str = "diag", r
             **{k: got[k].tolist() for k in ("start", "transitions", "means", "covariances")},
         }])
 
-    fits = tasks.groupBy("symbol", "seed").applyInPandas(one, PARAMS)
+    fits = spread(tasks, "symbol", "seed").groupBy("symbol", "seed").applyInPandas(one, PARAMS)
     rank = F.struct("log_likelihood", -F.col("seed"))
     return fits.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "symbol"]), rank)
                                       .alias("_best")).select("symbol", "_best.*")

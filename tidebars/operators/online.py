@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidebars.functions.sessions import session_class
 from tidebars.operators.blocks import BLOCK, OWN, block_window, blocked, own_rows
 from tidebars.schema import FEATURE_COLUMNS
-from tidebars.session import materialize
+from tidebars.session import materialize, spread
 
 # fixed values: how each column is normalized, and the ranges of those rescaled
 PASS, RESCALE, ZSCORE, VOLATILITY, LOG = "passthrough", "rescale", "zscore", "vol_adjust", "log_zscore"
@@ -128,7 +128,7 @@ def _trace(rows: DataFrame, keys: list[str], ts: str, logs: np.ndarray) -> DataF
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"{BLOCK} long", f"`{ts}` timestamp",
                         "_z array<double>", "_begin array<double>", "_end array<double>"])
     narrow = rows.select(*keys, BLOCK, ts, "_vec", OWN, "_given", "_given_ts")
-    return narrow.groupBy(*keys, BLOCK).applyInPandas(lambda g: _follow(g, logs, ts), schema)
+    return spread(narrow, *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(lambda g: _follow(g, logs, ts), schema)
 
 
 def _seams(traced: DataFrame, keys: list[str], ts: str) -> DataFrame:

@@ -35,11 +35,10 @@ def ingest(raw: DataFrame, bars_path: str, rejects_path: str | None = None, targ
 
 
 def build_features(spark: SparkSession, bars_path: str, features_path: str, base: str | None = None,
-                   index: str | None = None, gauge: str | None = None, positive_prices: bool = True) -> DataFrame:
+                   index: str | None = None, gauge: str | None = None, positive_prices: bool | None = None) -> DataFrame:
     """Features of every stored series, with cross-asset columns for ``base``; the stored table.
 
-    Stored bars passed validation; set ``positive_prices`` to False when the rules did not include
-    price bounds.
+    Bars whose rules included price bounds have ``positive_prices``; by default the closes are checked.
     """
     bars = read_table(spark, bars_path, BARS).drop("day")
     cross = cross_asset(bars, base, index, gauge) if base and index and gauge else None

@@ -63,3 +63,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all shuffle partitions, for steps that cost time and not bytes.
+
+    Adaptive execution merges partitions by size, which would leave small but slow inputs (model fits,
+    segmentations) to one task; it does not merge partitions whose number was asked for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
