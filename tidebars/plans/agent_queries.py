@@ -71,6 +71,15 @@ def position_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("episode_id", "step", vector.alias("observation"), "margin_per_lot"), 5)
 
 
+def reward_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Ledger steps next to the market state of the click bars at their time."""
+    market = event_bars(spark, folder, "5m").filter("symbol = 'click'").select(
+        "ts", F.col("high").alias("atr_14"), F.col("low").alias("rsi_14"))
+    out = rw.reward_context(_ledger(spark, folder), market, ACCOUNT)
+    return rounded(out.select("episode_id", "step", "position", "balance", "drawdown_pct", "atr_14", "rsi_14",
+                              "margin_per_lot"), 4)
+
+
 def evaluation_episodes(spark: SparkSession, folder: str) -> DataFrame:
     bars = event_bars(spark, folder, "1h").select(*SERIES, "ts", "close")
     out = lg.episode_rows(bars, lg.evaluation_starts(bars), None)
@@ -119,7 +128,7 @@ def feature_specific_norm(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        account_ledger, rewards_pnl, rewards_risk, rewards_sharpe, position_features, evaluation_episodes,
+        account_ledger, rewards_pnl, rewards_risk, rewards_sharpe, position_features, reward_context, evaluation_episodes,
         training_episodes, random_episodes, online_zscore, online_zscore_sessions, feature_specific_norm,
     )
 }

@@ -101,6 +101,9 @@ SQL = {
   ELSE greatest(-1, least(1, 100 * (b0 * (r - a0) - 0.5 * a0 * (r * r - b0)) / (pow(b0 - a0 * a0, 1.5) + 1e-8))) END''', 'reward', 5)} FROM ab""",
     "position_features": f"""WITH RECURSIVE {_WALK} SELECT {_KEYS},
   [round(x, 5) + 0.0 for x in [atr, rsi, CAST(pos AS DOUBLE), unreal / 10000]] AS observation, {p.r('px', 'margin_per_lot', 5)} FROM led""",
+    "reward_context": f"""WITH RECURSIVE {_WALK} SELECT {_KEYS}, pos AS position, {p.r('bal', 'balance', 4)}, {p.r('dd', 'drawdown_pct', 4)},
+  {p.r('b.high', 'atr_14', 4)}, {p.r('b.low', 'rsi_14', 4)}, {p.r('led.px', 'margin_per_lot', 4)}
+FROM led JOIN l USING (ep, st) LEFT JOIN bars b ON b.ts = l.ts AND b.symbol = 'click'""",
     "evaluation_episodes": f"""WITH {B1} SELECT symbol, ts, CAST(0 AS BIGINT) AS episode_id,
   CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INTEGER) AS step, close FROM bars""",
     "training_episodes": f"""WITH {B5}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos,

@@ -11,11 +11,13 @@ from tidebars.functions.records import from_record, to_record, topic
 from tidebars.operators import validate as v
 from tidebars.operators.features import compute_features
 from tidebars.plans.common import rounded
-from tidebars.schema import FEATURE_COLUMNS
+from tidebars.schema import BARS, FEATURE_COLUMNS
 from tidebars.sources.batches import merge_batches, merge_stats
-from tidebars.sources.csv_bars import parse_datetime
+from tidebars.sources.csv_bars import ColumnMapping, load_csv, parse_datetime
 from tidebars.sources.driver_tables import event_bars, read_table
-from tidebars.sources.tables import export_frame, forget, fresh, latest, range_scan
+from tidebars.sources.tables import export_frame, forget, fresh, latest, range_scan, write_table
+from tidebars.sources.tables import read_table as read_stored
+from tidebars.streaming.replay import scratch
 
 # the events end on 2024-01-30; a fixed "now" keeps time rules repeatable
 NOW = datetime(2024, 1, 25)
@@ -135,6 +137,36 @@ def datetime_formats(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", "ts", F.when(F.col("ts").isNull(), "malformed").otherwise("loaded").alias("outcome"))
 
 
+def csv_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders written as CSV bars with other header names and broken dates, loaded with a column mapping."""
+    day = F.date_format(F.col("o_orderdate").cast("timestamp"), "dd.MM.yyyy HH:mm")
+    price = F.col("o_totalprice")
+    lines = read_table(spark, folder, "orders").select(
+        F.when(F.col("o_orderkey") % 50 == 0, "soon").otherwise(day).alias("Date"), price.alias("Open"),
+        (price + 1).alias("High"), (price - 1).alias("Low"), price.alias("Close"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("Vol"))
+    path = scratch(spark, "csv")
+    lines.write.csv(path, header=True)
+    loaded = load_csv(spark, path, "ORD", "1d", ColumnMapping("Date", "Open", "High", "Low", "Close", "Vol"))
+    quarantine = loaded.rejects.agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("error"))
+    volumes = loaded.bars.agg(F.count("volume").alias("volumes"), F.count_distinct("ts").alias("days"))
+    one = F.lit(1).alias("k")
+    return (
+        loaded.stats.select("*", one).join(quarantine.select("*", one), "k").join(volumes.select("*", one), "k")
+        .select("rows_loaded", "rows_skipped", "start_date", "end_date", "n", "error", "volumes", "days"))
+
+
+def table_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars stored, then corrected and extended by a second batch, twice; read back with a new column."""
+    path = scratch(spark, "table")
+    bars = event_bars(spark, folder, "1h").drop("is_complete")
+    write_table(bars.filter(F.day("ts") <= 20), path)
+    fixed = bars.filter(F.day("ts") >= 15).withColumn("close", F.col("close") + 1)
+    for _ in range(2):
+        write_table(fixed, path)
+    return read_stored(spark, path, BARS).select("symbol", "timeframe", "ts", "close", "volume", "is_complete")
+
+
 def bar_records(spark: SparkSession, folder: str) -> DataFrame:
     """Bars written as JSON records and read back."""
     bars = event_bars(spark, folder, "1h")
@@ -147,6 +179,6 @@ QUERIES = {
     f.__name__: f for f in (
         validate_default, validate_live, validate_historical, normalized_bars, unknown_symbols, null_profile,
         load_summary, dedupe_batches, dedupe_stats, latest_bar, range_scan_series, latest_state, feature_export,
-        datetime_formats, bar_records,
+        datetime_formats, csv_load, table_upsert, bar_records,
     )
 }

@@ -83,6 +83,13 @@ SELECT * FROM l WHERE ts > TIMESTAMP '2024-01-24 23:00:00' AND symbol <> 'click'
         "ts AS timestamp" if c == "timestamp" else c for c in EXPORT_COLUMNS) + " FROM ft"),
     "datetime_formats": """SELECT o_orderkey, CASE WHEN o_orderkey % 12 < 11 THEN o_orderdate END AS ts,
   CASE WHEN o_orderkey % 12 < 11 THEN 'loaded' ELSE 'malformed' END AS outcome FROM orders""",
+    "csv_load": """SELECT count(*) FILTER (WHERE o_orderkey % 50 <> 0) AS rows_loaded, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS rows_skipped,
+  min(o_orderdate) FILTER (WHERE o_orderkey % 50 <> 0) AS start_date, max(o_orderdate) FILTER (WHERE o_orderkey % 50 <> 0) AS end_date,
+  count(*) FILTER (WHERE o_orderkey % 50 = 0) AS n, 'no known date format: soon' AS error,
+  count(*) FILTER (WHERE o_orderkey % 50 <> 0 AND o_orderkey % 3 = 0) AS volumes,
+  count(DISTINCT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END) AS days FROM orders""",
+    "table_upsert": f"""WITH {B1} SELECT symbol, '1h' AS timeframe, ts, CASE WHEN day(ts) >= 15 THEN close + 1 ELSE close END AS close,
+  volume, CAST(NULL AS BOOLEAN) AS is_complete FROM bars""",
     "bar_records": f"""WITH {B1} SELECT concat('bar.', symbol, '.1h') AS topic, symbol, ts, open, high, low, close,
   volume, TRUE AS is_complete FROM bars""",
 }

@@ -12,7 +12,7 @@ from tidebars.operators import performance as pf
 from tidebars.operators import regime as rg
 from tidebars.operators import splits as sp
 from tidebars.operators.changepoint import with_change_points
-from tidebars.operators.trades import replay, replay_grid
+from tidebars.operators.trades import replay, replay_grid, signal_rule
 from tidebars.plans.common import rounded
 from tidebars.schema import SERIES
 from tidebars.session import materialize
@@ -194,6 +194,14 @@ def trades_rule_signal(spark: SparkSession, folder: str) -> DataFrame:
         "symbol", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "bars_held", "pnl_pct", "regime_state"))
 
 
+def signal_rule_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The threshold rule on the place of the close within its bar, as a probability."""
+    bars = event_bars(spark, folder, "1h").filter(F.col("high") > F.col("low"))
+    up = (F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))
+    direction, confidence = signal_rule(up, 1 - up)
+    return rounded(bars.select("symbol", "ts", direction.alias("direction"), confidence.alias("confidence")))
+
+
 def trade_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Trades and summed result for each horizon and spread."""
     grid = replay_grid(_signals(spark, folder, "1h"), [3, 6], [0.0, 0.3, 1.0])
@@ -226,3 +234,4 @@ QUERIES = {
         trade_grid, trade_metrics, metrics_by_regime, metrics_by_direction,
     )
 }
+QUERIES["signal_rule"] = signal_rule_query

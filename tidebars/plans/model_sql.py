@@ -186,6 +186,9 @@ SELECT symbol, ts, {p.r('sd', 'realized_vol')},
 FROM m WHERE n >= 5 AND sd IS NOT NULL""",
     "trades_rule_signal": f"""WITH RECURSIVE {_T5} SELECT symbol, direction, entry_ts, entry_price, exit_ts, exit_price, bars_held,
   {p.r('pnl_pct', 'pnl_pct')}, regime_state FROM tr""",
+    "signal_rule": f"""WITH {B1}, u AS (SELECT symbol, ts, (close - low) / (high - low) AS u FROM bars WHERE high > low)
+SELECT symbol, ts, CASE WHEN greatest(u, 1 - u) <= 0.55 THEN 'neutral' WHEN u > 1 - u THEN 'long' ELSE 'short' END AS direction,
+  {p.r('CASE WHEN greatest(u, 1 - u) <= 0.55 THEN 0 ELSE greatest(u, 1 - u) END', 'confidence')} FROM u""",
     "trade_grid": _grid(),
     "trade_metrics": f"""WITH RECURSIVE {_T5}, {_CALM},
 cu AS (SELECT *, exp(sum(ln(1 + pnl_pct / 100)) OVER (PARTITION BY symbol ORDER BY exit_ts)) AS eq FROM c),

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars.functions.bars import align
 from tidebars.plans.common import rounded
 from tidebars.schema import BARS
 from tidebars.session import prepare
-from tidebars.sources.driver_tables import event_bars, read_table
+from tidebars.sources.driver_tables import event_bars, event_ticks, read_table
 from tidebars.streaming.features import features_stream, regime_stream
 from tidebars.streaming.publish import append_to, as_records, fan_out, upsert_latest
 from tidebars.streaming.replay import drain, drain_batches, scratch, stream_parquet
-from tidebars.streaming.resample import open_tail, resample_stream_early, ticks_to_bars
+from tidebars.streaming.resample import live_to_minutes, open_tail, resample_stream_early, ticks_to_bars
 from tidebars.streaming.signals import decisions, signal_handler
 
 SLICES = 3
@@ -43,6 +44,19 @@ def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
     return emitted.unionByName(open_tail(whole, emitted)).drop("is_complete")
 
 
+def stream_live(spark: SparkSession, folder: str) -> DataFrame:
+    """1h bars from live 5-second bars whose prices are text; none is complete, as no hour has all 720."""
+    feed = scratch(spark, "live")
+    seconds = align("ts", 5)
+    event_ticks(spark, folder).groupBy("symbol", seconds.alias("start")).agg(
+        F.min_by("price", "ts").cast("string").alias("open"), F.max("price").cast("string").alias("high"),
+        F.min("price").cast("string").alias("low"), F.max_by("price", "ts").cast("string").alias("close"),
+        F.count(F.lit(1)).cast("string").alias("volume")).withColumnRenamed("start", "ts").write.parquet(feed)
+    live = stream_parquet(spark, feed, spark.read.parquet(feed).schema)
+    emitted = drain(live_to_minutes(live, "1h"), scratch(spark, "bars"))
+    return emitted.unionByName(open_tail(event_bars(spark, folder, "1h"), emitted)).drop("is_complete")
+
+
 def stream_resample_early(spark: SparkSession, folder: str) -> DataFrame:
     """4h bars the moment they are full or the next period begins; the last period is still open."""
     out = drain(resample_stream_early(_bar_stream(spark, folder, "1h"), "1h", "4h"), scratch(spark, "early"))
@@ -105,5 +119,5 @@ def stream_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        stream_bars, stream_resample_early, stream_features, stream_regime, stream_latest, stream_topics, stream_signals)
+        stream_bars, stream_live, stream_resample_early, stream_features, stream_regime, stream_latest, stream_topics, stream_signals)
 }

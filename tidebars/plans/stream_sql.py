@@ -7,6 +7,7 @@ from tidebars.plans.series_sql import B1, SQL as SERIES_SQL, _coarse
 
 SQL = {
     "stream_bars": SERIES_SQL["bars_1h"],
+    "stream_live": SERIES_SQL["bars_1h"],
     "stream_resample_early": f"""WITH {B1}, c AS ({_coarse('bars', "INTERVAL '4 hours'", 4, '4h')}),
 l AS (SELECT symbol, max(ts) AS last_ts FROM c GROUP BY symbol)
 SELECT c.* FROM c JOIN l USING (symbol) WHERE ts < last_ts OR is_complete""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,22 +31,40 @@ def build_session(master: str = "local[8]", app: str = "tidebars", **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the run-time settings results depend on (time zone) on a session we did not build."""
+    """Make a session we did not build ready: UTC, and this package where Python tasks run."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application."""
+    ctx = spark.sparkContext
+    if ctx.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tidebars.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    ctx.addPyFile(str(archive))
+    _SHIPPED.add(ctx.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a fresh one only where none is set (tests)."""
     ctx = spark.sparkContext
-    configured = ctx.getConf().get("spark.checkpoint.dir", None)
     current = ctx.getCheckpointDir()
     if current:
         return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         if not ctx.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
