@@ -9,7 +9,7 @@ from tidebars.operators import ledger as lg
 from tidebars.operators import rewards as rw
 from tidebars.operators.blocks import number_rows
 from tidebars.operators.features import compute_features
-from tidebars.operators.online import normalize_vectors
+from tidebars.operators.online import PASS, RESCALE, column_classes, normalize_vectors
 from tidebars.functions.bars import feature_array
 from tidebars.plans.common import rounded
 from tidebars.schema import FEATURE_COLUMNS, SERIES
@@ -120,10 +120,13 @@ def online_zscore_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def feature_specific_norm(spark: SparkSession, folder: str) -> DataFrame:
     """All 24 features of the warm 1h rows, each by its own class."""
-    rows = materialize(compute_features(event_bars(spark, folder, "1h")).filter("warmup_complete").select(
+    rows = materialize(rounded(compute_features(event_bars(spark, folder, "1h"))).filter("warmup_complete").select(
         *SERIES, "ts", "rolling_volatility_20", feature_array().alias("observation")))
     out = normalize_vectors(rows, FEATURE_COLUMNS, "feature_specific", volatility="rolling_volatility_20", keys=SERIES)
-    return rounded(out.select("symbol", "ts", *[F.col("normalized")[i].alias(c) for i, c in enumerate(FEATURE_COLUMNS)]), 5)
+    exact = (PASS, RESCALE)  # simple fractions of rounded inputs
+    digits = [8 if kind in exact else 6 for kind in column_classes(FEATURE_COLUMNS, "feature_specific")]
+    return out.select("symbol", "ts", *[
+        (F.round(F.col("normalized")[i], digits[i]) + F.lit(0.0)).alias(c) for i, c in enumerate(FEATURE_COLUMNS)])
 
 
 QUERIES = {

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tidebars.plans import sql_parts as p
+from tidebars.plans.ingest_sql import _with_features
 from tidebars.plans.series_sql import B1, B5
+from tidebars.schema import FEATURE_COLUMNS
 
 _SIZE, _HALF = "50.0::DOUBLE", "1.75::DOUBLE"
 _LOG = f"""{B5},
@@ -88,7 +90,32 @@ SELECT oc.symbol, oc.ts, {p.r(_Z.format('oc'), 'close_z', 5)}, {p.r(_Z.format('o
 FROM oc JOIN ov ON ov.symbol = oc.symbol AND ov.ts = oc.ts"""
 
 
+_SCORED = ["macd_line", "macd_signal", "macd_histogram", "atr_14", "vix_change", "dxy_return_1h"]
+_LOGGED = ["bb_width", "rolling_volatility_20", "vix_level"]
+_BY_VOL = ["return_1bar", "return_5bar", "return_12bar", "momentum_48"]
+_SPAN = {"rsi_14": 100, "rsi_7": 100, "dxy_rsi_14": 100, "hour_of_day": 23, "day_of_week": 6}
+
+
+def _by_class() -> str:
+    parts, columns, joins = [], [], []
+    for c in FEATURE_COLUMNS:
+        x = f"coalesce(CAST(w.{c} AS DOUBLE), 0)"
+        if c in _SCORED or c in _LOGGED:
+            value = f"coalesce(CAST({c} AS DOUBLE), 0)"
+            parts.append(_online("symbol", "wf", f"ln(greatest({value}, 1e-10))" if c in _LOGGED else value, f"o_{c}"))
+            joins.append(f"JOIN o_{c} ON o_{c}.symbol = w.symbol AND o_{c}.ts = w.ts")
+            out = _Z.format(f"o_{c}")
+        elif c in _BY_VOL:
+            out = f"greatest(-5, least(5, CASE WHEN w.pv > 1e-8 THEN {x} / w.pv ELSE {x} END))"
+        else:
+            out = f"greatest(-5, least(5, {x} / {_SPAN.get(c, 1)}))"
+        columns.append(p.r(out, c, 6 if c in _SCORED + _LOGGED + _BY_VOL else 8))
+    return _with_features(f""", wf AS (SELECT *, lag(rolling_volatility_20) OVER (PARTITION BY symbol ORDER BY ts) AS pv FROM ft
+  WHERE warmup_complete), {', '.join(parts)} SELECT w.symbol, w.ts, {', '.join(columns)} FROM wf w {' '.join(joins)}""")
+
+
 SQL = {
+    "feature_specific_norm": _by_class(),
     "account_ledger": f"""WITH RECURSIVE {_WALK} SELECT {_KEYS}, pos AS position, opened AS trade_opened, closed AS trade_closed,
   {p.r('realized', 'realized_pnl', 4)}, {p.r('unreal', 'unrealized_pnl', 4)}, {p.r('bal', 'balance', 4)},
   {p.r('bal + unreal', 'equity', 4)}, {p.r('peak', 'peak_equity', 4)}, {p.r('dd', 'drawdown_pct', 4)},

@@ -28,7 +28,7 @@ def numbered(name: str = "b", source: str = "bars", extra: str = "") -> str:
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {name}"
 
 
 def rr(*names: str, digits: int = 6) -> str:
