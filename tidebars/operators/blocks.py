@@ -70,7 +70,8 @@ def blocked(
     sliced = df.withColumn("_fine", time_bucket(FINE, keys, ts, step))
     counts = sliced.groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    length = [F.sum(cnt).over(Window.partitionBy(*keys)).alias(total)] if total else []
+    whole = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    length = [F.sum(cnt).over(whole).alias(total)] if total else []
     cuts = (
         counts.withColumn("_off", F.coalesce(F.sum(cnt).over(before), F.lit(0)))
         .withColumn("_mine", F.floor(off / rows).cast("long"))

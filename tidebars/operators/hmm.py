@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators.blocks import block_window, blocked, own_rows, run_stages
+from tidebars.operators.blocks import ROW, block_window, blocked, own_rows, run_stages
 from tidebars.schema import SERIES
 from tidebars.session import spread
 
@@ -27,7 +27,10 @@ PARAMS = ("symbol string, seed int, log_likelihood double, n_samples long, start
 
 
 def daily_features(bars: DataFrame) -> DataFrame:
-    """realized_vol (10 returns, 5 at least) and lag-1 autocorrelation (20 returns, 10 pairs at least)."""
+    """realized_vol (10 returns, 5 at least) and lag-1 autocorrelation (20 returns, 10 pairs at least).
+
+    ``bar_number`` counts the daily bars of the series, also those without a volatility yet.
+    """
     w = block_window()
     vol, ac = w.rowsBetween(-9, 0), w.rowsBetween(-19, 0)
     r, p = F.col("_t_r"), F.col("_t_p")
@@ -44,8 +47,9 @@ def daily_features(bars: DataFrame) -> DataFrame:
          "autocorrelation": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(
              F.col("_t_cov") / F.nullif(F.col("_t_var"), F.lit(0.0)), F.lit(0.0))))},
     ]
-    out = own_rows(run_stages(blocked(bars.select(*SERIES, "ts", "close"), back=24), stages))
-    return out.filter(F.col("realized_vol").isNotNull()).select(*SERIES, "ts", "realized_vol", "autocorrelation")
+    out = own_rows(run_stages(blocked(bars.select(*SERIES, "ts", "close"), back=24), stages), keep_row=True)
+    return out.filter(F.col("realized_vol").isNotNull()).select(
+        *SERIES, "ts", F.col(ROW).alias("bar_number"), "realized_vol", "autocorrelation")
 
 
 def _scan(maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

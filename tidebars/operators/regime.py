@@ -149,9 +149,8 @@ def classify(rows: DataFrame, daily_states: DataFrame | None = None) -> DataFram
 
 
 def previous_day_states(states: DataFrame) -> DataFrame:
-    """Daily states moved to the next day they are known on, after the first 30 rows of a series."""
-    moved = own_rows(blocked(states, fwd=1).withColumns({
-        "_n": F.col("rn"), "_next": F.lead("ts").over(block_window())}))
-    known = moved.filter(F.col("_n") >= MIN_DAILY_ROWS)
+    """Daily states moved to the next day they are known on, from the 30th daily bar of a series on."""
+    moved = own_rows(blocked(states, fwd=1).withColumn("_next", F.lead("ts").over(block_window())))
+    known = moved.filter(F.col("bar_number") >= MIN_DAILY_ROWS)
     day = F.to_date(F.coalesce("_next", F.col("ts") + F.expr("INTERVAL 1 DAY")))
     return known.select("symbol", day.alias("day"), "hmm_state", "hmm_prob")
