@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import byte_bpe, decontaminate, exact_dedup, secret_ledger
+from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, secret_ledger
 from tidebars.llm.columns import table
 
 
@@ -29,11 +29,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(secret_ledger.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents: five-word shingles, similarity of 0.75 or more."""
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 SQL = {
