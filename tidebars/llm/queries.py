@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, secret_ledger
+from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, quality, secret_ledger, warc
 from tidebars.llm.columns import table
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back: type, payload digest and length of every record."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in ten-word windows of benchmark items."""
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is junk, learnt from heuristic labellers, and the decision."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs))
+    return scored.select("doc_id", "junk", (scored["junk"] >= quality.REJECT).alias("rejected"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document and the bytes that they decode to, as digests."""
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
@@ -35,7 +47,9 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_salvage": op1_warc_salvage,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
@@ -43,6 +57,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc_salvage": warc.SQL,
     "op2_decontamination": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_secret_scan": secret_ledger.SQL,
