@@ -29,19 +29,17 @@ def _packed(hashes: Column, at: Column, size: int) -> Column:
 def winnowed(words: DataFrame, *keep: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Rows (keep..., print, at): the least gram hash of each window of ``span`` words, repeats left out.
 
-    ``words`` has a column ``hashes`` (array of word hashes). Each position looks at its own window and the
-    one before, so nothing is sorted or shuffled and no array of grams is built.
+    ``words`` has a column ``hashes`` (array of word hashes). Everything happens inside the row: an array of
+    grams with their positions, the least of each window, and the distinct ones of these; nothing is sorted
+    or shuffled.
     """
     wide = span - gram + 1
-    at = words.select(*keep, "hashes", F.explode(
-        F.sequence(F.lit(0), F.greatest(F.size("hashes") - span, F.lit(0)))).alias("w")).filter(F.size("hashes") >= span)
-    grams = at.select(*keep, "w", *[_packed(F.col("hashes"), F.col("w") + i, gram).alias(f"g{i}") for i in range(wide)],
-                      F.when(F.col("w") > 0, _packed(F.col("hashes"), F.col("w") - 1, gram)).alias("before"))
-    least = grams.select(*keep, "w", F.least(*[f"g{i}" for i in range(wide)]).alias("now"),
-                         F.least("before", *[f"g{i}" for i in range(wide - 1)]).alias("was"))
-    fresh = least.filter((F.col("w") == 0) | (F.col("now") != F.col("was")))
-    return fresh.select(*keep, F.shiftright("now", PLACES).alias("print"),
-                        F.col("now").bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int").alias("at"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("hashes") - gram), lambda i: _packed(F.col("hashes"), i, gram))
+    least = F.transform(F.sequence(F.lit(1), F.size("grams") - wide + 1), lambda i: F.array_min(F.slice("grams", i, wide)))
+    prints = (words.select(*keep, F.when(F.size("hashes") >= span, grams).alias("grams"))
+              .select(*keep, F.explode_outer(F.when(F.col("grams").isNotNull(), F.array_distinct(least))).alias("now")))
+    return prints.filter("now is not null").select(
+        *keep, F.shiftright("now", PLACES).alias("print"), F.col("now").bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int").alias("at"))
 
 
 def whole(words: DataFrame, size: int, *keep: str) -> DataFrame:
