@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, quality, secret_ledger, warc
+from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, quality, secret_ledger, toxicity, warc
 from tidebars.llm.columns import table
 
 
@@ -41,6 +41,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(secret_ledger.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by a factorization machine."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: five-word shingles, similarity of 0.75 or more."""
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
@@ -53,6 +59,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
