@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.columns import drop_ids, text_or_empty
+from tidebars.llm.columns import drop_ids, materialize, text_or_empty
 
 
 def normalised(text: str = "text") -> Column:
@@ -19,8 +19,9 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     Rows are grouped by the MD5 of the normalised text. Only (hash, bytes) pairs, made distinct before the
     shuffle, are compared: a hash that more than one byte sequence shares is split further by SHA-256, so a
     collision never joins texts. The group's row with the most code points, then the smallest key, stays.
-    Counts and the best row are combined on the map side, so a group of any size costs a row per task; the
-    join that brings them back is on the hash, which adaptive execution splits where it is skewed.
+    Counts and the best row are combined on the map side, so a group of any size costs a row per task. They
+    are written before they are joined back, as adaptive execution splits a skewed hash only between two
+    shuffled inputs.
 
     Null and empty texts are equal. Rows that repeat a key of the same text share its fate. A null key
     comes after all others; a row without a key is kept only if no row of its group has one. An empty table
@@ -28,14 +29,15 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.length(text_or_empty(text)).cast("long").alias("n"),
                        normalised(text).alias("norm"))
-    keyed = rows.select("doc_id", "n", F.md5("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
+    keyed = materialize(rows.select("doc_id", "n", F.md5("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256")))
     variants = rows.select(F.md5("norm").alias("h"), "norm").distinct()
     collided = variants.groupBy("h").count().filter("count > 1").select("h", F.lit(True).alias("collided"))
+    collided = materialize(collided)
     keyed = keyed.join(collided, "h", "left").withColumn(
         "variant", F.when(F.col("collided"), F.col("text_sha256")).otherwise("")).drop("collided")
     rank = F.struct((-F.col("n")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id")
-    best = keyed.groupBy(F.col("h").alias("g_h"), F.col("variant").alias("g_variant")).agg(
-        F.count("*").alias("group_size"), F.min(rank)["doc_id"].alias("keep_id"))
+    best = materialize(keyed.groupBy(F.col("h").alias("g_h"), F.col("variant").alias("g_variant")).agg(
+        F.count("*").alias("group_size"), F.min(rank)["doc_id"].alias("keep_id")))
     return (keyed.join(best, (F.col("h") == F.col("g_h")) & (F.col("variant") == F.col("g_variant")))
             .select(F.col("doc_id").alias(key), "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
