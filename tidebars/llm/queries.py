@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, quality, secret_ledger, toxicity, warc
+from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, pitman_yor, quality, secret_ledger, toxicity, warc
 from tidebars.llm.columns import table
 
 
@@ -47,6 +47,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of each document under a hierarchical Pitman-Yor model and a smoothed unigram."""
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, *pitman_yor.train(docs))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: five-word shingles, similarity of 0.75 or more."""
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
@@ -60,6 +66,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
