@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, pitman_yor, quality, secret_ledger, toxicity, warc
+from tidebars.llm import byte_bpe, decontaminate, exact_dedup, html_text, minhash_dedup, pitman_yor, quality, secret_ledger, toxicity, warc
 from tidebars.llm.columns import table
 
 
@@ -26,6 +26,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "junk", (scored["junk"] >= quality.REJECT).alias("rejected"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page by boosted trees over its elements."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document and the bytes that they decode to, as digests."""
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
@@ -62,6 +68,7 @@ QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
