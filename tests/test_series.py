@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebars.operators import indicators as ind
 from tidebars.operators.blocks import BLOCK, OWN, ROW, blocked, carry_last, number_rows
 from tidebars.operators.features import compute_features
+from tidebars.schema import FEATURE_COLUMNS
 
 LONG = 9000  # three blocks
 
@@ -110,6 +111,33 @@ def test_volatility_skips_returns_that_do_not_exist(spark):
     same(got["rolling_volatility_20"], loops.volatility(pdf["close"].to_numpy()))
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 50, 200])
+def test_any_period(spark, period):
+    """Fast averages need short blocks, slow ones long halos; 9,000 bars are several blocks of either."""
+    pdf = walk(9000)
+    close, high, low = (pdf[c].to_numpy() for c in ("close", "high", "low"))
+    bars = frame(spark, pdf)
+    same(collect(ind.rsi(bars, period, "x"), "x")["x"].astype(float), loops.rsi(close, period))
+    same(collect(ind.atr(bars, period, "x"), "x")["x"].astype(float), loops.smoothed(loops.true_ranges(high, low, close), period, 1 / period))
+    if period > 1:
+        same(collect(ind.adx(bars, period, "x"), "x")["x"].astype(float), loops.adx(high, low, close, period))
+
+
+def test_impossible_factors_and_dense_rows_are_errors(spark):
+    with pytest.raises(ValueError):
+        ind.macd(frame(spark, walk(60)), 2, 2000, 9)
+    dense = walk(3000, minutes=1).assign(timeframe="1h")
+    with pytest.raises(Exception, match="closer than their bar length"):
+        ind.rsi(frame(spark, dense)).collect()
+
+
+def test_input_order():
+    assert list(FEATURE_COLUMNS) == (
+        "rsi_14 rsi_7 macd_line macd_signal macd_histogram bb_percent_b bb_width atr_14 return_1bar return_5bar return_12bar "
+        "rolling_volatility_20 momentum_48 is_london_session is_ny_session is_overlap_session is_asian_session hour_of_day "
+        "day_of_week is_month_turn dxy_return_1h dxy_rsi_14 vix_level vix_change").split()
+
+
 @pytest.mark.parametrize("n", [1, 13, 14, 15, 20, 26, 34, 35, 48, 49, 60])
 def test_warm_up_edges(spark, n):
     pdf = walk(n)

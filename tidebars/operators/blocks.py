@@ -14,6 +14,7 @@ block, plus one value per block handed on through a table that has one row per b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,6 +25,7 @@ from tidebars.schema import SERIES, TS, timeframe_seconds
 FINE = 256
 ROWS = 4096
 HALO = 1024
+MOST_POWER = 680  # of e, half the span of powers in a block: e^680 is a double
 
 BLOCK = "_blk"
 OWN = "_own"
@@ -61,7 +63,8 @@ def blocked(
     """Add the block number, the 1-based row number in the series and the own-row mark.
 
     ``total`` names a further column for the number of rows in the series. Every block holds at least ``back`` earlier and ``fwd`` later rows of the series where these
-    exist. Times must be unique in a series, which bars are by their key.
+    exist. Times must be unique in a series, which bars are by their key, and no closer than its bar length: the
+    job fails where 256 bar lengths hold more than 256 rows.
     """
     if max(back, fwd) + FINE > rows:
         raise ValueError(f"look-back and look-ahead must stay below {rows - FINE} rows")
@@ -73,7 +76,9 @@ def blocked(
     whole = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     length = [F.sum(cnt).over(whole).alias(total)] if total else []
     cuts = (
-        counts.withColumn("_off", F.coalesce(F.sum(cnt).over(before), F.lit(0)))
+        counts.withColumn("_cnt", F.when(cnt > FINE, F.raise_error(F.lit(
+            f"rows are closer than their bar length: more than {FINE} of them in {FINE} bars"))).otherwise(cnt))
+        .withColumn("_off", F.coalesce(F.sum(cnt).over(before), F.lit(0)))
         .withColumn("_mine", F.floor(off / rows).cast("long"))
         .select(
             *keys,
@@ -163,14 +168,43 @@ def carry_last(
     return out.drop(part, *[f"_l_{c}" for c in columns])
 
 
+def settling_rows(q: float) -> int:
+    """Rows after which a recurrence has forgotten what came before, as far as a double can show."""
+    return math.ceil(41.5 / -math.log(q)) if q > 0 else 1
+
+
+def decay_plan(*factors: float, spare: int = 64) -> tuple[int, int]:
+    """(back, rows) of blocks in which recurrences with these factors can be scanned side by side.
+
+    The slowest factor asks for the halo, the fastest bounds the block, as its powers must stay doubles. The
+    usual blocks are kept where they serve; where nothing does, that is an error.
+    """
+    used = [q for q in factors if q > 0]
+    if any(not 0 <= q < 1 for q in factors):
+        raise ValueError(f"smoothing factors must lie in [0, 1), got {factors}")
+    if not used:
+        return HALO, ROWS
+    back, most = settling_rows(max(used)) + spare, math.floor(2 * MOST_POWER / -math.log(min(used))) - 2 * FINE
+    if back <= HALO and HALO + ROWS <= most:
+        return HALO, ROWS
+    rows = min(max(ROWS, 2 * back), most - back)
+    if rows < back + FINE:
+        raise ValueError(f"factors {max(used)} and {min(used)} are too far apart for one block; scan them separately")
+    return back, rows
+
+
 def decay_scan(term: Column, q: float, keys: Sequence[str] = SERIES, ts: str = TS, rows: int = ROWS,
                back: int = HALO) -> Column:
     """Linear recurrence ``y[n] = q*y[n-1] + term[n]`` inside a block.
 
     One running sum: ``q^k * sum(term * q^-k)``, with ``k`` centred on the block so that the powers
-    stay inside the double range. Rows before the halo would add less than ``q^back``, which is
-    below double precision for the smoothing factors used here (q <= 25/27 with back = 1024).
+    stay inside the double range. Rows before the halo would add less than ``q^back``, which must be
+    below double precision; ``decay_plan`` finds block and halo for a factor.
     """
+    if q == 0:
+        return F.coalesce(term, F.lit(0.0))
+    if q ** back > 1e-17 or -math.log(q) * (rows + back + 2 * FINE) / 2 > MOST_POWER:
+        raise ValueError(f"a factor of {q} needs other blocks than {rows} rows after {back}; see decay_plan")
     k = (F.col(ROW) - (F.col(BLOCK) * rows + (rows - back) // 2)).cast("double")
     w = block_window(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(F.coalesce(term, F.lit(0.0)) * F.pow(F.lit(q), -k)).over(w) * F.pow(F.lit(q), k)

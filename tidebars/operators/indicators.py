@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.operators.blocks import (
-    BLOCK, HALO, OWN, ROW, block_window, blocked, carry_last, decay_scan, hand_on, own_rows, run_stages,
+    BLOCK, HALO, OWN, ROW, ROWS, block_window, blocked, carry_last, decay_plan, decay_scan, hand_on, own_rows, run_stages,
+    settling_rows,
 )
 from tidebars.schema import SERIES
 from tidebars.session import materialize
 
 Stages = list[dict[str, Column]]
-SETTLED = 600  # rows after which a Wilder average no longer depends on what came before (q^600 < 1e-19)
+Plan = tuple[int, int]  # look-back and rows of a block
+USUAL: Plan = (HALO, ROWS)
+
+
+def wilder(period: int) -> float:
+    """Factor of Wilder's average."""
+    return (period - 1) / period
 
 
 def _running(column: str) -> Column:
@@ -28,7 +35,7 @@ def _tail(rows: int):
     return block_window().rowsBetween(-(rows - 1), 0)
 
 
-def _seeded_scan(x: str, running: str, seed_row: int, seed_n: int, q: float, gain: float) -> Column:
+def _seeded_scan(x: str, running: str, seed_row: int, seed_n: int, q: float, gain: float, plan: Plan = USUAL) -> Column:
     """Smoothing that starts at ``seed_row`` with a mean over ``seed_n`` and then follows ``q``."""
     rn = F.col(ROW)
     term = (
@@ -36,16 +43,16 @@ def _seeded_scan(x: str, running: str, seed_row: int, seed_n: int, q: float, gai
         .when(rn > seed_row, F.col(x) * gain)
         .otherwise(0.0)
     )
-    return F.when(rn >= seed_row, decay_scan(term, q))
+    return F.when(rn >= seed_row, decay_scan(term, q, back=plan[0], rows=plan[1]))
 
 
-def rsi_stages(period: int = 14, name: str = "rsi_14", close: str = "close") -> Stages:
+def rsi_stages(period: int = 14, name: str = "rsi_14", close: str = "close", plan: Plan = USUAL) -> Stages:
     """Wilder's RSI. Rows whose value rests on moves before the block are left null; see ``settle``."""
     t, w, rn = f"_t_{name}", block_window(), F.col(ROW)
-    first, q = period + 1, (period - 1) / period
+    first, q = period + 1, wilder(period)
     change = F.col(close) - F.lag(close).over(w)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    known = (F.col(BLOCK) == 0) | (F.col(f"{t}_seen") >= SETTLED)
+    known = (F.col(BLOCK) == 0) | (F.col(f"{t}_seen") >= settling_rows(q))
     up, down = F.col(f"{t}_up"), F.col(f"{t}_down")
     return [
         {f"{t}_ch": change, f"{t}_pos": F.row_number().over(w)},
@@ -53,8 +60,8 @@ def rsi_stages(period: int = 14, name: str = "rsi_14", close: str = "close") ->
          f"{t}_l": F.greatest(-F.col(f"{t}_ch"), F.lit(0.0)),
          f"{t}_seen": F.last(F.when(F.col(f"{t}_ch") != 0, F.col(f"{t}_pos")), ignorenulls=True).over(upto)},
         {f"{t}_gs": _running(f"{t}_g"), f"{t}_ls": _running(f"{t}_l")},
-        {f"{t}_up": _seeded_scan(f"{t}_g", f"{t}_gs", first, period, q, 1 / period),
-         f"{t}_down": _seeded_scan(f"{t}_l", f"{t}_ls", first, period, q, 1 / period)},
+        {f"{t}_up": _seeded_scan(f"{t}_g", f"{t}_gs", first, period, q, 1 / period, plan),
+         f"{t}_down": _seeded_scan(f"{t}_l", f"{t}_ls", first, period, q, 1 / period, plan)},
         {name: F.when((rn >= first) & known,
                       F.when(down == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + up / F.nullif(down, F.lit(0.0)))))},
     ]
@@ -74,22 +81,22 @@ def settle(df: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumns({n: F.col(f) for n, f in fixed.items()}).drop(*fixed.values())
 
 
-def ema_stages(name: str, x: str, period: int, first: int = 1) -> Stages:
+def ema_stages(name: str, x: str, period: int, first: int = 1, plan: Plan = USUAL) -> Stages:
     """Exponential average of ``x`` seeded with the mean of its first ``period`` values (from row ``first``)."""
     t, k = f"_t_{name}", 2 / (period + 1)
     return [
         {f"{t}_s": _running(x)},
-        {name: _seeded_scan(x, f"{t}_s", first + period - 1, period, 1 - k, k)},
+        {name: _seeded_scan(x, f"{t}_s", first + period - 1, period, 1 - k, k, plan)},
     ]
 
 
-def macd_stages(fast: int = 12, slow: int = 26, signal: int = 9) -> Stages:
-    a, b = ema_stages("_t_fast", "close", fast), ema_stages("_t_slow", "close", slow)
+def macd_stages(fast: int = 12, slow: int = 26, signal: int = 9, plan: Plan = USUAL) -> Stages:
+    a, b = ema_stages("_t_fast", "close", fast, plan=plan), ema_stages("_t_slow", "close", slow, plan=plan)
     return [
         {**a[0], **b[0]},
         {**a[1], **b[1]},
         {"macd_line": F.col("_t_fast") - F.col("_t_slow")},
-        *ema_stages("macd_signal", "macd_line", signal, first=slow),
+        *ema_stages("macd_signal", "macd_line", signal, first=slow, plan=plan),
         {"macd_histogram": F.col("macd_line") - F.col("macd_signal")},
     ]
 
@@ -112,12 +119,12 @@ def true_range(prev_close: Column) -> Column:
     return F.greatest(h - l, F.abs(h - prev_close), F.abs(l - prev_close))
 
 
-def atr_stages(period: int = 14) -> Stages:
+def atr_stages(period: int = 14, name: str = "atr_14", plan: Plan = USUAL) -> Stages:
     w = block_window()
     return [
         {"_t_tr": F.when(F.col(ROW) == 1, F.col("high") - F.col("low")).otherwise(true_range(F.lag("close").over(w)))},
         {"_t_trs": _running("_t_tr")},
-        {"atr_14": _seeded_scan("_t_tr", "_t_trs", period, period, (period - 1) / period, 1 / period)},
+        {name: _seeded_scan("_t_tr", "_t_trs", period, period, wilder(period), 1 / period, plan)},
     ]
 
 
@@ -151,27 +158,31 @@ def volatility_stages(window: int = 20) -> Stages:
     return [{}, {name: F.when(F.col(ROW) > window, F.stddev_pop("return_1bar").over(_tail(window)))}]
 
 
-def with_indicator(df: DataFrame, *stages: Stages, back: int = HALO, settled: list[str] | None = None) -> DataFrame:
-    out = run_stages(blocked(df, back=back), *stages)
+def with_indicator(df: DataFrame, *stages: Stages, back: int = HALO, settled: list[str] | None = None, rows: int = ROWS) -> DataFrame:
+    out = run_stages(blocked(df, back=back, rows=rows), *stages)
     if settled:
         out = settle(out, settled)
     return own_rows(out)
 
 
 def rsi(df: DataFrame, period: int = 14, name: str = "rsi_14") -> DataFrame:
-    return with_indicator(df, rsi_stages(period, name), settled=[name])
+    """RSI of any period; blocks are cut as the period asks for."""
+    plan = decay_plan(wilder(period), spare=period + 2)
+    return with_indicator(df, rsi_stages(period, name, plan=plan), settled=[name], back=plan[0], rows=plan[1])
 
 
-def macd(df: DataFrame) -> DataFrame:
-    return with_indicator(df, macd_stages())
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    plan = decay_plan(*[1 - 2 / (n + 1) for n in (fast, slow, signal)])
+    return with_indicator(df, macd_stages(fast, slow, signal, plan), back=plan[0], rows=plan[1])
 
 
-def bollinger(df: DataFrame) -> DataFrame:
-    return with_indicator(df, bollinger_stages(), back=20)
+def bollinger(df: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
+    return with_indicator(df, bollinger_stages(period, width), back=period, rows=max(ROWS, 2 * period))
 
 
-def atr(df: DataFrame) -> DataFrame:
-    return with_indicator(df, atr_stages())
+def atr(df: DataFrame, period: int = 14, name: str = "atr_14") -> DataFrame:
+    plan = decay_plan(wilder(period), spare=2)
+    return with_indicator(df, atr_stages(period, name, plan), back=plan[0], rows=plan[1])
 
 
 def rolling_mean_atr(df: DataFrame) -> DataFrame:
@@ -206,17 +217,18 @@ def rolling_volatility(df: DataFrame, window: int = 20) -> DataFrame:
 def _directional(df: DataFrame, period: int) -> DataFrame:
     """Directional index per bar (null before row ``period`` + 1 and while nothing has moved yet)."""
     w, rn = block_window(), F.col(ROW)
-    q, gain = (period - 1) / period, 1 / period
+    q, gain = wilder(period), 1 / period
+    plan = decay_plan(q, spare=period + 2)
     up = F.col("high") - F.lag("high").over(w)
     down = F.lag("low").over(w) - F.col("low")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
     def smooth(x: str) -> Column:
-        return _seeded_scan(x, f"{x}s", period, period, q, gain)
+        return _seeded_scan(x, f"{x}s", period, period, q, gain, plan)
 
     tr = F.col("_t_a_tr")
     plus, minus, total = F.col("_t_a_p"), F.col("_t_a_m"), F.col("_t_a_t")
-    known = (F.col(BLOCK) == 0) | (F.col("_t_a_seen") >= SETTLED)
+    known = (F.col(BLOCK) == 0) | (F.col("_t_a_seen") >= settling_rows(q))
     di_p, di_m = 100.0 * plus / F.nullif(total, F.lit(0.0)), 100.0 * minus / F.nullif(total, F.lit(0.0))
     stages: Stages = [
         {"_t_a_up": up, "_t_a_dn": down, "_t_a_pos": F.row_number().over(w),
@@ -233,17 +245,18 @@ def _directional(df: DataFrame, period: int) -> DataFrame:
             100.0 * F.abs(F.col("_t_a_dip") - F.col("_t_a_dim"))
             / F.nullif(F.col("_t_a_dip") + F.col("_t_a_dim"), F.lit(0.0)), F.lit(0.0)))},
     ]
-    return own_rows(settle(run_stages(blocked(df, back=HALO), stages), ["dx"]))
+    return own_rows(settle(run_stages(blocked(df, back=plan[0], rows=plan[1]), stages), ["dx"]))
 
 
 def adx(df: DataFrame, period: int = 14, name: str = "adx_14") -> DataFrame:
     """Average directional index: Wilder smoothing of DX over the rows that have a DX."""
     dx = materialize(_directional(df, period))  # used three times below
-    rows = blocked(dx.filter(F.col("dx").isNotNull()), back=HALO)
-    q, gain = (period - 1) / period, 1 / period
+    q, gain = wilder(period), 1 / period
+    plan = decay_plan(q, spare=2)
+    rows = blocked(dx.filter(F.col("dx").isNotNull()), back=plan[0], rows=plan[1])
     stages: Stages = [
         {"_t_dxs": _running("dx")},
-        {name: _seeded_scan("dx", "_t_dxs", period, period, q, gain)},
+        {name: _seeded_scan("dx", "_t_dxs", period, period, q, gain, plan)},
     ]
     averaged = own_rows(run_stages(rows, stages))
     early = dx.filter(F.col("dx").isNull()).withColumn(name, F.lit(None).cast("double"))

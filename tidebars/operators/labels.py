@@ -87,14 +87,20 @@ def fit_scaler(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 
 def apply_scaler(rows: DataFrame, scaler: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Standardize ``columns``; the scaler has one row per column and group."""
-    one = F.lit(1).alias("_one")
-    wide = scaler.groupBy(*keys, one).agg(F.map_from_entries(
+    """Standardize ``columns``; the scaler has one row per column and group.
+
+    Without groups these few rows become literals; with groups they are joined.
+    """
+    if not keys:
+        stats = {r["feature"]: r for r in scaler.filter(F.col("feature").isin(*columns)).collect()}
+        return rows.withColumns({
+            c: (F.col(c).cast("double") - F.lit(stats[c]["mean"])) / F.lit(stats[c]["scale"]) for c in columns})
+    wide = scaler.groupBy(*keys).agg(F.map_from_entries(
         F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("_scaler"))
-    joined = rows.select("*", one).join(wide, [*keys, "_one"])
+    joined = rows.join(wide, list(keys))
     return joined.withColumns({
         c: (F.col(c).cast("double") - F.col("_scaler")[c]["mean"]) / F.col("_scaler")[c]["scale"] for c in columns
-    }).drop("_scaler", "_one")
+    }).drop("_scaler")
 
 
 def save_scaler(scaler: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebars.operators.blocks import ROW, block_window, blocked, decay_scan, own_rows
 from tidebars.operators.ledger import AT, FLAT, KEYS
+from tidebars.schema import SERIES
 
 Reward = Callable[[DataFrame], DataFrame]
 
@@ -111,9 +112,10 @@ def apply_rewards(ledger: DataFrame, **rewards: Reward) -> DataFrame:
     return out
 
 
-def reward_context(ledger: DataFrame, market: DataFrame, config) -> DataFrame:
-    """Ledger rows with margin per lot and the market state (ATR, RSI, regime) of their time, null if unknown."""
-    state = market.select("ts", *[c for c in ("atr_14", "rsi_14", "regime_state", "regime_confidence")
+def reward_context(ledger: DataFrame, market: DataFrame, config, keys: Sequence[str] = (*SERIES, "ts")) -> DataFrame:
+    """Ledger rows with margin per lot and the market state (ATR, RSI, regime) of their series and time, null if unknown."""
+    keys = list(keys)
+    state = market.select(*keys, *[c for c in ("atr_14", "rsi_14", "regime_state", "regime_confidence")
                                   if c in market.columns])
-    bare = ledger.drop(*[c for c in state.columns if c != "ts"])
-    return bare.join(state, "ts", "left").withColumn("margin_per_lot", config.margin_per_lot(F.col("close")))
+    bare = ledger.drop(*[c for c in state.columns if c not in keys])
+    return bare.join(state, keys, "left").withColumn("margin_per_lot", config.margin_per_lot(F.col("close")))

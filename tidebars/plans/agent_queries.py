@@ -16,18 +16,18 @@ from tidebars.schema import FEATURE_COLUMNS, SERIES
 from tidebars.session import materialize
 from tidebars.sources.driver_tables import event_bars
 
-ACCOUNT = lg.AccountConfig(lot_size=0.5, episode_length=600)
+ACCOUNT = lg.AccountConfig(lot_size=0.5)
 CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
 def _decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """A week of 5-minute bars of one symbol is an episode; the last price decides the position."""
+    """A week of 5-minute bars of one symbol, 2,016 at most, is an episode; the last price decides the position."""
     bars = event_bars(spark, folder, "5m")
     code = F.lit(0)
     for name, value in CODES.items():
         code = F.when(F.col("symbol") == name, value).otherwise(code)
     log = bars.select(
-        (code * 100 + F.floor(F.unix_seconds("ts") / 604800) % 100).cast("long").alias("episode_id"), "ts",
+        (code * 100 + F.floor(F.unix_seconds("ts") / 604800) % 100).cast("long").alias("episode_id"), *SERIES, "ts",
         (F.col("close") + 1500).alias("close"),
         F.when(F.col("close") < 15, 1).when(F.col("close") > 90, 2).when(F.col("close") > 60, 0)
         .otherwise(F.when(F.hour("ts") % 2 == 0, 1).otherwise(2)).alias("action"),
@@ -72,9 +72,9 @@ def position_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reward_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Ledger steps next to the market state of the click bars at their time."""
-    market = event_bars(spark, folder, "5m").filter("symbol = 'click'").select(
-        "ts", F.col("high").alias("atr_14"), F.col("low").alias("rsi_14"))
+    """Ledger steps next to the market state of their own series at their time."""
+    market = event_bars(spark, folder, "5m").select(
+        *SERIES, "ts", F.col("high").alias("atr_14"), F.col("low").alias("rsi_14"))
     out = rw.reward_context(_ledger(spark, folder), market, ACCOUNT)
     return rounded(out.select("episode_id", "step", "position", "balance", "drawdown_pct", "atr_14", "rsi_14",
                               "margin_per_lot"), 4)

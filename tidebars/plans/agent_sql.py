@@ -5,16 +5,15 @@ from __future__ import annotations
 from tidebars.plans import sql_parts as p
 from tidebars.plans.ingest_sql import _with_features
 from tidebars.plans.series_sql import B1, B5
-from tidebars.schema import FEATURE_COLUMNS
 
 _SIZE, _HALF = "50.0::DOUBLE", "1.75::DOUBLE"
 _LOG = f"""{B5},
 lg AS (SELECT CASE symbol WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5
-         ELSE 0 END * 100 + CAST(floor(epoch(ts) / 604800) AS BIGINT) % 100 AS ep, ts, close + 1500 AS px,
+         ELSE 0 END * 100 + CAST(floor(epoch(ts) / 604800) AS BIGINT) % 100 AS ep, symbol, ts, close + 1500 AS px,
          CASE WHEN close < 15 THEN 1 WHEN close > 90 THEN 2 WHEN close > 60 THEN 0 WHEN hour(ts) % 2 = 0 THEN 1 ELSE 2 END AS a,
          open AS atr, high AS rsi, CASE WHEN hour(ts) < 8 THEN 'ranging' WHEN hour(ts) < 16 THEN 'low_vol_trend' END AS regime FROM bars),
 l0 AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY ts) AS st FROM lg),
-l AS (SELECT *, max(st) OVER (PARTITION BY ep) AS last_st FROM l0 WHERE st <= 600)"""
+l AS (SELECT *, max(st) OVER (PARTITION BY ep) AS last_st FROM l0 WHERE st <= 2016)"""
 
 
 def _dir(a: str) -> str:
@@ -98,7 +97,7 @@ _SPAN = {"rsi_14": 100, "rsi_7": 100, "dxy_rsi_14": 100, "hour_of_day": 23, "day
 
 def _by_class() -> str:
     parts, columns, joins = [], [], []
-    for c in FEATURE_COLUMNS:
+    for c in p.INPUTS:
         x = f"coalesce(CAST(w.{c} AS DOUBLE), 0)"
         if c in _SCORED or c in _LOGGED:
             value = f"coalesce(CAST({c} AS DOUBLE), 0)"
@@ -130,7 +129,7 @@ SQL = {
   [round(x, 5) + 0.0 for x in [atr, rsi, CAST(pos AS DOUBLE), unreal / 10000]] AS observation, {p.r('px', 'margin_per_lot', 5)} FROM led""",
     "reward_context": f"""WITH RECURSIVE {_WALK} SELECT {_KEYS}, pos AS position, {p.r('bal', 'balance', 4)}, {p.r('dd', 'drawdown_pct', 4)},
   {p.r('b.high', 'atr_14', 4)}, {p.r('b.low', 'rsi_14', 4)}, {p.r('led.px', 'margin_per_lot', 4)}
-FROM led JOIN l USING (ep, st) LEFT JOIN bars b ON b.ts = l.ts AND b.symbol = 'click'""",
+FROM led JOIN l USING (ep, st) LEFT JOIN bars b ON b.ts = l.ts AND b.symbol = l.symbol""",
     "evaluation_episodes": f"""WITH {B1} SELECT symbol, ts, CAST(0 AS BIGINT) AS episode_id,
   CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS INTEGER) AS step, close FROM bars""",
     "training_episodes": f"""WITH {B5}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from tidebars.plans import sql_parts as p
 from tidebars.plans.series_sql import B1, B5, SQL as SERIES_SQL
-from tidebars.schema import FEATURE_COLUMNS
 
 _W = {"click": -0.576, "error": 0.136, "purchase": -0.119, "signup": 0.091, "view": 0.042}
 
@@ -43,7 +42,7 @@ def _observation() -> str:
         ctes = ctes.replace(B1 + ",", "", 1)
         return f"""f{suffix} AS (WITH RECURSIVE {ctes.replace('FROM bars WINDOW', f'FROM {bars_cte} WINDOW')} {select})"""
 
-    cols = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in FEATURE_COLUMNS)
+    cols = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in p.INPUTS)
     four = """b4 AS (SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high,
   min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"""
     return f"""WITH {B1}, {four}, {features('bars', '1', '1h')}, {features('b4', '4', '4h')},

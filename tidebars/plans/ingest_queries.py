@@ -114,9 +114,10 @@ def range_scan_series(spark: SparkSession, folder: str) -> DataFrame:
 def latest_state(spark: SparkSession, folder: str) -> DataFrame:
     """Newest bar per symbol, kept while younger than an hour, without the symbols that were deleted."""
     bars = event_bars(spark, folder, "5m")
-    state = latest(bars.filter(F.col("ts") < F.lit(NOW))).withColumn("updated_at", F.col("ts"))
+    state = latest(bars).withColumn("updated_at", F.col("ts"))
+    now = F.lit(bars.agg(F.max("ts")).first()[0])  # the newest bar's time
     gone = bars.filter(F.col("symbol") == "click").select("symbol", "timeframe").distinct()
-    return forget(fresh(state, F.lit(NOW)), gone).select("symbol", "timeframe", "ts", "close")
+    return forget(fresh(state, now), gone).select("symbol", "timeframe", "ts", "close")
 
 
 def feature_export(spark: SparkSession, folder: str) -> DataFrame:

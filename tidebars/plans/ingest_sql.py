@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from tidebars.plans import sql_parts as p
 from tidebars.plans.series_sql import B1, B5, SQL as SERIES_SQL
-from tidebars.schema import FEATURE_COLUMNS
 from tidebars.sources.tables import EXPORT_COLUMNS
 
 _RAW = """raw AS (
@@ -65,7 +64,7 @@ SELECT symbol, timeframe, count(*) AS rows, {p.r('min(low)', 'low', 4)}, {p.r('m
     "null_profile": _with_features("SELECT feature, " + p.r("s", "null_share") + """,
   CASE WHEN s = 1 THEN 'empty' WHEN s > 0.5 THEN 'sparse' ELSE 'ok' END AS status FROM ("""
         + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS s FROM ft"
-                             for c in FEATURE_COLUMNS) + ")"),
+                             for c in p.INPUTS) + ")"),
     "load_summary": f"""WITH {B1}, {p.numbered()} SELECT symbol, '1h' AS timeframe, count(*) AS bars, min(ts) AS first_ts,
   max(ts) AS last_ts, count(*) AS features, count(*) FILTER (WHERE rn >= 49) AS warm FROM b GROUP BY symbol""",
     "dedupe_batches": f"""WITH {_BATCHES} SELECT symbol, ts, {p.r('close', 'close')}, {p.r('volume', 'volume')},
@@ -77,8 +76,8 @@ SELECT symbol, timeframe, count(*) AS rows, {p.r('min(low)', 'low', 4)}, {p.r('m
     "range_scan_series": f"""WITH {B5} SELECT symbol, ts, open, high, low, close, volume FROM bars
   WHERE symbol = 'click' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'""",
     "latest_state": f"""WITH {B5}, l AS (SELECT symbol, '5m' AS timeframe, max(ts) AS ts, arg_max(close, ts) AS close
-  FROM bars WHERE ts < TIMESTAMP '2024-01-25' GROUP BY symbol)
-SELECT * FROM l WHERE ts > TIMESTAMP '2024-01-24 23:00:00' AND symbol <> 'click'""",
+  FROM bars GROUP BY symbol)
+SELECT * FROM l WHERE ts > (SELECT max(ts) FROM bars) - INTERVAL '1 hour' AND symbol <> 'click'""",
     "feature_export": _with_features("SELECT " + ", ".join(
         "ts AS timestamp" if c == "timestamp" else c for c in EXPORT_COLUMNS) + " FROM ft"),
     "datetime_formats": """SELECT o_orderkey, CASE WHEN o_orderkey % 12 < 11 THEN o_orderdate END AS ts,

@@ -19,6 +19,7 @@ from tidebars.session import materialize
 from tidebars.sources.driver_tables import event_bars, order_bars
 
 STEP = 3600
+LIFT = 1500.0
 
 
 def labels_sign(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,10 +77,10 @@ def cpcv_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scored_folds(spark: SparkSession, folder: str) -> DataFrame:
     """A momentum rule as predictions on the test rows of five folds."""
-    bars = ind.log_returns(event_bars(spark, folder, "1h"))
+    bars = _lifted(ind.log_returns(event_bars(spark, folder, "1h")))
     rows = lb.forward_return(lb.sign_label(bars, 6), 6).filter("label IS NOT NULL AND return_5bar IS NOT NULL")
     rows = rows.withColumn("prediction", F.when(F.col("return_5bar") > 0, 1.0).otherwise(0.0))
-    keep = rows.select(*SERIES, "ts", "prediction", "label", F.least("forward_return", F.lit(1.0)).alias("forward_return"))
+    keep = rows.select(*SERIES, "ts", "prediction", "label", "forward_return")
     return materialize(sp.walk_forward(materialize(keep)).filter("role = 'test'"))
 
 
@@ -97,11 +98,9 @@ def acceptance(spark: SparkSession, folder: str) -> DataFrame:
 
 def drawdown(spark: SparkSession, folder: str) -> DataFrame:
     """Additive and compound curves of the 5-minute simple returns."""
-    bars = event_bars(spark, folder, "5m")
-    r = lb.forward_return(bars, 1).withColumn("r", F.least("forward_return", F.lit(0.05)))
+    r = lb.forward_return(_lifted(event_bars(spark, folder, "5m")), 1).withColumnRenamed("forward_return", "r")
     add = pf.running_curve(r.select(*SERIES, "ts", "r"), "r", SERIES, "ts", 300, compound=False)
-    small = r.select(*SERIES, "ts", (F.col("r") / 100).alias("r"))
-    mul = pf.running_curve(small, "r", SERIES, "ts", 300, compound=True)
+    mul = pf.running_curve(r.select(*SERIES, "ts", "r"), "r", SERIES, "ts", 300, compound=True)
     both = add.select(*SERIES, "ts", F.col("drawdown").alias("additive")).join(
         mul.select(*SERIES, "ts", F.col("drawdown").alias("compound")), [*SERIES, "ts"])
     return rounded(both.select("symbol", "ts", "additive", "compound"))
@@ -176,6 +175,11 @@ def transition_report(spark: SparkSession, folder: str) -> DataFrame:
                    .na.fill(0, ["times"]), 4)
 
 
+def _lifted(bars: DataFrame) -> DataFrame:
+    """Prices as those of a costly good: event values run down to zero, where relative changes have no bounds."""
+    return bars.withColumns({c: F.col(c) + LIFT for c in ("open", "high", "low", "close")})
+
+
 def _signals(spark: SparkSession, folder: str, timeframe: str) -> DataFrame:
     """A contrarian rule: long after a drop over five bars, short after a rise."""
     bars = ind.log_returns(event_bars(spark, folder, timeframe))
@@ -185,7 +189,7 @@ def _signals(spark: SparkSession, folder: str, timeframe: str) -> DataFrame:
 
 
 def _trades(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(replay(_signals(spark, folder, "5m"), 12, spread=0.3, regime="regime_state",
+    return materialize(replay(_lifted(_signals(spark, folder, "5m")), 12, spread=0.3, regime="regime_state",
                               eligible=F.hour("ts") != 3)[0])
 
 
@@ -195,9 +199,9 @@ def trades_rule_signal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signal_rule_query(spark: SparkSession, folder: str) -> DataFrame:
-    """The threshold rule on the place of the close within its bar, as a probability."""
-    bars = event_bars(spark, folder, "1h").filter(F.col("high") > F.col("low"))
-    up = (F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))
+    """The threshold rule on the place of the close within its bar, as a probability; a bar without range is neutral."""
+    bars = event_bars(spark, folder, "1h")
+    up = F.coalesce((F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.5))
     direction, confidence = signal_rule(up, 1 - up)
     return rounded(bars.select("symbol", "ts", direction.alias("direction"), confidence.alias("confidence")))
 
@@ -209,21 +213,16 @@ def trade_grid(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("trades"), F.sum("pnl_pct").alias("pnl")), 4)
 
 
-def _calm(trades: DataFrame) -> DataFrame:
-    """Results scaled down so that compounding stays finite on these synthetic prices."""
-    return trades.withColumn("pnl_pct", F.greatest(F.least(F.col("pnl_pct") / 100, F.lit(5.0)), F.lit(-5.0)))
-
-
 def trade_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(pf.trade_metrics(_calm(_trades(spark, folder))).drop("timeframe"))
+    return rounded(pf.trade_metrics(_trades(spark, folder)).drop("timeframe"))
 
 
 def metrics_by_regime(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(pf.regime_breakdown(_calm(_trades(spark, folder))).drop("timeframe"))
+    return rounded(pf.regime_breakdown(_trades(spark, folder)).drop("timeframe"))
 
 
 def metrics_by_direction(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(pf.direction_breakdown(_calm(_trades(spark, folder))).drop("timeframe"))
+    return rounded(pf.direction_breakdown(_trades(spark, folder)).drop("timeframe"))
 
 
 QUERIES = {

@@ -34,7 +34,7 @@ _FOLDS = f"""{B1}, {_LR},
 rows0 AS (SELECT symbol, ts, r5, lead(close, 6) OVER {_W} AS later, close FROM rt),
 rows1 AS (SELECT symbol, ts, CASE WHEN r5 > 0 THEN 1.0 ELSE 0.0 END AS prediction,
   CASE WHEN later - close > 0 THEN 1.0 ELSE 0.0 END AS label,
-  least(coalesce((later - close) / nullif(close, 0), 0), 1.0) AS fr FROM rows0 WHERE later IS NOT NULL AND r5 IS NOT NULL),
+  coalesce((later - close) / (close + 1500), 0) AS fr FROM rows0 WHERE later IS NOT NULL AND r5 IS NOT NULL),
 {_WF.format(src='rows1')}, te AS (SELECT *, CASE WHEN prediction = 1 THEN fr ELSE -fr END AS r FROM wf WHERE role = 'test'),
 cum AS (SELECT *, sum(r) OVER (PARTITION BY symbol, fold ORDER BY ts) AS eq FROM te),
 dd AS (SELECT *, max(eq) OVER (PARTITION BY symbol, fold ORDER BY ts) - eq AS d FROM cum),
@@ -102,11 +102,11 @@ st AS (
   FROM st s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1)"""
 
 
-def _trades(bars: str, horizon: int, spread: str, gate: str) -> str:
+def _trades(bars: str, horizon: int, spread: str, gate: str, lift: int = 0) -> str:
     """Bar by bar: how many bars are left to hold before and after each bar."""
     return f"""{bars}, {_LR},
-sg AS (SELECT symbol, ts, rn, open, close, volume, CASE WHEN r5 < -1 THEN 'long' WHEN r5 > 1 THEN 'short' END AS side,
-  lead(open) OVER {_W} AS nopen, lead(ts) OVER {_W} AS nts, max(rn) OVER (PARTITION BY symbol) AS last_rn FROM rt),
+sg AS (SELECT symbol, ts, rn, open + {lift} AS open, close + {lift} AS close, volume, CASE WHEN r5 < -1 THEN 'long' WHEN r5 > 1 THEN 'short' END AS side,
+  lead(open) OVER {_W} + {lift} AS nopen, lead(ts) OVER {_W} AS nts, max(rn) OVER (PARTITION BY symbol) AS last_rn FROM rt),
 cd AS (SELECT *, side IS NOT NULL AND nopen > 0 AND {gate} AS cand FROM sg),
 hold AS (
   SELECT symbol, rn, CASE WHEN cand THEN {horizon} ELSE 0 END AS left_after, cand AS entered FROM cd WHERE rn = 1
@@ -121,8 +121,7 @@ tr AS (
     JOIN cd x ON x.symbol = e.symbol AND x.rn = least(e.rn + {horizon}, e.last_rn) WHERE h.entered)"""
 
 
-_T5 = _trades(B5, 12, "0.3", "hour(ts) <> 3")
-_CALM = "c AS (SELECT * REPLACE (greatest(least(pnl_pct / 100, 5.0), -5.0) AS pnl_pct) FROM tr)"
+_T5 = _trades(B5, 12, "0.3", "hour(ts) <> 3", 1500)
 _GROW = "(exp(sum(ln(1 + pnl_pct / 100))) - 1) * 100"
 _SHARPE = "CASE WHEN count(*) > 1 AND stddev_samp(pnl_pct) > 0 THEN avg(pnl_pct) / stddev_samp(pnl_pct) * sqrt(252 * 6.5 / avg(bars_held)) ELSE 0 END"
 _DOWN = "stddev_samp(pnl_pct) FILTER (WHERE pnl_pct < 0)"
@@ -164,8 +163,8 @@ SELECT symbol, ts, CAST(48 AS INTEGER) AS length, first_close, last_close, volum
     "fold_metrics": f"""WITH {_FOLDS} SELECT symbol, fold, trade_count, {p.rr(*_METRICS, digits=5)} FROM m""",
     "acceptance": f"""WITH {_FOLDS} SELECT symbol, fold, {_gate(_GATES)} AS meets_minimum, {_gate(_TARGETS)} AS meets_target,
   {', '.join(f'{_gate({k: v})} AS ok_{k}' for k, v in _GATES.items())} FROM m""",
-    "drawdown": f"""WITH {B5}, r AS (SELECT symbol, ts, least(coalesce((lead(close) OVER {_W} - close) / nullif(close, 0), 0), 0.05) AS r FROM bars),
-c AS (SELECT *, sum(r) OVER {_W} AS a, exp(sum(ln(1 + r / 100)) OVER {_W}) AS m FROM r)
+    "drawdown": f"""WITH {B5}, r AS (SELECT symbol, ts, coalesce((lead(close) OVER {_W} - close) / (close + 1500), 0) AS r FROM bars),
+c AS (SELECT *, sum(r) OVER {_W} AS a, exp(sum(ln(1 + r)) OVER {_W}) AS m FROM r)
 SELECT symbol, ts, {p.r(f'max(a) OVER {_W} - a', 'additive')}, {p.r(f'(max(m) OVER {_W} - m) / max(m) OVER {_W}', 'compound')} FROM c""",
     "intraday_regime": f"""WITH RECURSIVE {_INTRADAY}
 SELECT symbol, ts, istate AS intraday_state, {p.r('conf', 'intraday_conf')}, x AS atr_expanding FROM i""",
@@ -184,13 +183,13 @@ m AS (SELECT *, count(r) OVER v AS n, stddev_samp(r) OVER v AS sd, covar_samp(r,
 SELECT symbol, ts, {p.r('sd', 'realized_vol')},
   {p.r('CASE WHEN pairs >= 10 AND rs >= 10 AND va <> 0 THEN greatest(-1, least(1, cv / va)) ELSE 0 END', 'autocorrelation')}
 FROM m WHERE n >= 5 AND sd IS NOT NULL""",
-    "trades_rule_signal": f"""WITH RECURSIVE {_T5} SELECT symbol, direction, entry_ts, entry_price, exit_ts, exit_price, bars_held,
+    "trades_rule_signal": f"""WITH RECURSIVE {_T5} SELECT symbol, direction, entry_ts, {p.r('entry_price', 'entry_price')}, exit_ts, {p.r('exit_price', 'exit_price')}, bars_held,
   {p.r('pnl_pct', 'pnl_pct')}, regime_state FROM tr""",
-    "signal_rule": f"""WITH {B1}, u AS (SELECT symbol, ts, (close - low) / (high - low) AS u FROM bars WHERE high > low)
+    "signal_rule": f"""WITH {B1}, u AS (SELECT symbol, ts, CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS u FROM bars)
 SELECT symbol, ts, CASE WHEN greatest(u, 1 - u) <= 0.55 THEN 'neutral' WHEN u > 1 - u THEN 'long' ELSE 'short' END AS direction,
   {p.r('CASE WHEN greatest(u, 1 - u) <= 0.55 THEN 0 ELSE greatest(u, 1 - u) END', 'confidence')} FROM u""",
     "trade_grid": _grid(),
-    "trade_metrics": f"""WITH RECURSIVE {_T5}, {_CALM},
+    "trade_metrics": f"""WITH RECURSIVE {_T5}, c AS (SELECT * FROM tr),
 cu AS (SELECT *, exp(sum(ln(1 + pnl_pct / 100)) OVER (PARTITION BY symbol ORDER BY exit_ts)) AS eq FROM c),
 dd AS (SELECT *, (max(eq) OVER (PARTITION BY symbol ORDER BY exit_ts) - eq) / max(eq) OVER (PARTITION BY symbol ORDER BY exit_ts) AS d FROM cu)
 SELECT symbol, {p.r(_GROW, 'total_return')}, {p.r(_SHARPE, 'sharpe_ratio')},
@@ -200,10 +199,10 @@ SELECT symbol, {p.r(_GROW, 'total_return')}, {p.r(_SHARPE, 'sharpe_ratio')},
   count(*) AS trade_count, {p.r('avg(pnl_pct) FILTER (WHERE pnl_pct > 0)', 'avg_win')},
   {p.r('avg(pnl_pct) FILTER (WHERE pnl_pct <= 0)', 'avg_loss')}, {p.r('max(pnl_pct)', 'best_trade')},
   {p.r('min(pnl_pct)', 'worst_trade')} FROM dd GROUP BY symbol""",
-    "metrics_by_regime": f"""WITH RECURSIVE {_T5}, {_CALM} SELECT symbol, regime_state, count(*) AS trade_count,
+    "metrics_by_regime": f"""WITH RECURSIVE {_T5}, c AS (SELECT * FROM tr) SELECT symbol, regime_state, count(*) AS trade_count,
   {p.r('100 * avg(CASE WHEN pnl_pct > 0 THEN 1.0 ELSE 0.0 END)', 'win_rate')}, {p.r(_SHARPE, 'sharpe_ratio')},
   {p.r(_GROW, 'total_return')} FROM c GROUP BY symbol, regime_state""",
-    "metrics_by_direction": f"""WITH RECURSIVE {_T5}, {_CALM} SELECT symbol, direction, count(*) AS trade_count,
+    "metrics_by_direction": f"""WITH RECURSIVE {_T5}, c AS (SELECT * FROM tr) SELECT symbol, direction, count(*) AS trade_count,
   count(*) FILTER (WHERE pnl_pct > 0) AS win_count, {p.r('100.0 * count(*) FILTER (WHERE pnl_pct > 0) / count(*)', 'win_rate')},
   {p.r('CASE WHEN sum(pnl_pct) FILTER (WHERE pnl_pct < 0) < 0 THEN least(coalesce(sum(pnl_pct) FILTER (WHERE pnl_pct > 0), 0) / abs(sum(pnl_pct) FILTER (WHERE pnl_pct < 0)), 99.99) WHEN max(pnl_pct) > 0 THEN 99.99 ELSE 0 END', 'profit_factor')},
   {p.r('sum(pnl_pct)', 'total_return')} FROM c GROUP BY symbol, direction""",

@@ -58,11 +58,28 @@ def rsi_7(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ind.rsi(event_bars(spark, folder, "1h"), 7, "rsi_7").select("symbol", "ts", "rsi_7"))
 
 
+def rsi_2(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(ind.rsi(event_bars(spark, folder, "5m"), 2, "rsi_2").select("symbol", "ts", "rsi_2"))
+
+
+def rsi_200(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(ind.rsi(event_bars(spark, folder, "5m"), 200, "rsi_200").select("symbol", "ts", "rsi_200"))
+
+
+def atr_5(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(ind.atr(event_bars(spark, folder, "5m"), 5, "atr_5").select("symbol", "ts", "atr_5"))
+
+
 def macd(spark: SparkSession, folder: str) -> DataFrame:
     out = ind.macd(event_bars(spark, folder, "1h"))
     return rounded(out.select("symbol", "ts", "macd_line", "macd_signal", "macd_histogram"))
 
 
+def macd_5_35_5(spark: SparkSession, folder: str) -> DataFrame:
+    out = ind.macd(event_bars(spark, folder, "5m"), 5, 35, 5)
+    return rounded(out.select("symbol", "ts", "macd_line", "macd_signal", "macd_histogram"))
+
+
 def atr_14(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ind.atr(event_bars(spark, folder, "1h")).select("symbol", "ts", "atr_14"))
 
@@ -132,7 +149,7 @@ def weekend_gaps(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         bars_1h, bars_5m, resample_4h, multi_timeframe, daily_sample, daily_sample_mixed, daily_bars, bar_shapes,
-        rsi_14, rsi_7, macd, atr_14, adx_14, bollinger, log_returns, rolling_vol, momentum, atr_mean, feature_table,
+        rsi_14, rsi_7, rsi_2, rsi_200, macd, macd_5_35_5, atr_14, atr_5, adx_14, bollinger, log_returns, rolling_vol, momentum, atr_mean, feature_table,
         session_flags, month_turn, holding_periods, weekend_gaps,
     )
 }

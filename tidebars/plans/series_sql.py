@@ -71,6 +71,14 @@ SELECT symbol, '1d' AS timeframe, date_trunc('day', ts)::TIMESTAMP AS ts, arg_mi
 SELECT b.symbol, b.ts, {p.r(RSI14, 'rsi_14')} FROM b LEFT JOIN s USING (symbol, rn)""",
     "rsi_7": f"""WITH RECURSIVE {B1}, {p.numbered()}, {p.rsi('s', 'b', 7)}
 SELECT b.symbol, b.ts, {p.r(RSI14, 'rsi_7')} FROM b LEFT JOIN s USING (symbol, rn)""",
+    **{f"rsi_{n}": f"""WITH RECURSIVE {B5}, {p.numbered()}, {p.rsi('s', 'b', n)}
+SELECT b.symbol, b.ts, {p.r(p.RSI_VALUE.format('s'), f'rsi_{n}')} FROM b LEFT JOIN s USING (symbol, rn)""" for n in (2, 200)},
+    "atr_5": f"""WITH RECURSIVE {B5}, {p.numbered()}, t AS (SELECT *, {p.TR.format('b')} AS tr FROM b),
+{p.wilder('a', 't', 'tr', 5)} SELECT b.symbol, b.ts, {p.r('a.y', 'atr_5')} FROM b LEFT JOIN a USING (symbol, rn)""",
+    "macd_5_35_5": f"""WITH RECURSIVE {B5}, {p.numbered()}, {p.macd_ctes('b', 5, 35, 5)}
+SELECT b.symbol, b.ts, {p.r('line.close', 'macd_line')}, {p.r('sig.y', 'macd_signal')},
+  {p.r('line.close - sig.y', 'macd_histogram')}
+FROM b LEFT JOIN line USING (symbol, rn) LEFT JOIN sig ON sig.symbol = b.symbol AND sig.rn = b.rn - 34""",
     "macd": f"""WITH RECURSIVE {B1}, {p.numbered()}, {p.macd_ctes()}
 SELECT b.symbol, b.ts, {p.r('line.close', 'macd_line')}, {p.r('sig.y', 'macd_signal')},
   {p.r('line.close - sig.y', 'macd_histogram')}

@@ -81,10 +81,10 @@ def wilder(name: str, source: str, x: str, period: int = 14) -> str:
                      {"y": f"(s.y * {period - 1} + x.{x}) / {period}"})
 
 
-def macd_ctes(source: str = "b") -> str:
-    return f"""{ema('e12', source, 'close', 12)}, {ema('e26', source, 'close', 26)},
-line AS (SELECT e26.symbol, e26.rn, e12.y - e26.y AS close FROM e26 JOIN e12 USING (symbol, rn)),
-ln AS (SELECT symbol, rn - 25 AS rn, close FROM line), {ema('sig', 'ln', 'close', 9)}"""
+def macd_ctes(source: str = "b", fast: int = 12, slow: int = 26, signal: int = 9) -> str:
+    return f"""{ema('ef', source, 'close', fast)}, {ema('es', source, 'close', slow)},
+line AS (SELECT es.symbol, es.rn, ef.y - es.y AS close FROM es JOIN ef USING (symbol, rn)),
+ln AS (SELECT symbol, rn - {slow - 1} AS rn, close FROM line), {ema('sig', 'ln', 'close', signal)}"""
 
 
 VOL20 = """rt AS (
@@ -115,3 +115,12 @@ def in_hours(ts: str, start: int, end: int) -> str:
 
 def month_turn(ts: str) -> str:
     return f"(day({ts}) <= 2 OR day({ts}) >= day(last_day({ts})) - 1)"
+
+
+# fixed values: the 24 model inputs in their order, written out again so that comparisons do not share our list
+INPUTS = [
+    "rsi_14", "rsi_7", "macd_line", "macd_signal", "macd_histogram", "bb_percent_b", "bb_width", "atr_14",
+    "return_1bar", "return_5bar", "return_12bar", "rolling_volatility_20", "momentum_48",
+    "is_london_session", "is_ny_session", "is_overlap_session", "is_asian_session",
+    "hour_of_day", "day_of_week", "is_month_turn", "dxy_return_1h", "dxy_rsi_14", "vix_level", "vix_change",
+]

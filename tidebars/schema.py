@@ -35,7 +35,7 @@ WARMUP_BARS = 49
 # canonical order of the model inputs
 FEATURE_COLUMNS = [
     "rsi_14", "rsi_7", "macd_line", "macd_signal", "macd_histogram",
-    "bb_width", "bb_percent_b", "atr_14",
+    "bb_percent_b", "bb_width", "atr_14",
     "return_1bar", "return_5bar", "return_12bar", "rolling_volatility_20", "momentum_48",
     "is_london_session", "is_ny_session", "is_overlap_session", "is_asian_session",
     "hour_of_day", "day_of_week", "is_month_turn",
@@ -98,9 +98,13 @@ _FEATURE_TYPES = {
 }
 FEATURES = _fields(
     [("symbol", _S), ("timeframe", _S), ("ts", _TS)]
-    + [(c, _D) for c in FEATURE_COLUMNS[:5]]
-    + [(c, _D) for c in ["bb_upper", "bb_middle", "bb_lower"]]
-    + [(c, _FEATURE_TYPES.get(c, _D)) for c in FEATURE_COLUMNS[5:]]
+    + [(c, _FEATURE_TYPES.get(c, _D)) for c in [
+        "rsi_14", "rsi_7", "macd_line", "macd_signal", "macd_histogram",
+        "bb_upper", "bb_middle", "bb_lower", "bb_width", "bb_percent_b", "atr_14",
+        "return_1bar", "return_5bar", "return_12bar", "rolling_volatility_20", "momentum_48",
+        "is_london_session", "is_ny_session", "is_overlap_session", "is_asian_session",
+        "hour_of_day", "day_of_week", "is_month_turn", "dxy_return_1h", "dxy_rsi_14", "vix_level", "vix_change",
+    ]]
     + [("warmup_complete", _B)]
 )
 
