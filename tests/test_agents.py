@@ -90,8 +90,11 @@ def test_rewards_by_hand(spark):
     assert rows["reward"].tolist() == pytest.approx((base + [-0.12, -0.1, -0.12, -0.02, 0]).tolist())
     both = rw.apply_rewards(book, a=rw.pnl_reward, b=rw.risk_reward)
     assert {"a", "b"} <= set(both.columns) and "reward" not in both.columns
-    market = spark.createDataFrame([(datetime(2024, 1, 2), 9.0, "low_vol_trend")], "ts timestamp, atr_14 double, regime_state string")
-    context = rw.reward_context(book, market, config).orderBy("step").collect()
+    market = spark.createDataFrame([("A", "5m", datetime(2024, 1, 2), 9.0, "low_vol_trend"), ("B", "5m", datetime(2024, 1, 2), 8.0, "ranging")],
+                                   "symbol string, timeframe string, ts timestamp, atr_14 double, regime_state string")
+    own = book.withColumns({"symbol": F.lit("A"), "timeframe": F.lit("5m")})
+    context = rw.reward_context(own, market, config).orderBy("step").collect()
+    assert len(context) == len(actions)
     assert (context[0].atr_14, context[1].atr_14, context[0].margin_per_lot) == (9.0, None, 2000.0)
 
 

@@ -261,7 +261,7 @@ def test_hidden_state_jobs(spark):
     with pytest.raises(Exception, match="at least 50"):
         hs.fit_states(features.limit(40)).collect()
     names = {r.state_index: r.state for r in hs.name_states(spark.createDataFrame(
-        [("s", [[0.1, 0.5], [0.9, 0.2], [0.5, -0.4]])], "symbol string, means array<array<double>>")).collect()}
+        [("s", "1d", [[0.1, 0.5], [0.9, 0.2], [0.5, -0.4]])], "symbol string, timeframe string, means array<array<double>>")).collect()}
     assert names == {0: "low_vol_trend", 1: "high_vol_trend", 2: "ranging"}
 
 

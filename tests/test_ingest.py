@@ -144,7 +144,7 @@ def test_table_upsert_and_migration(spark, tmp_path):
     some = range_scan(table, "XAUUSD", "5m", first["ts"].iloc[10], first["ts"].iloc[20])
     assert some.count() == 11
     plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters")[1].split("]")[0]
     old = frame(spark, walk(10)).drop("volume")
     old_path = str(tmp_path / "old")
     write_table(old, old_path)

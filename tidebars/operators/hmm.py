@@ -22,7 +22,7 @@ STATE_CYCLE = ("low_vol_trend", "high_vol_trend", "ranging")
 MIN_ROWS, FIRST_SEED, RESTARTS, MAX_ITER, TOLERANCE, VARIANCE_PRIOR = 50, 42, 10, 1000, 1e-2, 1e-2
 COVARIANCES = ("diag", "full", "spherical", "tied")
 
-PARAMS = ("symbol string, seed int, log_likelihood double, n_samples long, start array<double>, "
+PARAMS = ("symbol string, timeframe string, seed int, log_likelihood double, n_samples long, start array<double>, "
           "transitions array<array<double>>, means array<array<double>>, covariances array<array<array<double>>>")
 
 
@@ -136,41 +136,41 @@ def fit(x: np.ndarray, states: int, covariance: str, seed: int, max_iter: int, t
 
 def fit_states(features: DataFrame, states: int = 3, covariance: str = "diag", restarts: int = RESTARTS,
                first_seed: int = FIRST_SEED, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> DataFrame:
-    """Best parameters per symbol (one row each) over ``restarts`` starting points.
+    """Best parameters per series (one row each) over ``restarts`` starting points.
 
-    Symbols with fewer than 50 rows are an error, raised by the job.
+    Series with fewer than 50 rows are an error, raised by the job.
     """
     if covariance not in COVARIANCES:
         raise ValueError(f"covariance must be one of {', '.join(COVARIANCES)}")
     seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + restarts - 1)))
-    tasks = features.select("symbol", "ts", "realized_vol", "autocorrelation").withColumn("seed", seeds)
+    tasks = features.select(*SERIES, "ts", "realized_vol", "autocorrelation").withColumn("seed", seeds)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        symbol, seed = group["symbol"].iloc[0], int(group["seed"].iloc[0])
+        symbol, timeframe, seed = group["symbol"].iloc[0], group["timeframe"].iloc[0], int(group["seed"].iloc[0])
         if len(group) < MIN_ROWS:
-            raise ValueError(f"{symbol}: {len(group)} daily rows, at least {MIN_ROWS} are needed")
+            raise ValueError(f"{symbol} {timeframe}: {len(group)} daily rows, at least {MIN_ROWS} are needed")
         x = group.sort_values("ts")[["realized_vol", "autocorrelation"]].to_numpy(float)
         got = fit(x, states, covariance, seed, max_iter, tolerance)
         return pd.DataFrame([{
-            "symbol": symbol, "seed": seed, "log_likelihood": got["log_likelihood"], "n_samples": len(x),
+            "symbol": symbol, "timeframe": timeframe, "seed": seed, "log_likelihood": got["log_likelihood"], "n_samples": len(x),
             **{k: got[k].tolist() for k in ("start", "transitions", "means", "covariances")},
         }])
 
-    fits = spread(tasks, "symbol", "seed").groupBy("symbol", "seed").applyInPandas(one, PARAMS)
+    fits = spread(tasks, *SERIES, "seed").groupBy(*SERIES, "seed").applyInPandas(one, PARAMS)
     rank = F.struct("log_likelihood", -F.col("seed"))
-    return fits.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in fits.columns if c != "symbol"]), rank)
-                                      .alias("_best")).select("symbol", "_best.*")
+    return fits.groupBy(*SERIES).agg(F.max_by(F.struct(*[c for c in fits.columns if c not in SERIES]), rank)
+                                     .alias("_best")).select(*SERIES, "_best.*")
 
 
 def name_states(params: DataFrame) -> DataFrame:
-    """(symbol, state_index, state): names from mean volatility and autocorrelation.
+    """(symbol, timeframe, state_index, state): names from mean volatility and autocorrelation.
 
     Three states: least autocorrelated is ranging, of the others the more volatile is high_vol_trend.
     Two: by volatility. More: by volatility, cycling through the names.
     """
     means = F.transform("means", lambda m, i: F.struct(
         F.element_at(m, 1).alias("vol"), F.element_at(m, 2).alias("ac"), i.alias("i")))
-    table = params.select("symbol", F.size("means").alias("n"), means.alias("m"))
+    table = params.select(*SERIES, F.size("means").alias("n"), means.alias("m"))
     by_vol = F.array_sort(F.col("m"))
     by_ac = F.array_sort(F.transform("m", lambda s: F.struct(s["ac"].alias("ac"), s["i"].alias("i"))))
     table = table.withColumns({"by_vol": F.transform(by_vol, lambda s: s["i"]), "ranging": by_ac[0]["i"]})
@@ -178,29 +178,29 @@ def name_states(params: DataFrame) -> DataFrame:
     order = (
         F.when(F.col("n") == 3, F.array(trends[0], F.try_element_at(trends, F.lit(2)), F.col("ranging")))
         .otherwise(F.col("by_vol")))
-    named = table.withColumn("order", order).select("symbol", F.posexplode("order").alias("pos", "state_index"))
+    named = table.withColumn("order", order).select(*SERIES, F.posexplode("order").alias("pos", "state_index"))
     cycle = F.array(*[F.lit(s) for s in STATE_CYCLE])
-    return named.select("symbol", "state_index", F.element_at(cycle, (F.col("pos") % 3 + 1).cast("int")).alias("state"))
+    return named.select(*SERIES, "state_index", F.element_at(cycle, (F.col("pos") % 3 + 1).cast("int")).alias("state"))
 
 
 def filter_states(features: DataFrame, params: DataFrame) -> DataFrame:
     """Most likely state and its probability at every row, from that row and earlier ones only."""
     fields = ["start", "transitions", "means", "covariances"]
-    joined = features.select("symbol", "ts", "realized_vol", "autocorrelation")
+    joined = features.select(*SERIES, "ts", "realized_vol", "autocorrelation")
 
     def one(key, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or model.empty:
-            return pd.DataFrame({"symbol": [], "ts": [], "state_index": [], "hmm_prob": []})
+            return pd.DataFrame({"symbol": [], "timeframe": [], "ts": [], "state_index": [], "hmm_prob": []})
         rows = rows.sort_values("ts")
         start, trans, means, covs = (np.array(_nested(model[f].iloc[0]), dtype=float) for f in fields)
         probs, _ = filtered(rows[["realized_vol", "autocorrelation"]].to_numpy(float), start, trans, means, covs)
-        return pd.DataFrame({"symbol": rows["symbol"], "ts": rows["ts"], "state_index": probs.argmax(axis=1),
+        return pd.DataFrame({"symbol": rows["symbol"], "timeframe": rows["timeframe"], "ts": rows["ts"], "state_index": probs.argmax(axis=1),
                              "hmm_prob": probs.max(axis=1)})
 
-    scored = joined.groupBy("symbol").cogroup(params.select("symbol", *fields).groupBy("symbol")).applyInPandas(
-        one, "symbol string, ts timestamp, state_index int, hmm_prob double")
-    named = scored.join(name_states(params), ["symbol", "state_index"])
-    return features.join(named, ["symbol", "ts"]).withColumnRenamed("state", "hmm_state")
+    scored = joined.groupBy(*SERIES).cogroup(params.select(*SERIES, *fields).groupBy(*SERIES)).applyInPandas(
+        one, "symbol string, timeframe string, ts timestamp, state_index int, hmm_prob double")
+    named = scored.join(name_states(params), [*SERIES, "state_index"])
+    return features.join(named, [*SERIES, "ts"]).withColumnRenamed("state", "hmm_state")
 
 
 def _nested(value):
@@ -208,21 +208,21 @@ def _nested(value):
 
 
 def state_report(states: DataFrame) -> DataFrame:
-    """Rows, share, mean volatility and mean autocorrelation per symbol and state."""
-    by = states.groupBy("symbol", "hmm_state").agg(
+    """Rows, share, mean volatility and mean autocorrelation per series and state."""
+    by = states.groupBy(*SERIES, "hmm_state").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("realized_vol").alias("mean_vol"), F.avg("autocorrelation").alias("mean_ac"))
-    total = states.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
-    return by.join(total, "symbol").withColumn("share", F.col("rows") / F.col("_all")).drop("_all")
+    total = states.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_all"))
+    return by.join(total, list(SERIES)).withColumn("share", F.col("rows") / F.col("_all")).drop("_all")
 
 
 def transition_matrix(params: DataFrame) -> DataFrame:
-    """The fitted matrix as rows (symbol, from_state, to_state, probability)."""
+    """The fitted matrix as rows (symbol, timeframe, from_state, to_state, probability)."""
     names = name_states(params)
-    cells = params.select("symbol", F.posexplode("transitions").alias("i", "_row")).select(
-        "symbol", "i", F.posexplode("_row").alias("j", "probability"))
-    source = names.select("symbol", F.col("state_index").alias("i"), F.col("state").alias("from_state"))
-    target = names.select("symbol", F.col("state_index").alias("j"), F.col("state").alias("to_state"))
-    return cells.join(source, ["symbol", "i"]).join(target, ["symbol", "j"]).drop("i", "j")
+    cells = params.select(*SERIES, F.posexplode("transitions").alias("i", "_row")).select(
+        *SERIES, "i", F.posexplode("_row").alias("j", "probability"))
+    source = names.select(*SERIES, F.col("state_index").alias("i"), F.col("state").alias("from_state"))
+    target = names.select(*SERIES, F.col("state_index").alias("j"), F.col("state").alias("to_state"))
+    return cells.join(source, [*SERIES, "i"]).join(target, [*SERIES, "j"]).drop("i", "j")
 
 
 def observed_transitions(states: DataFrame, column: str = "hmm_state", keys: Sequence[str] = SERIES) -> DataFrame:
@@ -230,4 +230,4 @@ def observed_transitions(states: DataFrame, column: str = "hmm_state", keys: Seq
     pairs = own_rows(blocked(states.select(*keys, "ts", column), back=1, keys=keys).withColumn(
         "from_state", F.lag(column).over(block_window(keys))))
     return pairs.filter(F.col("from_state").isNotNull()).groupBy(
-        "symbol", "from_state", F.col(column).alias("to_state")).agg(F.count(F.lit(1)).alias("times"))
+        *keys, "from_state", F.col(column).alias("to_state")).agg(F.count(F.lit(1)).alias("times"))

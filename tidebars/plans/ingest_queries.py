@@ -107,7 +107,9 @@ def latest_bar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def range_scan_series(spark: SparkSession, folder: str) -> DataFrame:
-    return range_scan(event_bars(spark, folder, "5m"), "click", "5m", datetime(2024, 1, 10), datetime(2024, 1, 20)
+    path = scratch(spark, "bars")
+    write_table(event_bars(spark, folder, "5m"), path, BARS)
+    return range_scan(read_stored(spark, path, BARS), "click", "5m", datetime(2024, 1, 10), datetime(2024, 1, 20)
                       ).select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
@@ -161,10 +163,10 @@ def table_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Bars stored, then corrected and extended by a second batch, twice; read back with a new column."""
     path = scratch(spark, "table")
     bars = event_bars(spark, folder, "1h").drop("is_complete")
-    write_table(bars.filter(F.day("ts") <= 20), path)
+    write_table(bars.filter(F.day("ts") <= 20), path, schema=BARS)
     fixed = bars.filter(F.day("ts") >= 15).withColumn("close", F.col("close") + 1)
     for _ in range(2):
-        write_table(fixed, path)
+        write_table(fixed, path, schema=BARS)
     return read_stored(spark, path, BARS).select("symbol", "timeframe", "ts", "close", "volume", "is_complete")
 
 

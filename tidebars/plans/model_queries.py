@@ -164,15 +164,15 @@ def hmm_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def regime_report(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(hs.state_report(_states(spark, folder)[1]), 4)
+    return rounded(hs.state_report(_states(spark, folder)[1]).drop("timeframe"), 4)
 
 
 def transition_report(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted transition probabilities next to how often the transitions were seen."""
     params, states = _states(spark, folder)
     seen = hs.observed_transitions(states)
-    return rounded(hs.transition_matrix(params).join(seen, ["symbol", "from_state", "to_state"], "left")
-                   .na.fill(0, ["times"]), 4)
+    return rounded(hs.transition_matrix(params).join(seen, [*SERIES, "from_state", "to_state"], "left")
+                   .na.fill(0, ["times"]).drop("timeframe"), 4)
 
 
 def _lifted(bars: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def ingest(raw: DataFrame, bars_path: str, rejects_path: str | None = None, targ
     checked = check_bars(raw, rules=options.pop("rules", HISTORICAL_RULES), default_timeframe="5m", **options)
     if rejects_path:
         rejected(checked).write.mode("append").parquet(rejects_path)
-    write_table(resample_many(accepted(checked), "5m", targets, keep_source=True), bars_path)
+    write_table(resample_many(accepted(checked), "5m", targets, keep_source=True), bars_path, BARS)
     return read_table(raw.sparkSession, bars_path, BARS)
 
 
@@ -40,9 +40,9 @@ def build_features(spark: SparkSession, bars_path: str, features_path: str, base
 
     Bars whose rules included price bounds have ``positive_prices``; by default the closes are checked.
     """
-    bars = read_table(spark, bars_path, BARS).drop("day")
+    bars = read_table(spark, bars_path, BARS).drop("month")
     cross = cross_asset(bars, base, index, gauge) if base and index and gauge else None
-    write_table(compute_features(bars, cross, positive_prices), features_path)
+    write_table(compute_features(bars, cross, positive_prices), features_path, FEATURES)
     return read_table(spark, features_path, FEATURES)
 
 

@@ -1,4 +1,4 @@
-"""Bars and features at rest: Parquet partitioned by symbol, timeframe and day, with upserts."""
+"""Bars and features at rest: Parquet partitioned by symbol, timeframe and month, with upserts."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARTITIONS = ("symbol", "timeframe", "day")
+PARTITIONS = ("symbol", "timeframe", "month")
 KEYS = ("symbol", "timeframe", "ts")
 
 # fixed values: columns of the feature export, in file order
@@ -42,18 +42,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def write_table(df: DataFrame, path: str) -> None:
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The files in the declared layout. Columns that older files lack are null; no footers are opened to plan."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("month", T.DateType())])).parquet(path)
+
+
+def write_table(df: DataFrame, path: str, schema: T.StructType | None = None, order: str | None = None) -> None:
     """Upsert: rows replace stored ones with the same key; only the touched partitions are rewritten.
 
-    All rows of one (symbol, timeframe, day) go to one file, which a day of bars always fits. Rows are
-    sorted by time inside the file, so that time filters skip row groups.
+    All rows of one (symbol, timeframe, month) go to one file, about 9,000 of 5-minute bars. Rows are sorted by
+    time inside the file, so that time filters skip row groups. ``schema`` declares the table's columns;
+    without it they are those of ``df``, and columns that only stored files have are not kept. Of rows with
+    equal keys in ``df``, that with the greatest ``order`` column is taken; without one they must not occur.
     """
     spark = df.sparkSession
-    new = newest_per_key(df.withColumn("_age", F.monotonically_increasing_id()), "_age").drop("_age")
-    new = new.withColumn("day", F.to_date("ts"))
+    target = schema or df.drop("month").schema
+    new = newest_per_key(add_missing(df, T.StructType([*target.fields, *([df.schema[order]] if order and order not in target.names else [])])),
+                         order or "ts")
+    new = add_missing(new, target).withColumn("month", F.to_date(F.date_trunc("month", "ts")))
     if _exists(spark, path):
         touched = new.select(*PARTITIONS).distinct()
-        old = spark.read.option("mergeSchema", True).parquet(path).join(touched, list(PARTITIONS), "left_semi")
+        old = _stored(spark, path, target).join(touched, list(PARTITIONS), "left_semi")
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
         new = newest_per_key(both, "_new").drop("_new")
     (
@@ -68,8 +77,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The stored table in the current schema, whatever layout its files were written in."""
-    stored = spark.read.option("mergeSchema", True).parquet(path)
-    return add_missing(stored, T.StructType([*schema.fields, T.StructField("day", T.DateType())]))
+    return _stored(spark, path, schema)
 
 
 def range_scan(table: DataFrame, symbol: str, timeframe: str, start: datetime, end: datetime,
@@ -78,10 +86,10 @@ def range_scan(table: DataFrame, symbol: str, timeframe: str, start: datetime, e
     out = table.filter(
         (F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)
         & (F.col("ts") >= F.lit(start)) & (F.col("ts") <= F.lit(end)))
-    if "day" in table.columns:
+    if "month" in table.columns:
         # a day of slack on both sides, so that the pruning holds for any zone of start and end
-        out = out.filter((F.col("day") >= F.lit((start - timedelta(days=1)).date()))
-                         & (F.col("day") <= F.lit((end + timedelta(days=1)).date())))
+        out = out.filter((F.col("month") >= F.lit((start - timedelta(days=1)).date().replace(day=1)))
+                         & (F.col("month") <= F.lit((end + timedelta(days=1)).date())))
     return out.orderBy("ts") if ordered else out
 
 
