@@ -1,7 +1,8 @@
+"""Tables with the odd rows that every operator has to stand."""
+
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import Row
 
 CLASHING = "doc long, n long, h string, hashes string, bands string, component string, kept string, text_sha256 string, path string, class string"
 
@@ -20,7 +21,3 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.limit(0)
-
-
-def rows(df, *order: str) -> list[Row]:
-    return sorted(df.collect(), key=lambda r: tuple((r[c] is None, r[c]) for c in order))

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from odd_tables import no_docs, odd_docs  # noqa: F401
 
 from tidebars.llm import (
     byte_bpe, components, decontaminate, exact_dedup, minhash_dedup, pitman_yor, quality, secret_ledger, text_arrays, toxicity,
