@@ -72,7 +72,7 @@ def choose(texts: list[np.ndarray], toxic: np.ndarray, terms: int = TERMS) -> np
 
 
 def fit(texts: list[np.ndarray], toxic: np.ndarray, turns: int = 40, batch: int = 256, step: float = 0.02,
-        decay: float = 1e-4) -> Machine:
+        decay: float = 1e-5) -> Machine:
     """Adam over shuffled batches. Without both labels the machine knows the share of toxic texts alone."""
     share = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
     chosen = choose(texts, toxic) if 0 < toxic.sum() < len(toxic) else np.zeros(0, np.int64)
