@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidebars.llm.columns import materialize
 
 
+FEW = 250_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): every linked id and the smallest id that it reaches, itself included.
 
@@ -15,12 +18,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours, then to its smaller ones. Each is an aggregate (combined on the map side) and an equi-join,
     so a node with very many links is never gathered in one place, and chains shrink by a factor a turn.
     Each turn is a written table, which cuts lineage and survives lost executors. Links are pairs of two
-    different ids; repeated and reversed ones do no harm; no links give an empty result.
+    different ids; repeated and reversed ones do no harm; no links give an empty result. Up to ``FEW`` links, of
+    16 bytes each, are read as one partition, in which no step shuffles anything.
     """
     edges = materialize(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
                         .filter("hi > lo").distinct())
     state = _state(edges)
     while True:
+        if state[0] <= FEW:
+            edges = edges.coalesce(1)
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("n")).agg(F.least(F.min("lo"), F.col("n")).alias("m"))
         large = (both.select(F.col("hi").alias("n"), F.col("lo").alias("v")).filter("v > n").join(least, "n")

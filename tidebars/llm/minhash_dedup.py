@@ -40,10 +40,9 @@ def min_max(shingles: np.ndarray, factors: np.ndarray, summands: np.ndarray) ->
     return low, high
 
 
-def bands(shingles: np.ndarray, permutations: int = PERMUTATIONS, band: int = BAND) -> np.ndarray:
+def banded(low: np.ndarray, high: np.ndarray, band: int = BAND) -> np.ndarray:
     """Band keys. A band holds minima of some permutations and maxima of others, never both ends of one."""
-    low, high = min_max(shingles, *_permutations(permutations))
-    half = band // 2
+    permutations, half = len(low), band // 2
     values = np.concatenate([low.reshape(-1, half), np.roll(high, -permutations // 2).reshape(-1, half)], axis=1).astype(np.uint64)
     keys = np.arange(len(values), dtype=np.uint64) + np.uint64(1)
     for i in range(values.shape[1]):
@@ -62,20 +61,47 @@ def _sketches(permutations: int, band: int, shingle: int):
                 grams = shingle_set(hashes_of(words, known), shingle)
                 sizes.append(len(grams))
                 classes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                keys.append(bands(grams, permutations, band) if len(grams) else [])
+                keys.append(banded(*min_max(grams, *_permutations(permutations)), band) if len(grams) else [])
             yield pd.DataFrame({"doc": batch["doc"], "n": sizes, "class": classes, "bands": keys})
     return run
 
 
-def _sets(shingle: int):
+def _sets(permutations: int, band: int, shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            grams = [shingle_set(hashes_of(lower_words(text), known), shingle).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc"], "grams": grams})
+            grams = [shingle_set(hashes_of(lower_words(text), known), shingle) for text in batch["text"]]
+            ends = [min_max(g, *_permutations(permutations)) for g in grams]
+            yield pd.DataFrame({"doc": batch["doc"], "grams": [g.view(np.int64) for g in grams],
+                                "marks": [np.concatenate(e).astype(np.int16) for e in ends], "bands": [banded(*e, band) for e in ends]})
     return run
 
 
+def least_equal(marks: int, percent: int) -> int:
+    """Equal values of two signatures below which a pair is given up: 5.2 deviations below what is expected of a
+    pair at the threshold, of which fewer than one in a million fall there."""
+    share = percent / 100
+    return int(marks * (share - 5.2 * (share * (1 - share) / marks) ** 0.5))
+
+
+def _reach(sets: DataFrame) -> DataFrame:
+    """(doc, n, common, marks, bands): size, how many of the shingles any other candidate has too, signature, bands.
+
+    Two sets overlap by no more than the smaller ``common``, which rules most pairs out before they are formed. A
+    key with several texts counts with the least size and the most overlap of these and without a signature.
+    """
+    owners = (sets.select("doc", F.explode("grams").alias("gram")).groupBy("gram")
+              .agg(F.count("*").alias("times"), F.min("doc").alias("owner")).filter("times = 1"))
+    private = owners.groupBy("owner").agg(F.count("*").alias("private"))
+    sizes = sets.groupBy(F.col("doc").alias("reach_doc")).agg(
+        F.count("*").alias("texts"), F.min(F.size("grams")).alias("n"), F.max(F.size("grams")).alias("most"),
+        F.any_value("marks").alias("marks"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"))
+    return (sizes.join(private, F.col("reach_doc") == F.col("owner"), "left")
+            .select("reach_doc", "n", F.when(F.col("texts") > 1, F.col("most")).otherwise(
+                F.col("n") - F.coalesce("private", F.lit(0))).cast("long").alias("common"),
+                F.when(F.col("texts") == 1, F.col("marks")).alias("marks"), "bands"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough."""
     left = sets.select(F.col("doc").alias("a"), F.col("grams").alias("x"))
@@ -106,8 +132,10 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     are candidates. Each bucket is tested against its smallest member first; confirmed links are closed to
     components, and only buckets whose members still lie in different components go on, with four times as
     many members to test against in each round, until no untested pair of different components is left in
-    any bucket. So a large group of near copies costs one test per member, and no candidate is left out.
-    Links are confirmed on the full shingle sets.
+    any bucket. So a large group of near copies costs one test per member, and no candidate is left out: a
+    pair is formed in the least band that it shares, and passed over only where shingles that no other
+    candidate has leave it too little to share, or where the signatures are 5.2 deviations away from the
+    threshold. Links are confirmed on the full shingle sets.
 
     Null and empty texts and texts of white space have no shingles, are linked with nothing and are kept. Rows
     that repeat a key are one document, which the links of any of its rows join. A row without a key
@@ -126,21 +154,31 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     members = materialize(entries.join(shared, "band"))
     wanted = members.select("doc").distinct().withColumnRenamed("doc", "wanted")
     sets = materialize(rows.join(wanted, F.col("doc") == F.col("wanted"), "left_semi").mapInPandas(
-        _sets(shingle), f"doc {kind}, grams array<long>").dropDuplicates(["doc", "grams"]))
+        _sets(permutations, band, shingle), f"doc {kind}, grams array<long>, marks array<short>, bands array<long>")
+        .dropDuplicates(["doc", "grams"]))
 
     heads = materialize(_heads(sketches.drop("bands")))
     links = materialize(_confirmed(members.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
                                    .distinct(), sets, percent).unionByName(_repeated(heads)))
     groups = components(links)
-    members = materialize(_open(members.filter("doc != hub").select("band", "doc"), groups).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("band").orderBy("doc"))))
+    reach = materialize(_reach(sets))
+    members = materialize(_open(members.filter("doc != hub").select("band", "doc"), groups)
+                          .join(reach, F.col("doc") == F.col("reach_doc")).drop("reach_doc")
+                          .withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc"))))
+    alike = F.aggregate(F.zip_with("marks", "ma", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
+    enough = F.lit(least_equal(2 * permutations, percent))
     done, more = 0, 4
     while not members.isEmpty():
         here = _with_component(members, groups)
-        pairs = (here.filter(F.col("rank") <= done + more)
-                 .select("band", F.col("doc").alias("a"), F.col("rank").alias("r"), F.col("component").alias("c"))
-                 .join(here.select("band", F.col("doc").alias("b"), "rank", "component"), "band")
-                 .filter((F.col("rank") > F.col("r")) & (F.col("component") != F.col("c"))).select("a", "b").distinct())
+        tested = here.filter(F.col("rank") <= done + more).select(
+            "band", F.col("doc").alias("a"), F.col("rank").alias("r"), F.col("component").alias("c"), F.col("n").alias("na"),
+            F.col("common").alias("ca"), F.col("marks").alias("ma"), F.col("bands").alias("ba"))
+        pairs = (tested.join(here.withColumnRenamed("doc", "b"), "band")
+                 .filter((F.col("rank") > F.col("r")) & (F.col("component") != F.col("c"))
+                         & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
+                         & (F.col("band") == F.array_min(F.array_intersect("bands", "ba")))  # once per pair
+                         & (F.coalesce(alike, enough) >= enough))
+                 .select("a", "b").distinct())
         fresh = materialize(_confirmed(pairs, sets, percent))
         if not fresh.isEmpty():
             groups = components(groups.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -177,3 +215,22 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """``docs`` with one row of each near-duplicate group; rows without a key always stay."""
     gone = near_groups(docs, text, key).filter(~F.col("kept") & F.col(key).isNotNull())
     return drop_ids(docs, gone, key)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -82,4 +82,5 @@ SQL = {
     "op2_decontamination": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_secret_scan": secret_ledger.SQL,
+    "op10_minhash_dedup": minhash_dedup.SQL,
 }
