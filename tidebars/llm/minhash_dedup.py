@@ -17,6 +17,7 @@ from tidebars.llm.text_arrays import WordHashes, hashes_of, lower_words, shingle
 SHINGLE = 5
 PERCENT = 75
 PERMUTATIONS = 144
+MARKS = 768  # minima and maxima, a byte each, by which unsettled pairs are compared before their sets are
 BAND = 6  # values of a band; 48 bands: a pair of similarity 0.75 shares none with probability 8e-5, one of 0.8 5e-7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,26 +67,37 @@ def _sketches(permutations: int, band: int, shingle: int):
     return run
 
 
-def _sets(permutations: int, band: int, shingle: int):
+def _sets(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            grams = [shingle_set(hashes_of(lower_words(text), known), shingle) for text in batch["text"]]
-            ends = [min_max(g, *_permutations(permutations)) for g in grams]
-            yield pd.DataFrame({"doc": batch["doc"], "grams": [g.view(np.int64) for g in grams],
-                                "marks": [np.concatenate(e).astype(np.int16) for e in ends], "bands": [banded(*e, band) for e in ends]})
+            grams = [shingle_set(hashes_of(lower_words(text), known), shingle).view(np.int64) for text in batch["text"]]
+            yield pd.DataFrame({"doc": batch["doc"], "grams": grams})
+    return run
+
+
+def _signatures(permutations: int, band: int):
+    """Bands of the given sets, and the low bytes of more minima and maxima to compare pairs by."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at:at + 256]
+                grams = [np.asarray(g, np.int64).view(np.uint64) for g in part["grams"]]
+                yield pd.DataFrame({"doc": part["doc"], "size": [len(g) for g in grams],
+                                    "marks": [np.concatenate(min_max(g, *_permutations(MARKS // 2))).astype(np.uint8).view(np.int8) for g in grams],
+                                    "bands": [banded(*min_max(g, *_permutations(permutations)), band) for g in grams]})
     return run
 
 
 def least_equal(marks: int, percent: int) -> int:
-    """Equal values of two signatures below which a pair is given up: 5.2 deviations below what is expected of a
-    pair at the threshold, of which fewer than one in a million fall there."""
+    """Equal values of two signatures below which a pair is given up: 4.8 deviations below what is expected of a
+    pair at the threshold, of which one in a million falls there."""
     share = percent / 100
-    return int(marks * (share - 5.2 * (share * (1 - share) / marks) ** 0.5))
+    return int(marks * (share - 4.8 * (share * (1 - share) / marks) ** 0.5))
 
 
-def _reach(sets: DataFrame) -> DataFrame:
-    """(doc, n, common, marks, bands): size, how many of the shingles any other candidate has too, signature, bands.
+def _reach(sets: DataFrame, kind: str, permutations: int, band: int) -> DataFrame:
+    """(doc, n, common, marks, bands): size, how many of the shingles any other unsettled text has too, signature, bands.
 
     Two sets overlap by no more than the smaller ``common``, which rules most pairs out before they are formed. A
     key with several texts counts with the least size and the most overlap of these and without a signature.
@@ -93,8 +105,9 @@ def _reach(sets: DataFrame) -> DataFrame:
     owners = (sets.select("doc", F.explode("grams").alias("gram")).groupBy("gram")
               .agg(F.count("*").alias("times"), F.min("doc").alias("owner")).filter("times = 1"))
     private = owners.groupBy("owner").agg(F.count("*").alias("private"))
-    sizes = sets.groupBy(F.col("doc").alias("reach_doc")).agg(
-        F.count("*").alias("texts"), F.min(F.size("grams")).alias("n"), F.max(F.size("grams")).alias("most"),
+    signed = sets.mapInPandas(_signatures(permutations, band), f"doc {kind}, size int, marks array<byte>, bands array<long>")
+    sizes = signed.groupBy(F.col("doc").alias("reach_doc")).agg(
+        F.count("*").alias("texts"), F.min("size").alias("n"), F.max("size").alias("most"),
         F.any_value("marks").alias("marks"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"))
     return (sizes.join(private, F.col("reach_doc") == F.col("owner"), "left")
             .select("reach_doc", "n", F.when(F.col("texts") > 1, F.col("most")).otherwise(
@@ -134,7 +147,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     many members to test against in each round, until no untested pair of different components is left in
     any bucket. So a large group of near copies costs one test per member, and no candidate is left out: a
     pair is formed in the least band that it shares, and passed over only where shingles that no other
-    candidate has leave it too little to share, or where the signatures are 5.2 deviations away from the
+    candidate has leave it too little to share, or where longer signatures are 4.8 deviations away from the
     threshold. Links are confirmed on the full shingle sets.
 
     Null and empty texts and texts of white space have no shingles, are linked with nothing and are kept. Rows
@@ -154,19 +167,19 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     members = materialize(entries.join(shared, "band"))
     wanted = members.select("doc").distinct().withColumnRenamed("doc", "wanted")
     sets = materialize(rows.join(wanted, F.col("doc") == F.col("wanted"), "left_semi").mapInPandas(
-        _sets(permutations, band, shingle), f"doc {kind}, grams array<long>, marks array<short>, bands array<long>")
-        .dropDuplicates(["doc", "grams"]))
+        _sets(shingle), f"doc {kind}, grams array<long>").dropDuplicates(["doc", "grams"]))
 
     heads = materialize(_heads(sketches.drop("bands")))
     links = materialize(_confirmed(members.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
                                    .distinct(), sets, percent).unionByName(_repeated(heads)))
     groups = components(links)
-    reach = materialize(_reach(sets))
-    members = materialize(_open(members.filter("doc != hub").select("band", "doc"), groups)
-                          .join(reach, F.col("doc") == F.col("reach_doc")).drop("reach_doc")
+    members = materialize(_open(members.filter("doc != hub").select("band", "doc"), groups))
+    unsettled = materialize(sets.join(members.select(F.col("doc").alias("wanted")).distinct(), F.col("doc") == F.col("wanted"), "left_semi"))
+    reach = materialize(_reach(unsettled, kind, permutations, band))
+    members = materialize(members.join(reach, F.col("doc") == F.col("reach_doc")).drop("reach_doc")
                           .withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc"))))
     alike = F.aggregate(F.zip_with("marks", "ma", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
-    enough = F.lit(least_equal(2 * permutations, percent))
+    enough = F.lit(least_equal(MARKS, percent))
     done, more = 0, 4
     while not members.isEmpty():
         here = _with_component(members, groups)
