@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebars.session import checkpoint_dir, materialize, prepare
 
-__all__ = ["ascii_lower", "drop_ids", "materialize", "new_folder", "prepare", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "discard", "drop_ids", "materialize", "new_folder", "prepare", "table", "text_or_empty"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,6 +23,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    files = written.inputFiles()
+    if files:
+        jvm, spark = written.sparkSession._jvm, written.sparkSession
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.columns import materialize, text_or_empty
+from tidebars.llm.columns import discard, materialize, text_or_empty
 from tidebars.llm.text_arrays import lower_words
 
 CONTEXT_SHARE = 2e-4  # of all training tokens; a word at least as frequent has a restaurant of its own
-BLOCK_TOKENS = 4_000_000  # tokens that a task turns into one set of counts or requests
+BLOCK_TOKENS = 1_500_000  # tokens that a task turns into one set of counts or requests
 BURN_IN, SAMPLES = 1, 2
 ONE_BY_ONE = 32  # customers of a dish seated singly; later ones come in batches of an eighth of those seated
 STRENGTH = 1.0
@@ -295,12 +295,14 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", context_shar
                 yield pd.DataFrame({"word": np.frombuffer(w, np.uint64)[np.frombuffer(n, np.int64) >= least].view(np.int64)})
 
     chosen = [r[0] for r in unigrams.select("words", "n").mapInPandas(frequent, "word long").collect()]  # 1 / context_share at most
+    discard(unigrams)
     contexts = np.sort(np.array(chosen, np.int64).view(np.uint64))
     model = Model(tokens, types, contexts, buckets, (0.8, 0.8))
     state = materialize(rows.mapInPandas(_counted(contexts, buckets, block_tokens), COUNTS).groupBy("bucket").applyInPandas(_merged, COUNTS)
-                        .withColumn("samples", F.array().cast(STATE.split(", samples ")[1])))
+                        .withColumn("samples", F.array().cast(STATE.split(", samples ")[1])))  # no tables yet
     for number in range(1 + BURN_IN + SAMPLES):
-        state = materialize(state.mapInPandas(_sweep(model, number, keep=number > BURN_IN + 1), STATE))
+        before, state = state, materialize(state.mapInPandas(_sweep(model, number, keep=number > BURN_IN + 1), STATE))
+        discard(before)
         now = _totals(state, len(contexts))
         model.totals = [*model.totals, now] if number > BURN_IN + 1 else [now]
     return model, state
