@@ -133,15 +133,19 @@ def hash_name(name: str) -> int:
 
 def fit_scorer(rows: np.ndarray, junk: np.ndarray, turns: int = 400, step: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Weights and bias of a logistic scorer of soft labels, by full-batch gradients with momentum."""
-    weights, speed = np.zeros(rows.shape[1] + 1), np.zeros(rows.shape[1] + 1)
+    used = np.flatnonzero(rows.any(axis=0)) if len(junk) else np.zeros(0, np.int64)
+    seen = rows[:, used].astype(np.float64)
+    weights, speed = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     start = float(np.clip(junk.mean() if len(junk) else 0.05, 1e-3, 0.5))
     weights[-1] = np.log(start / (1 - start))
     for _ in range(turns if len(junk) else 0):
-        wrong = 1 / (1 + np.exp(-(rows @ weights[:-1] + weights[-1]))) - junk
-        slope = np.append(rows.T @ wrong / len(junk) + decay * weights[:-1], wrong.mean())
+        wrong = 1 / (1 + np.exp(-(seen @ weights[:-1] + weights[-1]))) - junk
+        slope = np.append(seen.T @ wrong / len(junk) + decay * weights[:-1], wrong.mean())
         speed = 0.9 * speed - step * slope
         weights = weights + speed
-    return weights
+    out = np.zeros(rows.shape[1] + 1)
+    out[used], out[-1] = weights[:-1], weights[-1]
+    return out
 
 
 def _voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
