@@ -22,7 +22,7 @@ from tidebars.llm.columns import discard, materialize, text_or_empty
 from tidebars.llm.text_arrays import lower_words
 
 CONTEXT_SHARE = 2e-4  # of all training tokens; a word at least as frequent has a restaurant of its own
-BLOCK_TOKENS = 1_500_000  # tokens that a task turns into one set of counts or requests
+BLOCK_TOKENS = 500_000  # tokens that a task turns into one set of counts or requests
 BURN_IN, SAMPLES = 1, 2
 ONE_BY_ONE = 32  # customers of a dish seated singly; later ones come in batches of an eighth of those seated
 STRENGTH = 1.0
@@ -233,18 +233,18 @@ def _sweep(model: Model, number: int, keep: bool):
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, customers, tables) of the last sample; context -1 is the root."""
+    """(context, customers, tables) of the last sample, added up over a task's buckets; context -1 is the root."""
+    customers, tables, root = np.zeros(1 << 16), np.zeros(1 << 16), [0, 0]
     for batch in batches:
         for row in batch.itertuples():
-            ctx, counts = np.frombuffer(row.ctx, np.uint16).astype(np.int64), np.frombuffer(row.n, np.int64)
-            last = row.samples[-1]
-            tables = np.frombuffer(last["tables"], np.int64)
-            customers = np.bincount(ctx, counts)
-            there = np.flatnonzero(customers)
-            yield pd.DataFrame({
-                "context": np.append(there, -1),
-                "customers": np.append(customers[there], np.frombuffer(last["root_customers"], np.int64).sum()).astype(np.int64),
-                "tables": np.append(np.bincount(ctx, tables)[there], np.frombuffer(last["root_tables"], np.int64).sum()).astype(np.int64)})
+            ctx, last = np.frombuffer(row.ctx, np.uint16).astype(np.int64), row.samples[-1]
+            customers += np.bincount(ctx, np.frombuffer(row.n, np.int64), 1 << 16)
+            tables += np.bincount(ctx, np.frombuffer(last["tables"], np.int64), 1 << 16)
+            root[0] += int(np.frombuffer(last["root_customers"], np.int64).sum())
+            root[1] += int(np.frombuffer(last["root_tables"], np.int64).sum())
+    there = np.flatnonzero(customers)
+    yield pd.DataFrame({"context": np.append(there, -1), "customers": np.append(customers[there], root[0]).astype(np.int64),
+                        "tables": np.append(tables[there], root[1]).astype(np.int64)})
 
 
 def _totals(state: DataFrame, contexts: int) -> Totals:
