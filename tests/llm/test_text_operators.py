@@ -379,3 +379,42 @@ def test_language_model_edges(odd_docs, no_docs):
     assert pitman_yor.score(no_docs, model, state).count() == 0
     alone = materialize(odd_docs.filter("doc_id = 4"))
     assert pitman_yor.score(alone, model, state).first()["n_known"] == 0
+
+
+def test_language_model_seats_every_context(spark):
+    """Rare words have restaurants in a large input too: pairs of words that each occur twice are learnt, against a plain count of pairs."""
+    import pandas as pd
+    common = " ".join(["a b"] * 4000)  # each rare word has less than 2e-4 of all tokens
+    rows = [(i, common if i % 10 == 0 else f"left{i // 2} right{i // 2}") for i in range(200)]
+    docs = materialize(spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])))
+    model, state = pitman_yor.train(docs)
+    counts = Counter()
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 10:
+            words = [b"", *text.encode().split(), b""]
+            counts.update(zip(words[1:], words[:-1], strict=True))
+    name = {pitman_yor.xxhash.xxh3_64_intdigest(w): w for pair in counts for w in pair}
+    kept, tables = {}, [Counter() for _ in model.totals]
+    mass = [Counter() for _ in model.totals]
+    followed = Counter()
+    for pair, n in counts.items():
+        followed[pair[1]] += n
+    rows_of, parents = state.collect(), []
+    for row in rows_of:
+        words, lens = np.frombuffer(row.words, np.uint64), np.frombuffer(row.lens, np.int32)
+        pairs = [(name[int(w)], name[int(c)]) for w, c in zip(np.repeat(words, lens), np.frombuffer(row.prev, np.uint64), strict=True)]
+        kept |= dict(zip(pairs, map(int, np.frombuffer(row.n, np.int64)), strict=True))
+        for i, sample in enumerate(row.samples):
+            for (_, c), t, n in zip(pairs, np.frombuffer(sample["tables"], np.int64), np.frombuffer(row.n, np.int64), strict=True):
+                tables[i][c] += int(t)
+                mass[i][c] += float(model.excess(n, t))
+    assert kept == dict(counts)
+    for row in rows_of:  # the restaurants that follow a bucket's words, as the sums over all buckets have them
+        for i, told in enumerate(row.restaurants):
+            assert [tables[i][name[int(w)]] for w in np.frombuffer(row.words, np.uint64)] == list(np.frombuffer(told, np.int64))
+    for i in range(len(model.totals)):  # excesses and the parent's share of each restaurant add up to one
+        for c, n in followed.items():
+            assert abs(model.served(mass[i][c], n, tables[i][c], 1.0) - 1) < 1e-9
+    got = pitman_yor.score(docs, model, state).toPandas().set_index("doc_id")
+    learnt = [k for k, text in rows if text != common and all(counts[f"right{j}".encode(), f"left{j}".encode()] == 2 for j in [k // 2])]
+    assert len(learnt) > 50 and (got.score[learnt] - got.base_score[learnt]).mean() > 2

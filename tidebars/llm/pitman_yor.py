@@ -1,14 +1,16 @@
 """Language-model scores by a hierarchical Pitman-Yor model, seated by Gibbs sweeps over partitioned counts.
 
-The root restaurant serves all words and every frequent previous word (and the start of a text) has a restaurant
-of its own; all of these share the root as parent, which also seats directly what follows any other word. A
-bucket is a range of words by hash. It holds its words' counts in every restaurant and their tables, so a sweep
-is one pass without a shuffle; between sweeps only the table totals of the restaurants travel, at most
-1 / CONTEXT_SHARE numbers. A frequent context is thus spread over all buckets.
+The root restaurant serves all words; every previous word, however rare, and the start of a text has a restaurant
+of its own with the root as parent, known by the word's 64-bit hash. A bucket is a range of words by hash. It holds
+its words' (word, previous word, count) triples and their tables, so a frequent context is spread over all buckets.
+A restaurant's number of tables is kept in the bucket of the word that it follows: before a sweep each bucket adds up
+its tables by restaurant, the restaurant's bucket adds up these sums and answers. Only totals of the root and of the
+start reach the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,13 +23,13 @@ from pyspark.sql import functions as F
 from tidebars.llm.columns import discard, materialize, text_or_empty
 from tidebars.llm.text_arrays import lower_words
 
-CONTEXT_SHARE = 2e-4  # of all training tokens; a word at least as frequent has a restaurant of its own
 BLOCK_TOKENS = 500_000  # tokens that a task turns into one set of counts or requests
 BURN_IN, SAMPLES = 1, 2
 ONE_BY_ONE = 32  # customers of a dish seated singly; later ones come in batches of an eighth of those seated
 STRENGTH = 1.0
 END = b""  # no word is empty
-DIRECT, START, FIRST = 0, 1, 2  # context numbers: the root itself, the start of a text, then frequent words
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))  # as a context: the start of a text
+DIRECT, START, WORD = 0, 1, 2  # kinds of context: the root itself, the start of a text, a word told by its hash
 BASE = 0.1
 
 
@@ -41,14 +43,13 @@ class _Local(dict):
 
 @dataclass
 class Block:
-    """Texts as numbers: words sorted by (bucket, hash), tokens of all texts, and distinct (word, context) keys."""
+    """Texts as numbers: words sorted by (bucket, hash), tokens of all texts, and their (word, word before) keys."""
 
     buckets: int
     hashes: np.ndarray
     tokens: np.ndarray
     sizes: np.ndarray
     keys: np.ndarray
-    contexts: np.ndarray
 
     def parts(self) -> Iterator[tuple[int, slice, slice]]:
         """(bucket, its words, its distinct keys)."""
@@ -57,7 +58,7 @@ class Block:
         edges = np.flatnonzero(np.diff(owner)) + 1
         for start, stop in zip(np.append(0, edges), np.append(edges, len(owner)), strict=True):
             if stop > start:
-                lo, hi = np.searchsorted(distinct, [start << 16, stop << 16])
+                lo, hi = np.searchsorted(distinct, [start << 32, stop << 32])
                 yield int(owner[start]), slice(start, stop), slice(int(lo), int(hi))
 
     def distinct(self) -> np.ndarray:
@@ -70,8 +71,8 @@ class Block:
         return self._counts
 
 
-def block_of(texts: list[str], contexts: np.ndarray, buckets: int) -> Block:
-    """``contexts``: sorted hashes of the words that have restaurants."""
+def block_of(texts: list[str], buckets: int) -> Block:
+    """Before the first word of a text stands the end token."""
     local, tokens = _Local(), []
     local[END] = 0
     for text in texts:
@@ -85,15 +86,8 @@ def block_of(texts: list[str], contexts: np.ndarray, buckets: int) -> Block:
     rank[order] = np.arange(len(order))
     hashes = hashes[order]
     flat = rank[np.concatenate(tokens)] if tokens else np.zeros(0, np.int64)
-    known = np.full(len(hashes), DIRECT, np.int64)
-    if len(contexts):
-        at = np.minimum(np.searchsorted(contexts, hashes), len(contexts) - 1)
-        known = np.where(contexts[at] == hashes, at + FIRST, DIRECT)
-    before = np.empty(len(flat), np.int64)
-    if len(flat):
-        before[1:] = known[flat[:-1]]
-        before[np.append(0, np.cumsum(sizes)[:-1])] = START
-    return Block(buckets, hashes, flat, sizes, (flat << 16) | before, contexts)
+    before = np.append(rank[:1], flat[:-1])[:len(flat)]
+    return Block(buckets, hashes, flat, sizes, (flat << 32) | before)
 
 
 def _blocks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[list[str]]:
@@ -109,35 +103,73 @@ def _blocks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[list[str]]:
         yield held
 
 
-COUNTS = "bucket int, words binary, lens binary, ctx binary, n binary"
+COUNTS = "bucket int, words binary, lens binary, prev binary, n binary"
 
 
-def _counted(contexts: np.ndarray, buckets: int, limit: int):
+def _counted(buckets: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts in _blocks(batches, limit):
-            block = block_of(texts, contexts, buckets)
-            distinct, counts = block.distinct(), block.counts()
-            rows = [_packed(bucket, block.hashes[words], distinct[keys] - (words.start << 16), counts[keys])
-                    for bucket, words, keys in block.parts()]
-            yield pd.DataFrame(rows, columns=["bucket", "words", "lens", "ctx", "n"])
+            block = block_of(texts, buckets)
+            counts = block.counts().astype(np.uint32)
+            rows = [(*_packed(block, bucket, words, keys), counts[keys].tobytes()) for bucket, words, keys in block.parts()]
+            yield pd.DataFrame(rows, columns=["bucket", "words", "lens", "prev", "n"])
     return run
 
 
-def _packed(bucket: int, words: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple:
-    lens = np.bincount(keys >> 16, minlength=len(words)).astype(np.int32)
-    return bucket, words.tobytes(), lens.tobytes(), (keys & 0xFFFF).astype(np.uint16).tobytes(), counts.astype(np.int64).tobytes()
+def _packed(block: Block, bucket: int, words: slice, keys: slice) -> tuple:
+    """A bucket's words, how many contexts each has, and the hashes of these."""
+    pairs = block.distinct()[keys]
+    lens = np.bincount((pairs >> 32) - words.start, minlength=words.stop - words.start).astype(np.int32)
+    return bucket, block.hashes[words].tobytes(), lens.tobytes(), block.hashes[pairs & 0xFFFFFFFF].tobytes()
+
+
+_SAMPLES = "array<struct<tables:binary,root_customers:binary,root_tables:binary>>"
+STATE = f"bucket int, words binary, lens binary, prev binary, counts binary, drawn {_SAMPLES}"
+_STATE = ["bucket", "words", "lens", "prev", "counts", "drawn"]
+
+
+def lean(values: np.ndarray) -> bytes:
+    """Whole numbers, most of them small, in few bytes."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def full(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), f"u{data[0]}").astype(np.int64)
+
+
+def spelled_out(state: DataFrame) -> DataFrame:
+    """Adds what ``counts`` and ``drawn`` hold as plain 64-bit numbers, and the kinds of contexts; made only if read."""
+    @F.pandas_udf("binary")
+    def kinds(prev: pd.Series) -> pd.Series:
+        return prev.map(lambda p: np.where(np.frombuffer(p, np.uint64) == END_HASH, START, WORD).astype(np.uint16).tobytes())
+
+    @F.pandas_udf("binary")
+    def numbers(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda c: full(c).tobytes())
+
+    @F.pandas_udf(_SAMPLES)
+    def samples(drawn: pd.Series) -> pd.Series:
+        names = ("tables", "root_customers", "root_tables")
+        return drawn.map(lambda d: [{k: full(s[k]).tobytes() for k in names} for s in d])
+
+    return state.withColumns({"ctx": kinds("prev"), "n": numbers("counts"), "samples": samples("drawn")})
 
 
 def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One row of counts for a bucket out of those of all blocks."""
+    """The state of a bucket out of the counts of all blocks: pairs by (word, hash before), a table each to begin with."""
     words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(k, np.int32))
                             for w, k in zip(rows["words"], rows["lens"], strict=True)])
-    context = np.concatenate([np.frombuffer(c, np.uint16) for c in rows["ctx"]]).astype(np.int64)
-    counts = np.concatenate([np.frombuffer(n, np.int64) for n in rows["n"]])
-    distinct, place = np.unique(words, return_inverse=True)
-    keys, at = np.unique((place << 16) | context, return_inverse=True)
-    return pd.DataFrame([_packed(key[0], distinct, keys, np.bincount(at, counts, len(keys)).astype(np.int64))],
-                        columns=["bucket", "words", "lens", "ctx", "n"])
+    prev = np.concatenate([np.frombuffer(c, np.uint64) for c in rows["prev"]])
+    counts = np.concatenate([np.frombuffer(n, np.uint32) for n in rows["n"]])
+    order = np.lexsort((prev, words))
+    words, prev = words[order], prev[order]
+    first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (prev[1:] != prev[:-1])))
+    counts = np.add.reduceat(counts[order].astype(np.int64), first)
+    distinct, lens = np.unique(words[first], return_counts=True)
+    prev = prev[first]
+    sample = {"tables": lean(np.ones(len(prev), np.int64)), "root_customers": lean(lens), "root_tables": lean(np.ones(len(distinct), np.int64))}
+    return pd.DataFrame([(key[0], distinct.tobytes(), lens.astype(np.int32).tobytes(), prev.tobytes(), lean(counts), [sample])], columns=_STATE)
 
 
 def seat(counts: np.ndarray, opens: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
@@ -166,7 +198,7 @@ def seat(counts: np.ndarray, opens: np.ndarray, discount: float, draw: np.random
 
 @dataclass
 class Totals:
-    """Numbers over all buckets: customers and tables of every context and of the root."""
+    """Numbers over all buckets: customers and tables of the start of a text (at its number) and of the root."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -178,7 +210,7 @@ class Totals:
 class Model:
     tokens: int
     types: int
-    contexts: np.ndarray
+    contexts: np.ndarray  # words known by number rather than by hash: none
     buckets: int
     discounts: tuple[float, float]  # of the root and of its children
     totals: list[Totals] = field(default_factory=list)
@@ -190,73 +222,100 @@ class Model:
         return np.maximum(customers - d * tables, 0) / (STRENGTH + totals.root_customers) + new
 
     def child(self, context: np.ndarray, counts: np.ndarray, tables: np.ndarray, parent: np.ndarray, totals: Totals) -> np.ndarray:
-        """Predictive probabilities in contexts, DIRECT meaning the root itself."""
-        d = self.discounts[1]
-        own = STRENGTH + totals.customers[context]
-        value = np.maximum(counts - d * tables, 0) / own + (STRENGTH + d * totals.tables[context]) / own * parent
+        """Predictive probabilities in contexts by number, DIRECT meaning the root itself."""
+        value = self.served(self.excess(counts, tables), totals.customers[context], totals.tables[context], parent)
         return np.where(context == DIRECT, parent, value)
 
+    def excess(self, counts: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """What a dish's customers weigh in its own restaurant."""
+        return np.maximum(counts - self.discounts[1] * tables, 0)
 
-STATE = COUNTS + ", samples array<struct<tables:binary,root_customers:binary,root_tables:binary>>"
+    def served(self, excess: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Predictive probabilities in restaurants of so many customers and tables."""
+        return (excess + (STRENGTH + self.discounts[1] * tables) * parent) / (STRENGTH + customers)
 
 
-def _sweep(model: Model, number: int, keep: bool):
+def _restaurants(prev: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct restaurants by (bucket, hash), the buckets that hold them, where each begins, and the place of every pair's."""
+    ctx, at = np.unique(prev, return_inverse=True)
+    order = np.argsort(ctx % np.uint64(buckets), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    holders, starts = np.unique(ctx[order] % np.uint64(buckets), return_index=True)
+    return ctx[order], holders.astype(np.int64), starts, rank[at]
+
+
+def _told(buckets: int):
+    """A bucket's tables by restaurant, a row per bucket that holds the restaurants."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for row in batch.itertuples():
-                lens, ctx = np.frombuffer(row.lens, np.int32), np.frombuffer(row.ctx, np.uint16).astype(np.int64)
-                counts = np.frombuffer(row.n, np.int64)
-                owner = np.repeat(np.arange(len(lens)), lens)
-                draw = np.random.default_rng([number, row.bucket])
-                if number == 0:  # a table per dish to begin with
-                    tables = np.where(ctx == DIRECT, counts, 1)
-                else:
-                    last, totals = row.samples[-1], model.totals[-1]
-                    parent = model.root(np.frombuffer(last["root_customers"], np.int64), np.frombuffer(last["root_tables"], np.int64), totals)
-                    opens = (STRENGTH + model.discounts[1] * totals.tables[ctx]) * parent[owner]
-                    seats = ctx != DIRECT
-                    tables = counts.copy()
-                    tables[seats] = seat(counts[seats], opens[seats], model.discounts[1], draw)
-                customers = np.bincount(owner, tables, len(lens)).astype(np.int64)
-                if number == 0:
-                    root_tables = np.minimum(customers, 1)
-                else:
-                    weight = (STRENGTH + model.discounts[0] * totals.root_tables) / (model.types + 1)
-                    root_tables = seat(customers, np.full(len(customers), weight), model.discounts[0], draw)
-                sample = {"tables": tables.astype(np.int64).tobytes(), "root_customers": customers.tobytes(),
-                          "root_tables": root_tables.astype(np.int64).tobytes()}
-                earlier = list(row.samples) if keep else []
-                out.append((row.bucket, row.words, row.lens, row.ctx, row.n, [*earlier, sample]))
-            yield pd.DataFrame(out, columns=["bucket", "words", "lens", "ctx", "n", "samples"])
+                ctx, holders, starts, at = _restaurants(np.frombuffer(row.prev, np.uint64), buckets)
+                tables = np.bincount(at, full(row.drawn[-1]["tables"]), len(ctx)).astype(np.int64)
+                stops = np.append(starts[1:], len(ctx))
+                yield pd.DataFrame([(int(h), row.bucket, ctx[i:j].tobytes(), tables[i:j].tobytes())
+                                    for h, i, j in zip(holders, starts, stops, strict=True)],
+                                   columns=["holder", "bucket", "ctx", "tables"])
+    return run
+
+
+def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Tables of a bucket's restaurants: an answer to each bucket that told some, and all of them as bucket -1."""
+    parts = [np.frombuffer(c, np.uint64) for c in rows["ctx"]]
+    ctx, at = np.unique(np.concatenate(parts), return_inverse=True)
+    tables = np.bincount(at, np.concatenate([np.frombuffer(t, np.int64) for t in rows["tables"]]), len(ctx)).astype(np.int64)
+    ends = np.cumsum([len(p) for p in parts])
+    answers = [tables[part].tobytes() for part in np.split(at, ends[:-1])]
+    return pd.DataFrame({"holder": int(key[0]), "bucket": [*rows["bucket"], -1], "tables": [*answers, tables.tobytes()]})
+
+
+def _exchanged(state: DataFrame, buckets: int) -> DataFrame:
+    told = state.select("bucket", "prev", F.slice("drawn", -1, 1).alias("drawn")).mapInPandas(
+        _told(buckets), "holder int, bucket int, ctx binary, tables binary")
+    return materialize(told.groupBy("holder").applyInPandas(_added, "holder int, bucket int, tables binary"))
+
+
+def _sweep(model: Model, number: int, keep: bool):
+    """Seats all customers of a bucket anew, given the tables of the last sweep."""
+    totals = model.totals[-1]
+
+    def run(key: tuple, state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(state):
+            return pd.DataFrame(columns=_STATE)
+        row = state.iloc[0]
+        last, lens, counts = row["drawn"][-1], np.frombuffer(row["lens"], np.int32), full(row["counts"])
+        owner = np.repeat(np.arange(len(lens)), lens)
+        draw = np.random.default_rng([number, key[0]])
+        told = np.concatenate([np.frombuffer(t, np.int64) for t in answers.sort_values("holder")["tables"]])
+        parent = model.root(full(last["root_customers"]), full(last["root_tables"]), totals)
+        at = _restaurants(np.frombuffer(row["prev"], np.uint64), model.buckets)[3]
+        tables = seat(counts, (STRENGTH + model.discounts[1] * told[at]) * parent[owner], model.discounts[1], draw)
+        customers = np.bincount(owner, tables, len(lens)).astype(np.int64)
+        weight = (STRENGTH + model.discounts[0] * totals.root_tables) / (model.types + 1)
+        root_tables = seat(customers, np.full(len(customers), weight), model.discounts[0], draw)
+        sample = {"tables": lean(tables), "root_customers": lean(customers), "root_tables": lean(root_tables)}
+        return pd.DataFrame([(key[0], *row[_STATE[1:-1]], [*(row["drawn"] if keep else []), sample])], columns=_STATE)
     return run
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, customers, tables) of the last sample, added up over a task's buckets; context -1 is the root."""
-    customers, tables, root = np.zeros(1 << 16), np.zeros(1 << 16), [0, 0]
+    """Tokens and types of a task's buckets, customers and tables of the start and of the root in the last sample."""
+    sums = np.zeros(6, np.int64)
     for batch in batches:
         for row in batch.itertuples():
-            ctx, last = np.frombuffer(row.ctx, np.uint16).astype(np.int64), row.samples[-1]
-            customers += np.bincount(ctx, np.frombuffer(row.n, np.int64), 1 << 16)
-            tables += np.bincount(ctx, np.frombuffer(last["tables"], np.int64), 1 << 16)
-            root[0] += int(np.frombuffer(last["root_customers"], np.int64).sum())
-            root[1] += int(np.frombuffer(last["root_tables"], np.int64).sum())
-    there = np.flatnonzero(customers)
-    yield pd.DataFrame({"context": np.append(there, -1), "customers": np.append(customers[there], root[0]).astype(np.int64),
-                        "tables": np.append(tables[there], root[1]).astype(np.int64)})
-
-
-def _totals(state: DataFrame, contexts: int) -> Totals:
-    summed = state.select("ctx", "n", F.slice("samples", -1, 1).alias("samples")).mapInPandas(
-        _summed, "context long, customers long, tables long").groupBy("context").agg(F.sum("customers"), F.sum("tables"))
-    customers, tables, root = np.zeros(contexts + FIRST), np.zeros(contexts + FIRST), (0, 0)
-    for context, c, t in summed.collect():
-        if context < 0:
-            root = (int(c), int(t))
-        else:
-            customers[context], tables[context] = c, t
-    return Totals(customers, tables, *root)
+            last, n = row.drawn[-1], full(row.counts)
+            start = np.frombuffer(row.prev, np.uint64) == END_HASH
+            sums += [n.sum(), len(row.lens) // 4, n[start].sum(), full(last["tables"])[start].sum(),
+                     full(last["root_customers"]).sum(), full(last["root_tables"]).sum()]
+    yield pd.DataFrame([sums], columns=list("abcdef"))
+
+
+def _totals(state: DataFrame) -> tuple[int, int, Totals]:
+    """Tokens, types, totals of the last sample."""
+    summed = state.select("lens", "prev", "counts", F.slice("drawn", -1, 1).alias("drawn")).mapInPandas(
+        _summed, ", ".join(f"{c} long" for c in "abcdef"))
+    tokens, types, customers, tables, *root = (int(x or 0) for x in summed.agg(*[F.sum(c) for c in "abcdef"]).first())
+    return tokens, types, Totals(np.array([0, customers]), np.array([0, tables]), *root)
 
 
 def held_out(key: str = "doc_id"):
@@ -264,94 +323,86 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", context_share: float = CONTEXT_SHARE,
-          block_tokens: int = BLOCK_TOKENS) -> tuple[Model, DataFrame]:
-    """The model's totals and its state, a row per bucket, from all rows that are not held out."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", block_tokens: int = BLOCK_TOKENS) -> tuple[Model, DataFrame]:
+    """The model's totals and its state, a row per bucket, from all rows that are not held out.
+
+    ``restaurants`` of the state: per sample, the tables of the restaurants that follow the bucket's words, in their
+    order; each word is followed as often as it occurs, so its count is the number of customers.
+    """
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter(~held_out(key)).select(text_or_empty(text).alias("text"))
-    none = np.zeros(0, np.uint64)
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for texts in _blocks(batches, block_tokens):
-            block = block_of(texts, none, buckets)
-            counts = np.bincount(block.tokens, minlength=len(block.hashes))
-            yield pd.DataFrame([(bucket, block.hashes[w].tobytes(), counts[w].astype(np.int64).tobytes()) for bucket, w, _ in block.parts()],
-                               columns=["bucket", "words", "n"])
-
-    def merged(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        distinct, at = np.unique(np.concatenate([np.frombuffer(w, np.uint64) for w in part["words"]]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([np.frombuffer(n, np.int64) for n in part["n"]])).astype(np.int64)
-        return pd.DataFrame([(int(counts.sum()), len(distinct), distinct.tobytes(), counts.tobytes())], columns=["tokens", "types", "words", "n"])
-
-    unigrams = materialize(rows.mapInPandas(words, "bucket int, words binary, n binary").groupBy("bucket").applyInPandas(
-        merged, "tokens long, types long, words binary, n binary"))
-    tokens, types = (int(x or 0) for x in unigrams.agg(F.sum("tokens"), F.sum("types")).first())
-    least = max(1.0, context_share * tokens)
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for w, n in zip(batch["words"], batch["n"], strict=True):
-                yield pd.DataFrame({"word": np.frombuffer(w, np.uint64)[np.frombuffer(n, np.int64) >= least].view(np.int64)})
-
-    chosen = [r[0] for r in unigrams.select("words", "n").mapInPandas(frequent, "word long").collect()]  # 1 / context_share at most
-    discard(unigrams)
-    contexts = np.sort(np.array(chosen, np.int64).view(np.uint64))
-    model = Model(tokens, types, contexts, buckets, (0.8, 0.8))
-    state = materialize(rows.mapInPandas(_counted(contexts, buckets, block_tokens), COUNTS).groupBy("bucket").applyInPandas(_merged, COUNTS)
-                        .withColumn("samples", F.array().cast(STATE.split(", samples ")[1])))  # no tables yet
-    for number in range(1 + BURN_IN + SAMPLES):
-        before, state = state, materialize(state.mapInPandas(_sweep(model, number, keep=number > BURN_IN + 1), STATE))
+    state = materialize(rows.mapInPandas(_counted(buckets, block_tokens), COUNTS).groupBy("bucket").applyInPandas(_merged, STATE))
+    tokens, types, now = _totals(state)
+    model = Model(tokens, types, np.zeros(0, np.uint64), buckets, (0.8, 0.8), [now])
+    tables = _exchanged(state, buckets)
+    kept = []
+    for number in range(1, 1 + BURN_IN + SAMPLES):
+        before, heard = state, tables
+        answers = heard.filter("bucket >= 0").select("bucket", "holder", "tables")
+        state = materialize(before.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(
+            _sweep(model, number, keep=number > BURN_IN + 1), STATE))
         discard(before)
-        now = _totals(state, len(contexts))
+        if number <= BURN_IN + 1:
+            discard(heard)
+        now = _totals(state)[2]
         model.totals = [*model.totals, now] if number > BURN_IN + 1 else [now]
-    return model, state
+        tables = _exchanged(state, buckets)
+        if number > BURN_IN:
+            kept.append(tables.filter("bucket < 0").select(F.col("holder").alias("bucket"), F.col("tables").alias(f"_{number}")))
+    for own in kept:
+        state = state.join(own, "bucket")
+    names = [own.columns[1] for own in kept]
+    return model, spelled_out(state.withColumn("restaurants", F.array(*names)).drop(*names))
 
 
 def _requests(model: Model):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block = block_of(sorted(rows["text"]), model.contexts, model.buckets)
-        distinct = block.distinct()
-        out = [(int(key[0]), *_packed(bucket, block.hashes[words], distinct[keys] - (words.start << 16), np.zeros(0))[:4])
-               for bucket, words, keys in block.parts()]
-        return pd.DataFrame(out, columns=["block", "bucket", "words", "lens", "ctx"])
+        block = block_of(sorted(rows["text"]), model.buckets)
+        return pd.DataFrame([(int(key[0]), *_packed(block, *part)) for part in block.parts()],
+                            columns=["block", "bucket", "words", "lens", "prev"])
     return run
 
 
+ANSWER = "block int, bucket int, times binary, parents array<binary>, restaurants array<binary>, excess array<binary>"
+
+
 def _answers(model: Model):
+    """Per word: times seen, and by sample the root's probability and the tables of the restaurant that follows it; per
+    pair, by sample, what its customers weigh there."""
     def run(key: tuple, asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        words = np.zeros(0, np.uint64)
         if len(state):
             row = state.iloc[0]
-            words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["n"], np.int64)
+            words, counts = np.frombuffer(row["words"], np.uint64), full(row["counts"])
             owner = np.repeat(np.arange(len(words)), np.frombuffer(row["lens"], np.int32))
-            keys = (owner << 16) | np.frombuffer(row["ctx"], np.uint16)
+            ctx, rank = np.unique(np.frombuffer(row["prev"], np.uint64), return_inverse=True)
+            keys = (owner << 32) | rank
             known = np.bincount(owner, counts, len(words)).astype(np.int64)
-        out = []
+            samples = [(model.root(full(s["root_customers"]), full(s["root_tables"]), totals),
+                        np.frombuffer(tables, np.int64), model.excess(counts, full(s["tables"])).astype(np.float32))
+                       for s, tables, totals in zip(row["drawn"], row["restaurants"], model.totals, strict=True)]
+        out, zero = [], np.zeros(1, np.int64)
         for request in asked.itertuples():
-            wanted = np.frombuffer(request.words, np.uint64)
-            ctx = np.frombuffer(request.ctx, np.uint16).astype(np.int64)
+            wanted, before = np.frombuffer(request.words, np.uint64), np.frombuffer(request.prev, np.uint64)
             of = np.repeat(np.arange(len(wanted)), np.frombuffer(request.lens, np.int32))
-            if len(words):
+            unseen = [model.root(zero, zero, totals)[0] for totals in model.totals]
+            if len(state):
                 at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
                 there = words[at] == wanted
-                pair = (at[of] << 16) | ctx
+                place = np.minimum(np.searchsorted(ctx, before), len(ctx) - 1)
+                pair = (at[of] << 32) | place
                 pair_at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                pair_there = there[of] & (keys[pair_at] == pair)
-            total = np.zeros(len(ctx))
-            for i, totals in enumerate(model.totals):
-                zero = np.zeros(len(wanted), np.int64)
-                customers, tables, own, seats = zero, zero, np.zeros(len(ctx), np.int64), np.zeros(len(ctx), np.int64)
-                if len(words):
-                    sample = row["samples"][i]
-                    customers = np.where(there, np.frombuffer(sample["root_customers"], np.int64)[at], 0)
-                    tables = np.where(there, np.frombuffer(sample["root_tables"], np.int64)[at], 0)
-                    own = np.where(pair_there, counts[pair_at], 0)
-                    seats = np.where(pair_there, np.frombuffer(sample["tables"], np.int64)[pair_at], 0)
-                total += model.child(ctx, own, seats, model.root(customers, tables, totals)[of], totals)
-            times = np.where(there, known[at], 0) if len(words) else np.zeros(len(wanted), np.int64)
-            out.append((request.block, int(key[0]), np.log10(total / len(model.totals)).astype(np.float32).tobytes(), times.astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["block", "bucket", "logs", "times"])
+                pair_there = there[of] & (ctx[place] == before) & (keys[pair_at] == pair)
+                times = np.where(there, known[at], 0)
+                parents = [np.where(there, p[at], u) for (p, _, _), u in zip(samples, unseen, strict=True)]
+                restaurants = [np.where(there, t[at], 0) for _, t, _ in samples]
+                excess = [np.where(pair_there, e[pair_at], np.float32(0)) for _, _, e in samples]
+            else:
+                times = np.zeros(len(wanted), np.int64)
+                parents = [np.full(len(wanted), u) for u in unseen]
+                restaurants = [times for _ in unseen]
+                excess = [np.zeros(len(before), np.float32) for _ in unseen]
+            out.append((request.block, int(key[0]), times.tobytes(), *([x.tobytes() for x in part] for part in (parents, restaurants, excess))))
+        return pd.DataFrame(out, columns=["block", "bucket", "times", "parents", "restaurants", "excess"])
     return run
 
 
@@ -365,12 +416,20 @@ def _scored(model: Model):
         if not len(rows):
             return pd.DataFrame(columns=names)
         rows = rows.sort_values("text", kind="stable")
-        block = block_of(list(rows["text"]), model.contexts, model.buckets)
+        block = block_of(list(rows["text"]), model.buckets)
         by_bucket = {row.bucket: row for row in answers.itertuples()}
-        logs, times = np.empty(len(block.distinct())), np.empty(len(block.hashes), np.int64)
+        pairs, size, n = block.distinct(), len(block.hashes), len(model.totals)
+        times, parents, restaurants, excess = np.empty(size, np.int64), np.empty((n, size)), np.empty((n, size), np.int64), np.empty((n, len(pairs)))
         for bucket, words, keys in block.parts():
-            logs[keys] = np.frombuffer(by_bucket[bucket].logs, np.float32)
-            times[words] = np.frombuffer(by_bucket[bucket].times, np.int64)
+            answer = by_bucket[bucket]
+            times[words] = np.frombuffer(answer.times, np.int64)
+            for i in range(n):
+                parents[i, words] = np.frombuffer(answer.parents[i], np.float64)
+                restaurants[i, words] = np.frombuffer(answer.restaurants[i], np.int64)
+                excess[i, keys] = np.frombuffer(answer.excess[i], np.float32)
+        word, before = pairs >> 32, pairs & 0xFFFFFFFF
+        total = sum(model.served(excess[i], times[before], restaurants[i][before], parents[i][word]) for i in range(n))
+        logs = np.log10(total / n)
         starts = np.append(0, np.cumsum(block.sizes)[:-1])
         base = np.log10((times + BASE) / (model.tokens + BASE * (model.types + 1)))
         out = pd.DataFrame({
@@ -386,9 +445,9 @@ def score(docs: DataFrame, model: Model, state: DataFrame, text: str = "text", k
           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per input row.
 
-    Texts are dealt into blocks by hash. A block asks each bucket once for its distinct (word, context) pairs
-    and gets the predictive probabilities, averaged over the samples, in the same order; it then adds them up
-    per text. Null is the empty text, which is one end token. Repeated rows score alike. An empty table gives an
+    Texts are dealt into blocks by hash. A block asks each bucket once for its distinct (word, word before)
+    pairs and gets what it holds of them and of the restaurants that follow its words, in the same order; it works out
+    the predictive probabilities, averaged over the samples, and adds up their logarithms per text. Null is the empty text, which is one end token. Repeated rows score alike. An empty table gives an
     empty result; with nothing to learn from, every word is unseen. Other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -396,8 +455,8 @@ def score(docs: DataFrame, model: Model, state: DataFrame, text: str = "text", k
     blocks = max(1, round(chars / 6 / block_tokens))
     dealt = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), text_or_empty(text).alias("text"),
                         F.pmod(F.xxhash64(key, text), F.lit(blocks)).cast("int").alias("block"))
-    asked = dealt.groupBy("block").applyInPandas(_requests(model), "block int, bucket int, words binary, lens binary, ctx binary")
-    answers = asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(
-        _answers(model), "block int, bucket int, logs binary, times binary")
+    asked = dealt.groupBy("block").applyInPandas(_requests(model), "block int, bucket int, words binary, lens binary, prev binary")
+    answers = asked.groupBy("bucket").cogroup(state.select(*_STATE, "restaurants").groupBy("bucket")).applyInPandas(
+        _answers(model), ANSWER)
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(model), SCORES.format(kind=kind))
     return out.withColumnRenamed("doc_id", key) if key != "doc_id" else out
