@@ -94,6 +94,21 @@ def test_damaged_archive_in_spark(spark, tmp_path):
     assert back.kind.tolist() == ["gap", *["response"] * 5] and back.reason.iloc[0] and back.length.sum() == len(data)
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_headers_are_read(spark, compress):
+    """A url of 100,000 characters, also as the page that another refers to; a header without end loses its record only."""
+    url = "data:text/html," + "x" * 100_000
+    pages = spark.createDataFrame([(1, url, "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, url, "alone")], "page_id long, url string, html string")
+    path = new_folder(spark, "warc")
+    warc.write_archives(pages, path, compress=compress)
+    rows = warc.read_archives(spark, path, payloads=False).collect()
+    assert [r.reason for r in rows if r.kind == "gap"] == [] and sorted(r.uri for r in rows) == sorted([url, "http://b", url])
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None)}
+    cut = warc.record("7", url, b"y").split(b"\r\n\r\n")[0] + b"\r\n" + warc.record("8", url, b"z")
+    assert [f.head["warc-record-id"] for _, _, f in warc.salvage(cut) if not f.reason] == ["<urn:page:8>"]
+
+
 # main text
 
 def test_reader_closes_what_pages_leave_open():

@@ -17,6 +17,7 @@ from tidebars.llm.columns import materialize, new_folder, text_or_empty
 
 # fixed values of the format
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
+NEXT = re.compile(rb"\nWARC/\d+\.\d+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -24,7 +25,6 @@ DATE = "2024-01-01T00:00:00Z"
 
 PAGES_PER_FILE = 5_000
 LEVEL = 3
-MOST_HEADER = 1 << 16
 RECORD = ("file string, offset long, length long, kind string, record_id string, uri string, refers_to string, "
           "payload_digest string, payload_bytes long, payload binary, reason string")
 
@@ -104,7 +104,8 @@ def _plain(data: bytes, at: int) -> Found:
     line = VERSION.match(data, at)
     if line is None:
         return Found(reason="no version line")
-    stop = data.find(b"\r\n\r\n", line.end() - 2, at + MOST_HEADER)
+    following = NEXT.search(data, line.end() - 1)
+    stop = data.find(b"\r\n\r\n", line.end() - 2, following.start() + 1 if following else len(data))
     if stop < 0:
         return Found(reason="header without end")
     head = {}
