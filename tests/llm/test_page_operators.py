@@ -111,6 +111,32 @@ def test_long_headers_are_read(spark, compress):
 
 # main text
 
+def test_share_of_siblings_on_wide_pages():
+    for n in (30, 300):
+        page = dom.read("<body>" + "<p>words</p>" * n + "<div>advert</div></body>")
+        share = {e.tag: x for e, x in zip(page.elements, html_text.features(page)[:, html_text.WIDTH - html_text.HASHED - 20 + html_text.HASHED + 13], strict=True)}
+        assert abs(share["div"] - 1 / (n + 1)) < 1e-6 and abs(share["p"] - n / (n + 1)) < 1e-6
+
+
+@pytest.mark.parametrize("source, texts", [
+    ('<p>a<svg class="icon"/>b</p>c', "abc"),
+    ('<p>a<svg><svg d="x>y"/><svg>n</svg>m</svg>b</p>', "ab"),
+    ("<p>a<object data=x>b</p><p>c</p>", "abc"),
+    ("<object>a<object>b</object>c", "ac"),
+    ("a<template>b<template>c</template>d</template>e", "ae"),
+    ("a<noscript>b</noscript>c<iframe>d", "acd"),
+    ("a<svg-icon>b</svg-icon>c<svg>d</svg-icon>e</svg>f", "abcf"),
+    ("a<script>b", "a"),
+])
+def test_raw_elements_end_where_they_end(source, texts):
+    assert "".join(t for _, _, t in dom.read(source).runs) == texts
+
+
+def test_end_tags_of_deep_inline_elements():
+    page = dom.read("<p><my-card>" + "<b>" * 12 + "in</my-card>out</p>")
+    assert [(page.elements[e].tag, t) for e, _, t in page.runs] == [("b", "in"), ("p", "out")]
+
+
 def test_reader_closes_what_pages_leave_open():
     page = dom.read("<p>one<p>two <b>bold<br>more</p><ul><li>a<li>b</ul><script>x='</p>'</script><!-- c -->tail &amp; <td>cell<tr>")
     tags = [(e.tag, page.elements[e.parent].tag) for e in page.elements[1:]]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg object textarea title".split())
+TEXT = frozenset("script style textarea title".split())  # without an end tag these reach to the end of the page
+NESTED = frozenset("svg template object".split())
 BLOCK = frozenset(("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th "
                    "thead tr ul").split())
@@ -34,6 +37,22 @@ class Element:
     children: list[int] = field(default_factory=list)
 
 
+def _ends(source: str, tag: str) -> dict[int, int]:
+    """Where the elements of a raw tag end, by their start; those without an end tag are missing."""
+    ends, waiting = {}, []
+    for found in re.finditer(rf"""<(/?){tag}(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""", source, re.I):
+        if not found[1]:
+            if tag != "svg" or not found[2].endswith("/>"):
+                waiting.append(found.start())
+        elif tag in NESTED:
+            if waiting:
+                ends[waiting.pop()] = found.end()
+        else:
+            ends |= dict.fromkeys(waiting, found.end())
+            waiting = []
+    return ends
+
+
 @dataclass
 class Page:
     elements: list[Element]
@@ -43,11 +62,14 @@ class Page:
 def read(source: str) -> Page:
     """Elements in page order (0 is the root) and text runs; raw elements and comments have no text."""
     elements, runs, stack, block, at = [Element("#root", -1, 0)], [], [0], 0, 0
+    opened, ends = Counter(), {}  # open elements by tag; ends of raw elements by tag
 
     def close(down_to: int) -> None:
         nonlocal block
         while len(stack) > down_to:
-            block += elements[stack.pop()].tag in BLOCK
+            tag = elements[stack.pop()].tag
+            opened[tag] -= 1
+            block += tag in BLOCK
 
     def close_tags(tags: frozenset | set, stop: frozenset | set) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -69,7 +91,7 @@ def read(source: str) -> Page:
             continue
         tag = tag.lower()
         if found[1] or found[4]:
-            if tag == "p" or tag in BLOCK or any(elements[i].tag == tag for i in stack[-8:]):
+            if opened[tag]:
                 close_tags({tag}, {"table"} if tag not in ("table", "body", "html", "article", "main", "div", "section") else set())
             continue
         attributes = found[3] if found[2] else found[6]
@@ -83,7 +105,13 @@ def read(source: str) -> Page:
                 if len(stack) == before:
                     break
         block += tag in BLOCK
-        if tag in RAW:
+        if tag in RAW - TEXT:
+            if tag != "svg" or not attributes.endswith("/"):
+                if tag not in ends:
+                    ends[tag] = _ends(source, tag)
+                at = ends[tag].get(found.start(), at)
+            continue
+        if tag in TEXT:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
@@ -102,6 +130,7 @@ def read(source: str) -> Page:
                 runs.append((parent, block, " "))
         else:
             stack.append(number)
+            opened[tag] += 1
     if at < len(source):
         runs.append((stack[-1], block, source[at:]))
     return Page(elements, [(e, b, html.unescape(t) if "&" in t else t) for e, b, t in runs])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -107,9 +108,10 @@ def features(page: Page) -> np.ndarray:
         x[i, at + 19] = x[e.parent, at + 3]
     for e in elements:
         tags = [elements[c].tag for c in e.children]
+        same = Counter(tags)
         for k, c in enumerate(e.children):
             x[c, at + 12] = k / len(tags)
-            x[c, at + 13] = tags.count(tags[k]) / len(tags) if len(tags) < 200 else 1
+            x[c, at + 13] = same[tags[k]] / len(tags)
             x[c, at + 14] = chars[e.children[k - 1]] if k else 0
     return x
 
