@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import byte_bpe, decontaminate, exact_dedup, html_text, minhash_dedup, pitman_yor, quality, secret_ledger, toxicity, warc
+from tidebars.llm import (
+    byte_bpe, collocations, decontaminate, exact_dedup, html_text, minhash_dedup, pitman_yor, prefix_trie, quality, secret_ledger, token_files,
+    toxicity, warc,
+)
 from tidebars.llm.columns import table
 
 
@@ -64,6 +67,21 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations, with figures of its members and its subtree."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of each document's token ids, read back from files of Simple-8b blocks."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to five words of each language."""
+    return collocations.top_phrases(collocations.phrases(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +93,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_files": op12_token_files,
+    "op13_collocations": op13_collocations,
 }
 
 SQL = {
@@ -83,4 +104,6 @@ SQL = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_secret_scan": secret_ledger.SQL,
     "op10_minhash_dedup": minhash_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op13_collocations": collocations.SQL,
 }
