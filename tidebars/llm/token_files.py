@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,11 @@ NO_KEY, GOES_ON, ENDS = 1, 2, 4  # flags of directory entries: null key; began i
 
 PIECES = "shard int, start long, document long, doc_id long, whole boolean, n long"
 
-#: One blank between characters that are no white space always begins a match of byte-level pre-tokenizers.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-_KEPT_PARTS, _KEPT_IDS = 500_000, 8_000_000
+#: Where byte-level pre-tokenizers begin a new match in any case: before a single blank or line feed between
+#: characters that are no white space, and before a stop after an ASCII letter or digit. Used for texts with
+#: characters that mark cuts.
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z0-9])(?=[.,])")
+_KEPT_PARTS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -64,46 +67,83 @@ class _Parts(dict):
         return number
 
 
+def _at_marks(text: str) -> list[str]:
+    """The text cut before every blank, line feed and stop; not all of these cuts are safe."""
+    if "\0" in text:
+        return CUT.split(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
+
+
+def _rejoined(parts: list[str], wrong: list[int]) -> list[str]:
+    """The parts, those numbered in ``wrong`` put on the end of the part before."""
+    out, at = [], 0
+    for i in wrong:
+        out += parts[at:i]
+        out[-1] += parts[i]
+        at = i + 1
+    return out + parts[at:]
+
+
 class PartCoder:
-    """Encodes texts by the library, each different part between safe blanks once while it is remembered."""
+    """Encodes texts by the library, each different part between safe cuts once while it is remembered.
 
-    def __init__(self, vocabulary: str) -> None:
-        self.coder = tokenizer(vocabulary)
-        self._forget()
+    What is remembered stays up to ``_KEPT_PARTS`` parts; later ones are forgotten after the texts that they are in.
+    """
 
-    def _forget(self) -> None:
-        self.parts, self.ids, self.used = _Parts(), np.zeros(1 << 16, np.uint32), 0
-        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, vocabulary: str) -> None:
+        self.coder, self.parts, self.ids = tokenizer(vocabulary), _Parts(), np.zeros(1 << 16, np.uint32)
+        # by number: begin, size, the least kind of end that the part must follow (0: no cut is safe), kind of its own end
+        self.table = np.zeros((4, 0), np.int64)
 
     def _learn(self) -> None:
-        if not self.parts.fresh:
+        parts = self.parts.fresh[self.table.shape[1] - len(self.parts):] if len(self.parts) > self.table.shape[1] else []
+        if not parts:
             return
-        coded = [e.ids for e in self.coder.encode_batch_fast(self.parts.fresh, add_special_tokens=False)]
+        coded = [e.ids for e in self.coder.encode_batch_fast(parts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ends = self.used + np.cumsum(sizes)
+        used = int(self.table[:2, -1].sum()) if self.table.shape[1] else 0
+        ends = used + np.cumsum(sizes)
         if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids[:self.used], np.zeros(int(ends[-1]), np.uint32)])
-        self.ids[self.used:ends[-1]] = np.fromiter((i for ids in coded for i in ids), np.uint32, int(sizes.sum()))
-        self.begins, self.sizes = np.concatenate([self.begins, ends - sizes]), np.concatenate([self.sizes, sizes])
-        self.used = int(ends[-1])
-        self.parts.fresh = []
+            self.ids = np.concatenate([self.ids[:used], np.zeros(int(ends[-1]), np.uint32)])
+        self.ids[used:ends[-1]] = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+        before = [(2 if p[0] in ".," else 1 if p[0] in " \n" and len(p) > 1 and not p[1].isspace() else 0) if p else 0 for p in parts]
+        after = [(2 if p[-1].isascii() and p[-1].isalnum() else 0 if p[-1].isspace() else 1) if p else 0 for p in parts]
+        self.table = np.concatenate([self.table, np.stack([ends - sizes, sizes, np.array(before), np.array(after)])], axis=1)
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.parts) > _KEPT_PARTS or self.used > _KEPT_IDS:
-            self._forget()
-        numbers = []
-        for text in texts:
-            first, *rest = CUT.split(text)
-            numbers.append(np.fromiter(map(self.parts.__getitem__, [first, *[" " + part for part in rest]]), np.int64, len(rest) + 1))
+        kept = len(self.parts)
+        cut = [_at_marks(text) for text in texts]
+        numbers = [self._numbers(parts) for parts in cut]
+        self._learn()
+        before, after = self.table[2:]
+        for at, number in enumerate(numbers):
+            cuts = before[number[1:]]
+            wrong = np.flatnonzero((cuts == 0) | (cuts > after[number[:-1]])) + 1
+            if len(wrong):
+                numbers[at] = self._numbers(_rejoined(cut[at], wrong.tolist()))
         self._learn()
         out = []
         for number in numbers:
-            sizes = self.sizes[number]
+            begins, sizes = self.table[:2, number]
             ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(self.begins[number] - ends + sizes, sizes) + np.arange(ends[-1])])
+            out.append(self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])])
+        if len(self.parts) > _KEPT_PARTS:
+            for part in self.parts.fresh:
+                del self.parts[part]
+            self.table = self.table[:, :kept]
+        self.parts.fresh = []
         return out
 
 
+@lru_cache(maxsize=1)
+def part_coder(vocabulary: str) -> PartCoder:
+    """One per worker, which remembers parts from task to task."""
+    return PartCoder(vocabulary)
+
+
 class _Writer:
     """Fills blocks of a shard with the ids of document after document."""
 
@@ -141,7 +181,7 @@ class _Writer:
 
 def _blocks(vocabulary: str, end_id: int, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, writer, end = PartCoder(vocabulary), _Writer(TaskContext.get().partitionId(), size), np.uint32(end_id)
+        coder, writer, end = part_coder(vocabulary), _Writer(TaskContext.get().partitionId(), size), np.uint32(end_id)
         for batch in batches:
             keys = [None if k is pd.NA else int(k) for k in batch["doc_id"].astype("Int64")]
             for at in range(0, len(batch), 256):
