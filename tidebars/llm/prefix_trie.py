@@ -252,7 +252,7 @@ def _reduced(partial: pd.DataFrame, skeleton: Skeleton, sizes: np.ndarray) -> pd
         saved[above] += saved[node]
         first[above] = min(first[above], first[node])
     return pd.DataFrame({"node": np.arange(count, dtype=np.int32), "conv_id": first, "depth": np.array(skeleton.depths, np.int32),
-                         "parent_conv_id": pd.array([None, *first[parents[1:]].tolist()], dtype="Int64"), "n_convs": members,
+                         "above": first[np.maximum(parents, 0)], "n_convs": members,
                          "n_children": children, "n_leaves": leaves, "saved_tokens": saved})
 
 
@@ -287,7 +287,8 @@ def trie(convs: DataFrame, shard_turns: int = SHARD_TURNS, splitter_bytes: int =
         F.min("conv_id").alias("first"), F.sum("n_convs").alias("members"), F.sum("n_children").alias("children"),
         F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved")).toPandas())
     rows = spark.createDataFrame(_reduced(partial, skeleton, _last_sizes(convs, skeleton)),
-                                 "node int, conv_id long, depth int, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long")
+                                 "node int, conv_id long, depth int, above long, n_convs long, n_children long, n_leaves long, saved_tokens long")
+    rows = rows.withColumn("parent_conv_id", F.when(F.col("node") > 0, F.col("above"))).drop("above")
     ends = (found.filter("ends is not null").select("node", "shard", "part", "ends").repartition(F.col("node"))
             .sortWithinPartitions("node", "shard", "part").select("node", "ends").mapInPandas(_ends, "node int, ends_sha256 string"))
     top = rows.join(ends.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn(
