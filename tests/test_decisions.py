@@ -24,6 +24,7 @@ from tidebars.operators.index import coverage, geometric_index, missing_componen
 from tidebars.operators.observe import ObservationSpec, WindowSpec, observations
 from tidebars.plans.pipelines import backtest
 from tidebars.schema import DOLLAR_INDEX_WEIGHTS, FEATURE_COLUMNS, SERIES
+from tidebars.session import materialize
 
 
 def test_dollar_index(spark):
@@ -265,6 +266,71 @@ def test_hidden_state_jobs(spark):
     assert names == {0: "low_vol_trend", 1: "high_vol_trend", 2: "ranging"}
 
 
+def _daily_walk(n: int, symbol: str, seed: int) -> pd.DataFrame:
+    rng = np.random.default_rng(seed)
+    calm = (np.arange(n) // 300) % 2 == 0
+    close = 1000 * np.exp(np.cumsum(np.where(calm, 0.004, 0.03) * rng.standard_normal(n)))
+    pdf = walk(n, symbol, "1d", minutes=1440, start=datetime(2010, 1, 1))
+    for c in ("open", "high", "low", "close"):
+        pdf[c] = close
+    return pdf
+
+
+@pytest.mark.parametrize("covariance", ["diag", "tied"])
+def test_hidden_states_over_blocks(spark, covariance):
+    """Cut into several blocks, fit and filter give what one block gives, series by series."""
+    features = materialize(hs.daily_features(frame(spark, pd.concat([_daily_walk(1500, "A", 1), _daily_walk(900, "B", 2), _daily_walk(290, "C", 3)]))))
+    options = {"states": 2, "covariance": covariance, "restarts": 2, "max_iter": 4}
+    whole = {r["symbol"]: r for r in hs.fit_states(features, **options).collect()}
+    cut = hs.fit_states(features, rows=300, **options)
+    assert hs.packed(features, 300).groupBy("symbol").count().filter("count > 2").count() == 2
+    for r in cut.collect():
+        assert (r["seed"], r["n_samples"]) == (whole[r["symbol"]]["seed"], whole[r["symbol"]]["n_samples"])
+        for c in ("log_likelihood", "start", "transitions", "means", "covariances"):
+            same(np.array(r[c]), np.array(whole[r["symbol"]][c]), 1e-7)
+    params = materialize(hs.fit_states(features, **options))
+    one, many = (collect(hs.filter_states(features, params, rows=n), "state_index", "hmm_prob") for n in (4096, 257))
+    same(one["hmm_prob"], many["hmm_prob"], 1e-10)
+    assert (one["state_index"] == many["state_index"]).all() and len(one) == features.count()
+
+
+def test_hidden_state_parts():
+    """Products, carries and sums of two blocks against one loop over all rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal((0, 0), 1, (40, 2)), rng.normal((4, 1), 2, (30, 2))])
+    model = hs.Model(np.array([0.7, 0.3]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.0, 0.0], [4.0, 1.0]]), np.array([np.eye(2), np.eye(2) * 4]))
+    density = np.stack([[np.exp(-0.5 * (r - m) @ np.linalg.inv(c) @ (r - m)) / (2 * np.pi * np.sqrt(np.linalg.det(c)))
+                         for m, c in zip(model.means, model.covs)] for r in x])
+    alpha, total = np.empty((70, 2)), 0.0
+    for i in range(70):
+        a = (model.start if i == 0 else alpha[i - 1] @ model.trans) * density[i]
+        alpha[i], total = a / a.sum(), total + np.log(a.sum())
+    beta = np.ones((70, 2))
+    for i in range(68, -1, -1):
+        beta[i] = model.trans @ (density[i + 1] * beta[i + 1])
+        beta[i] /= beta[i].max()
+    gamma = alpha * beta / (alpha * beta).sum(axis=1, keepdims=True)
+    pairs = np.stack([alpha[i][:, None] * model.trans * density[i + 1] * beta[i + 1] for i in range(69)])
+    pairs /= pairs.sum(axis=(1, 2), keepdims=True)
+    got, likelihood = hs.filtered(x, model.start, model.trans, model.means, model.covs)
+    same(got, alpha)
+    same([likelihood], [total], 1e-10)
+    left = hs.block_sums(x[:33], model, True, model.start, beta[32])
+    both = left + hs.block_sums(x[33:], model, False, alpha[32], np.ones(2))
+    same(both.weight, gamma.sum(axis=0), 1e-9)
+    same(both.pairs, pairs.sum(axis=0), 1e-9)
+    same(both.start, gamma[0], 1e-9)
+    same(hs.updated(model, both, "full").means, gamma.T @ x / gamma.sum(axis=0)[:, None], 1e-9)
+    same(hs.Sums.of(both.flat(), 2).scatter, both.scatter)
+
+
+def test_hidden_state_parameters_are_stored(spark, tmp_path):
+    params = hs.fit_states(hs.daily_features(frame(spark, _daily_walk(120, "A", 1))), states=2, restarts=1, max_iter=3)
+    hs.save_params(params, str(tmp_path / "hmm"))
+    assert [r.asDict() for r in hs.load_params(spark, str(tmp_path / "hmm")).collect()] == [r.asDict() for r in params.collect()]
+    assert hs.filter_states(hs.daily_features(frame(spark, _daily_walk(60, "A", 1))), params.limit(0)).count() == 0
+
+
 def test_full_decisions(spark):
     pdf = walk(300)
     rows = frame(spark, pdf).withColumn("atr_14", F.lit(2.0))

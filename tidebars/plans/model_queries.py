@@ -175,6 +175,40 @@ def transition_report(spark: SparkSession, folder: str) -> DataFrame:
                    .na.fill(0, ["times"]).drop("timeframe"), 4)
 
 
+#: A model of daily order prices, for reports that are compared with SQL: start, transitions, means, variances.
+FIXED_STATES = ([0.5, 0.3, 0.2], [[0.9, 0.08, 0.02], [0.1, 0.85, 0.05], [0.05, 0.15, 0.8]],
+                [[2.0, -0.3], [10.0, -0.1], [40.0, 0.1]], [[4.0, 0.05], [60.0, 0.05], [900.0, 0.1]])
+
+
+def _fixed_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    features = materialize(hs.daily_features(order_bars(spark, folder)))
+    start, transitions, means, variances = FIXED_STATES
+    covariances = [[[v[0], 0.0], [0.0, v[1]]] for v in variances]
+    params = features.select(*SERIES).distinct().withColumns({
+        name: F.from_json(F.lit(str(value)), kind) for name, value, kind in (
+            ("start", start, "array<double>"), ("transitions", transitions, "array<array<double>>"),
+            ("means", means, "array<array<double>>"), ("covariances", covariances, "array<array<array<double>>>"))})
+    params = materialize(params)
+    return params, hs.filter_states(features, params)
+
+
+def hmm_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Filtered states of a given model."""
+    return rounded(_fixed_states(spark, folder)[1].select("symbol", "ts", "hmm_state", "hmm_prob"), 5)
+
+
+def hmm_state_report(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(hs.state_report(_fixed_states(spark, folder)[1]).drop("timeframe"), 5)
+
+
+def hmm_transition_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Transition probabilities of a given model next to how often the transitions were seen."""
+    params, states = _fixed_states(spark, folder)
+    seen = hs.observed_transitions(states)
+    return rounded(hs.transition_matrix(params).join(seen, [*SERIES, "from_state", "to_state"], "left")
+                   .na.fill(0, ["times"]).drop("timeframe"), 5)
+
+
 def _lifted(bars: DataFrame) -> DataFrame:
     """Prices as those of a costly good: event values run down to zero, where relative changes have no bounds."""
     return bars.withColumns({c: F.col(c) + LIFT for c in ("open", "high", "low", "close")})
@@ -229,7 +263,8 @@ QUERIES = {
     f.__name__: f for f in (
         labels_sign, labels_atr, forward_return, flat_dataset, scaled_features, sequence_windows, walk_forward_folds,
         cpcv_folds, fold_metrics, acceptance, drawdown, intraday_regime, regime_persistence, change_points,
-        regime_decision, regime_gate, hmm_daily_features, hmm_states, regime_report, transition_report, trades_rule_signal,
+        regime_decision, regime_gate, hmm_daily_features, hmm_states, regime_report, transition_report, hmm_filter,
+        hmm_state_report, hmm_transition_report, trades_rule_signal,
         trade_grid, trade_metrics, metrics_by_regime, metrics_by_direction,
     )
 }

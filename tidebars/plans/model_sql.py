@@ -137,7 +137,46 @@ def _grid() -> str:
     return " UNION ALL ".join(parts)
 
 
+_DAILY = f"""{p.order_bars()}, {p.numbered()},
+a AS (SELECT *, (close - pc) / nullif(pc, 0) AS r FROM b), l AS (SELECT *, lag(r) OVER {_W} AS lr FROM a),
+m AS (SELECT *, count(r) OVER v AS n, stddev_samp(r) OVER v AS sd, covar_samp(r, lr) OVER k AS cv, var_samp(r) OVER k AS va,
+      count(CASE WHEN r IS NOT NULL AND lr IS NOT NULL THEN 1 END) OVER k AS pairs, count(r) OVER k AS rs FROM l
+      WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING), k AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
+day AS (SELECT symbol, ts, row_number() OVER {_W} AS k, sd AS vol,
+  CASE WHEN pairs >= 10 AND rs >= 10 AND va <> 0 THEN greatest(-1, least(1, cv / va)) ELSE 0 END AS ac FROM m WHERE n >= 5 AND sd IS NOT NULL)"""
+_STATES3 = [("0.5", "2.0", "4.0", "-0.3", "0.05"), ("0.3", "10.0", "60.0", "-0.1", "0.05"), ("0.2", "40.0", "900.0", "0.1", "0.1")]
+_MOVES = [["0.9", "0.08", "0.02"], ["0.1", "0.85", "0.05"], ["0.05", "0.15", "0.8"]]
+_NAMES3 = ["ranging", "low_vol_trend", "high_vol_trend"]
+
+
+def _hidden() -> str:
+    """Densities of each day, then one day after another: predict, weigh, normalize."""
+    density = ", ".join(f"-0.5::DOUBLE * ((vol - {m}) ** 2 / {v} + (ac - ({c})) ** 2 / {w} + ln({v}::DOUBLE * {w}::DOUBLE) + 2 * ln(2 * pi())) AS d{i}"
+                        for i, (_, m, v, c, w) in enumerate(_STATES3))
+    weight = ", ".join(f"greatest(exp(d{i} - greatest(d0, d1, d2)), 1e-300) AS b{i}" for i in range(3))
+    into = [" + ".join(f"h.a{i} * {_MOVES[i][j]}::DOUBLE" for i in range(3)) for j in range(3)]
+    first = ", ".join(f"{_STATES3[i][0]}::DOUBLE * b{i} / ({' + '.join(f'{_STATES3[k][0]}::DOUBLE * b{k}' for k in range(3))}) AS a{i}" for i in range(3))
+    total = " + ".join(f"({into[j]}) * w.b{j}" for j in range(3))
+    step = ", ".join(f"({into[j]}) * w.b{j} / ({total})" for j in range(3))
+    name = "CASE WHEN a0 >= a1 AND a0 >= a2 THEN 'ranging' WHEN a1 >= a2 THEN 'low_vol_trend' ELSE 'high_vol_trend' END"
+    return f"""{_DAILY}, e AS (SELECT *, {density} FROM day), w AS (SELECT symbol, ts, k, vol, ac, {weight} FROM e),
+h AS (SELECT symbol, k, {first} FROM w WHERE k = 1
+  UNION ALL SELECT w.symbol, w.k, {step} FROM h JOIN w ON w.symbol = h.symbol AND w.k = h.k + 1),
+hs AS (SELECT w.symbol, w.ts, w.k, w.vol, w.ac, {name} AS hmm_state, greatest(a0, a1, a2) AS hmm_prob FROM h JOIN w USING (symbol, k))"""
+
+
+_CELLS = ", ".join(f"('{a}', '{b}', {_MOVES[i][j]}::DOUBLE)" for i, a in enumerate(_NAMES3) for j, b in enumerate(_NAMES3))
+
 SQL = {
+    "hmm_filter": f"""WITH RECURSIVE {_hidden()} SELECT symbol, ts, hmm_state, {p.r('hmm_prob', 'hmm_prob', 5)} FROM hs""",
+    "hmm_state_report": f"""WITH RECURSIVE {_hidden()} SELECT symbol, hmm_state, count(*) AS rows, {p.r('avg(vol)', 'mean_vol', 5)}, {p.r('avg(ac)', 'mean_ac', 5)},
+  {p.r('count(*) / sum(count(*)) OVER (PARTITION BY symbol)', 'share', 5)} FROM hs GROUP BY symbol, hmm_state""",
+    "hmm_transition_report": f"""WITH RECURSIVE {_hidden()},
+pairs AS (SELECT symbol, lag(hmm_state) OVER (PARTITION BY symbol ORDER BY k) AS f, hmm_state AS t FROM hs),
+seen AS (SELECT symbol, f, t, count(*) AS times FROM pairs WHERE f IS NOT NULL GROUP BY ALL),
+cells AS (SELECT symbol, c.f, c.t, c.p FROM (SELECT DISTINCT symbol FROM day), (VALUES {_CELLS}) c(f, t, p))
+SELECT cells.symbol, {p.r('p', 'probability', 5)}, cells.f AS from_state, cells.t AS to_state, coalesce(times, 0) AS times
+FROM cells LEFT JOIN seen ON seen.symbol = cells.symbol AND seen.f = cells.f AND seen.t = cells.t""",
     "labels_sign": f"""WITH {B5} SELECT symbol, ts, CASE WHEN lead(close, 24) OVER w - close > 0 THEN 1.0::DOUBLE
   WHEN lead(close, 24) OVER w - close <= 0 THEN 0.0::DOUBLE END AS label FROM bars WINDOW w AS {_W}""",
     "labels_atr": f"""WITH {B5}, {p.numbered()}, t AS (SELECT *, {p.TR.format('b')} AS tr FROM b),
