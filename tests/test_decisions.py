@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebars.functions.bars import holding_period, holding_period_bars
 from tidebars.operators import changepoint as cp
+from tidebars.operators import gated
 from tidebars.operators import hmm as hs
 from tidebars.operators import labels as lb
 from tidebars.operators import performance as pf
@@ -22,7 +23,7 @@ from tidebars.operators.asof import asof_join
 from tidebars.operators.crossasset import cross_asset
 from tidebars.operators.index import coverage, geometric_index, missing_components, require_components
 from tidebars.operators.observe import ObservationSpec, WindowSpec, observations
-from tidebars.plans.pipelines import backtest
+from tidebars.plans.pipelines import backtest, regime_votes
 from tidebars.schema import DOLLAR_INDEX_WEIGHTS, FEATURE_COLUMNS, SERIES
 from tidebars.session import materialize
 
@@ -368,6 +369,72 @@ def trades_frame(spark, pnl, held=10, regime="ranging"):
     return spark.createDataFrame(rows, "symbol string, timeframe string, direction string, exit_ts timestamp, bars_held int, pnl_pct double, regime_state string")
 
 
+def gated_loop(pdf: pd.DataFrame, horizon: int) -> tuple[list, list]:
+    """Bar by bar: the regime is asked, and moves on, only while flat."""
+    zone = state = "ranging"
+    run = left = 0
+    trades, checked = [], []
+    for i, r in enumerate(pdf.itertuples()):
+        left = max(left - 1, 0)
+        if left > 0 or not r.ok:
+            continue
+        zone = r.explicit_state or zone
+        conf, proposed = r.intraday_conf, zone
+        if r.hmm_state is not None and r.hmm_prob == r.hmm_prob:
+            scores = {s: 0.6 * conf * (s == zone) + 0.3 * r.hmm_prob * (s == r.hmm_state) + 0.1 * (r.recent_change and s == rg.HIGH) for s in rg.STATES}
+            proposed = max(rg.STATES, key=lambda s: scores[s])
+            conf = scores[proposed] / sum(scores.values())
+        elif r.recent_change:
+            conf *= 0.9
+        run = run + 1 if proposed != state else 0
+        if run >= 3:
+            state, run = proposed, 0
+        if conf < 0.6 or 17 <= r.ts.hour < 22:
+            continue
+        checked.append((r.ts, state))
+        if r.direction in ("long", "short") and i + 1 < len(pdf) and pdf["open"].iloc[i + 1] > 0:
+            trades.append((r.ts, r.direction, pdf["open"].iloc[i + 1], pdf["close"].iloc[min(i + horizon, len(pdf) - 1)], state))
+            left = horizon
+    return trades, checked
+
+
+@pytest.mark.parametrize("horizon", [1, 7])
+def test_regime_that_waits_while_a_position_is_open(spark, horizon):
+    rng = np.random.default_rng(horizon)
+    parts = []
+    for symbol, n in (("A", 1300), ("B", 310)):
+        pdf = walk(n, symbol, "1h", minutes=60, seed=n)
+        pdf["direction"] = rng.choice(["long", "short", "neutral", None], n, p=[0.2, 0.2, 0.5, 0.1])
+        pdf["explicit_state"] = rng.choice([*rg.STATES, None], n, p=[0.1, 0.1, 0.1, 0.7])
+        pdf["hmm_state"] = rng.choice([*rg.STATES, None], n, p=[0.2, 0.2, 0.2, 0.4])
+        pdf["intraday_conf"], pdf["hmm_prob"] = rng.choice([0.5, 0.7, 0.95], n), rng.choice([0.4, 0.9, np.nan], n)
+        pdf["recent_change"], pdf["ok"] = rng.random(n) < 0.2, (rng.random(n) < 0.9) & (np.arange(n) > 40)
+        pdf.loc[7::90, "open"] = 0.0
+        parts.append(pdf)
+    rows = spark.createDataFrame(pd.concat(parts)).withColumn("hmm_prob", F.nanvl("hmm_prob", F.lit(None)))
+    trades, checked = gated.replay_while_flat(rows, horizon, eligible=F.col("ok"), block_rows=300)
+    for pdf in parts:
+        want, asked = gated_loop(pdf, horizon)
+        mine = trades.filter(F.col("symbol") == pdf["symbol"].iloc[0]).orderBy("signal_ts").collect()
+        assert [(r["signal_ts"], r["direction"], r["entry_price"], r["exit_price"], r["regime_state"]) for r in mine] == want
+        seen = checked.filter(F.col("symbol") == pdf["symbol"].iloc[0]).orderBy("ts").collect()
+        assert [(r["ts"], r["regime_state"]) for r in seen] == asked
+    assert gated.replay_while_flat(rows.limit(0), horizon)[0].count() == 0
+
+
+def test_backtest_with_votes(spark):
+    """The job takes votes in place of decisions; both at once are refused."""
+    bars = frame(spark, walk(300, "XAUUSD", "1h", minutes=60))
+    signal = bars.select(*SERIES, "ts", F.lit("long").alias("direction"), F.lit(True).alias("warmup_complete"))
+    features = bars.select(*SERIES, "ts", F.lit(2.0).alias("atr_14"))
+    votes = regime_votes(bars, features)
+    trades, report = backtest(bars, signal, "1h", votes=votes)
+    row = report.first()
+    assert trades.count() == row["trade_count"] > 0 and row["signals_generated"] >= row["trade_count"]
+    with pytest.raises(ValueError):
+        backtest(bars, signal, "1h", votes=votes, regimes=votes)
+
+
 def test_trade_metrics_by_hand(spark):
     pnl = np.array([1.0, -0.5, 2.0, 0.0, -1.0])
     got = pf.trade_metrics(trades_frame(spark, pnl.tolist())).first()

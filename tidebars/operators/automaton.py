@@ -1,32 +1,32 @@
 """Small state machines over series, without running a whole series in one task.
 
-A machine is a table ``transitions[code][state] -> state``. Within a block of rows the state before
-each row is worked out for every possible state at the block's start (composition of the table rows
-by doubling, in numpy). The composed map of a block is one short array, so which start really holds
-follows from a pass over one row per block. Exact for any table.
+A machine is a table ``transitions[code][state] -> state``. What a block of rows does is one map of states, worked out
+for every start at once by composing the table's rows pairwise (in numpy). A pass over one map per block tells in
+which state each block starts; then every block is run from there by itself. Exact for any table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.operators.blocks import BLOCK, OWN, ROW, blocked
+from tidebars.operators.blocks import BLOCK, OWN, blocked
 from tidebars.schema import SERIES, TS
+from tidebars.session import materialize
 
 
-def _compose(maps: np.ndarray) -> np.ndarray:
-    """Running composition of row maps: result[i][s] is where s ends up after rows 0..i."""
-    out, distance = maps.copy(), 1
-    while distance < len(out):
-        nxt = out.copy()
-        nxt[distance:] = np.take_along_axis(out[distance:], out[:-distance], axis=1)
-        out, distance = nxt, distance * 2
-    return out
+def _composed(maps: np.ndarray) -> np.ndarray:
+    """Where each state ends up after all rows of maps."""
+    states = maps.shape[1]
+    while len(maps) > 1:
+        if len(maps) % 2:
+            maps = np.concatenate([maps, np.arange(states, dtype=maps.dtype)[None]])
+        maps = np.take_along_axis(maps[1::2], maps[::2].astype(np.int64), axis=1)
+    return maps[0]
 
 
 def run_automaton(
@@ -40,23 +40,22 @@ def run_automaton(
     name: str = "state_before",
     rows: int = 4096,
 ) -> DataFrame:
-    """``df`` plus the machine's state before each row (``name``); ``code`` is a row of the table."""
+    """``df`` plus the machine's state before each row (``name``); ``code`` is a row of the table.
+
+    ``df`` is worked out once and written; only times and codes of its rows go through the machine.
+    """
     keys = list(keys)
     table = np.asarray(transitions, dtype=np.int16)
-    states = table.shape[1]
-    cut = blocked(df, keys=keys, ts=ts, step=step, rows=rows).filter(F.col(OWN)).drop(OWN, ROW)
-    narrow = cut.select(*keys, BLOCK, ts, F.col(code).cast("int").alias("_code"))
     key_types = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    df = materialize(df)
+    coded = df.select(*keys, ts, F.col(code).cast("int").alias("_code"))
+    cut = blocked(coded, keys=keys, ts=ts, step=step, rows=rows).filter(F.col(OWN))
+    blocks = (cut.groupBy(*keys, BLOCK).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(ts).alias("at"), "_code"))).alias("_rows"))
+              .select(*keys, BLOCK, F.col("_rows.at").alias("_at"), F.col("_rows._code").alias("_codes")))
 
-    def befores(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(ts, kind="stable")
-        after = _compose(table[group["_code"].to_numpy()])
-        before = np.vstack([np.arange(states, dtype=np.int16)[None, :], after[:-1]])
-        last = [None] * (len(group) - 1) + [after[-1].tolist()]
-        return group.drop(columns="_code").assign(_before=list(before), _map=last)
-
-    traced = narrow.groupBy(*keys, BLOCK).applyInPandas(
-        befores, f"{key_types}, {BLOCK} long, {ts} timestamp, _before array<smallint>, _map array<smallint>")
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[*keys, BLOCK]].assign(_map=[_composed(table[np.asarray(codes)]) for codes in batch["_codes"]])
 
     def starts(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(BLOCK)
@@ -66,10 +65,18 @@ def run_automaton(
             state = int(block_map[state])
         return group.drop(columns="_map").assign(_start=np.asarray(seen, dtype=np.int32))
 
-    begin = (
-        traced.filter(F.col("_map").isNotNull()).select(*keys, BLOCK, "_map")
-        .groupBy(*keys).applyInPandas(starts, f"{key_types}, {BLOCK} long, _start int")
-    )
-    resolved = traced.drop("_map").join(begin, [*keys, BLOCK]).select(
-        *keys, ts, F.element_at("_before", F.col("_start") + 1).cast("int").alias(name))
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = table.tolist()
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                state, before = row["_start"], []
+                for c in row["_codes"]:
+                    before.append(state)
+                    state = steps[c][state]
+                yield pd.DataFrame({**{k: [row[k]] * len(before) for k in keys}, "_at": row["_at"], name: before})
+
+    begin = (blocks.select(*keys, BLOCK, "_codes").mapInPandas(maps, f"{key_types}, {BLOCK} long, _map array<smallint>")
+             .groupBy(*keys).applyInPandas(starts, f"{key_types}, {BLOCK} long, _start int"))
+    resolved = blocks.join(begin, [*keys, BLOCK]).mapInPandas(states, f"{key_types}, _at long, `{name}` int").select(
+        *keys, F.timestamp_micros("_at").alias(ts), name)
     return df.join(resolved, [*keys, ts])

@@ -24,7 +24,8 @@ PERSISTENCE_BARS, MIN_CONFIDENCE, MIN_DAILY_ROWS = 3, 0.60, 30
 
 
 def intraday_regime(rows: DataFrame) -> DataFrame:
-    """``intraday_state``, ``intraday_conf`` and ``atr_expanding`` from ``adx_14`` and ``atr_14``.
+    """``intraday_state``, ``intraday_conf`` and ``atr_expanding`` from ``adx_14`` and ``atr_14``; ``explicit_state`` is
+    what the row says by itself, if anything.
 
     Rows without an ADX and rows between the thresholds keep the state before them (ranging at first).
     """
@@ -43,10 +44,9 @@ def intraday_regime(rows: DataFrame) -> DataFrame:
         .when(a > TREND_ADX, F.greatest(F.lit(0.5), F.least(a / 50.0, F.lit(1.0))))
         .otherwise(0.5))
     stated = with_previous.withColumn("atr_expanding", expanding).withColumns(
-        {"_explicit": explicit, "intraday_conf": confidence})
-    kept = carry_last(stated, {"_explicit": "_kept"})
-    return kept.withColumn("intraday_state", F.coalesce("_kept", F.lit(RANGING))).drop(
-        "_prev_atr", "_explicit", "_kept")
+        {"explicit_state": explicit, "intraday_conf": confidence})
+    kept = carry_last(stated, {"explicit_state": "_kept"})
+    return kept.withColumn("intraday_state", F.coalesce("_kept", F.lit(RANGING))).drop("_prev_atr", "_kept")
 
 
 def combine_votes(state: Column, conf: Column, hmm_state: Column, hmm_prob: Column, changed: Column
@@ -84,7 +84,7 @@ def persistence_table(bars: int) -> list[list[int]]:
     return table
 
 
-def _code(state: Column) -> Column:
+def state_code(state: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STATES]), state).cast("int") - 1
 
 
@@ -92,7 +92,7 @@ def persist(rows: DataFrame, proposed: str = "proposed_state", bars: int = PERSI
             keys: Sequence[str] = SERIES, block_rows: int = 4096) -> DataFrame:
     """``state``: the proposal once ``bars`` rows in a row differed from the state in force."""
     table = persistence_table(bars)
-    coded = rows.withColumn("_code", _code(F.col(proposed)))
+    coded = rows.withColumn("_code", state_code(F.col(proposed)))
     run = run_automaton(coded, "_code", table, keys, start=STATES.index(RANGING) * bars, name="_before", rows=block_rows)
     flat = F.array(*[F.lit(v) for row in table for v in row])
     after = F.element_at(flat, F.col("_code") * (len(STATES) * bars) + F.col("_before") + 1)
@@ -128,8 +128,8 @@ def decide(rows: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame
     })
 
 
-def classify(rows: DataFrame, daily_states: DataFrame | None = None) -> DataFrame:
-    """Regime decision per row of ``rows`` (bars with ``atr_14``), all series at once.
+def votes(rows: DataFrame, daily_states: DataFrame | None = None) -> DataFrame:
+    """``rows`` (bars with ``atr_14``) with all that a regime decision is made of.
 
     ``daily_states`` gives (symbol, day, hmm_state, hmm_prob) in force on a day: states of the day
     before, for symbols with at least 30 daily rows (see ``previous_day_states``).
@@ -142,10 +142,16 @@ def classify(rows: DataFrame, daily_states: DataFrame | None = None) -> DataFram
     else:
         days = daily_states.select("symbol", F.col("day").alias("_day"), "hmm_state", "hmm_prob")
         staged = staged.withColumn("_day", F.to_date("ts")).join(days, ["symbol", "_day"], "left").drop("_day")
+    return staged
+
+
+def classify(rows: DataFrame, daily_states: DataFrame | None = None) -> DataFrame:
+    """Regime decision per row of ``rows``, all series at once; for ``daily_states`` see ``votes``."""
+    staged = votes(rows, daily_states)
     proposed, confidence = combine_votes(*[F.col(c) for c in (
         "intraday_state", "intraday_conf", "hmm_state", "hmm_prob", "recent_change")])
     voted = staged.withColumns({"proposed_state": proposed, "vote_conf": confidence})
-    return decide(persist(voted)).withColumn("adx_value", F.col("adx_14"))
+    return decide(persist(voted)).withColumn("adx_value", F.col("adx_14")).drop("explicit_state")
 
 
 def previous_day_states(states: DataFrame) -> DataFrame:

@@ -32,6 +32,29 @@ def signal_rule(probability_long: Column, probability_short: Column, threshold:
     return F.when(best <= threshold, "neutral").otherwise(side), F.when(best <= threshold, 0.0).otherwise(best)
 
 
+def priced_ahead(bars: DataFrame, horizon: int, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Bars with what a position opened after them would enter and leave at, and how long it would last."""
+    ahead, nxt = block_window(keys).rowsBetween(0, horizon), block_window(keys)
+    return own_rows(blocked(bars, fwd=horizon, keys=keys, rows=block_rows).withColumns({
+        "_entry": F.lead("open").over(nxt), "_entry_ts": F.lead("ts").over(nxt),
+        "_exit": F.last("close").over(ahead), "_exit_ts": F.last("ts").over(ahead),
+        "_held": (F.count(F.lit(1)).over(ahead) - 1).cast("int")}))
+
+
+def trade_rows(opened: DataFrame, horizon: int, spread: float, direction: str, regime: str | None, keys: Sequence[str]) -> DataFrame:
+    """Trades of the bars of ``priced_ahead`` after which a position is opened."""
+    entry, leave = F.col("_entry"), F.col("_exit")
+    cost = F.lit(float(spread)) / F.nullif(entry, F.lit(0.0))
+    gain = F.when(F.col(direction) == "long", (leave - entry) / F.nullif(entry, F.lit(0.0))).otherwise(
+        (entry - leave) / F.nullif(entry, F.lit(0.0)))
+    return opened.select(
+        *keys, F.col("ts").alias("signal_ts"), F.col(direction).alias("direction"),
+        F.col("_entry_ts").alias("entry_ts"), entry.alias("entry_price"),
+        F.col("_exit_ts").alias("exit_ts"), leave.alias("exit_price"), cost.alias("spread_pct"),
+        F.lit(horizon).alias("horizon"), F.col("_held").alias("bars_held"), ((gain - cost) * 100).alias("pnl_pct"),
+        (F.col(regime) if regime else F.lit(None).cast("string")).alias("regime_state"))
+
+
 def replay(
     bars: DataFrame,
     horizon: int,
@@ -50,29 +73,13 @@ def replay(
     """
     keys = list(keys)
     eligible = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-    ahead = block_window(keys).rowsBetween(0, horizon)
-    nxt = block_window(keys)
-    priced = own_rows(blocked(bars, fwd=horizon, keys=keys, rows=block_rows).withColumns({
-        "_entry": F.lead("open").over(nxt), "_entry_ts": F.lead("ts").over(nxt),
-        "_exit": F.last("close").over(ahead), "_exit_ts": F.last("ts").over(ahead),
-        "_held": (F.count(F.lit(1)).over(ahead) - 1).cast("int"), "_ok": eligible,
-    }))
     active = F.col(direction).isin("long", "short") & F.col("_ok") & (F.col("_entry") > 0)
-    coded = priced.withColumn("_code", F.coalesce(active.cast("int"), F.lit(0)))
+    coded = priced_ahead(bars.withColumn("_ok", eligible), horizon, keys, block_rows).withColumn(
+        "_code", F.coalesce(active.cast("int"), F.lit(0)))
     run = run_automaton(coded, "_code", holding_table(horizon), keys, name="_left", rows=block_rows)
     flat = F.greatest(F.col("_left") - 1, F.lit(0)) == 0
-    checked = run.filter(flat & F.col("_ok"))
-    entry, leave = F.col("_entry"), F.col("_exit")
-    cost = F.lit(float(spread)) / F.nullif(entry, F.lit(0.0))
-    gain = F.when(F.col(direction) == "long", (leave - entry) / F.nullif(entry, F.lit(0.0))).otherwise(
-        (entry - leave) / F.nullif(entry, F.lit(0.0)))
-    trades = run.filter(flat & (F.col("_code") == 1)).select(
-        *keys, F.col("ts").alias("signal_ts"), F.col(direction).alias("direction"),
-        F.col("_entry_ts").alias("entry_ts"), entry.alias("entry_price"),
-        F.col("_exit_ts").alias("exit_ts"), leave.alias("exit_price"), cost.alias("spread_pct"),
-        F.lit(horizon).alias("horizon"), F.col("_held").alias("bars_held"), ((gain - cost) * 100).alias("pnl_pct"),
-        (F.col(regime) if regime else F.lit(None).cast("string")).alias("regime_state"))
-    return trades, checked.select(*keys, "ts")
+    trades = trade_rows(run.filter(flat & (F.col("_code") == 1)), horizon, spread, direction, regime, keys)
+    return trades, run.filter(flat & F.col("_ok")).select(*keys, "ts")
 
 
 def replay_grid(bars: DataFrame, horizons: Sequence[int], spreads: Sequence[float], **options) -> DataFrame:

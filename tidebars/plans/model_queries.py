@@ -12,6 +12,7 @@ from tidebars.operators import performance as pf
 from tidebars.operators import regime as rg
 from tidebars.operators import splits as sp
 from tidebars.operators.changepoint import with_change_points
+from tidebars.operators.gated import replay_while_flat
 from tidebars.operators.trades import replay, replay_grid, signal_rule
 from tidebars.plans.common import rounded
 from tidebars.schema import SERIES
@@ -240,6 +241,36 @@ def signal_rule_query(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(bars.select("symbol", "ts", direction.alias("direction"), confidence.alias("confidence")))
 
 
+def _gated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """1h bars with signals and votes, the calendar standing in for daily states and breaks, and what is traded of them."""
+    rows = rg.intraday_regime(materialize(ind.adx(ind.atr(_signals(spark, folder, "1h")))))
+    day = F.weekday("ts")
+    rows = materialize(_lifted(rows).drop("regime_state").withColumns({
+        "hmm_state": F.when(day == 0, "low_vol_trend").when(day == 1, "high_vol_trend").when(day == 2, "ranging"),
+        "hmm_prob": F.when(day <= 2, 0.9), "recent_change": F.hour("ts") % 7 == 0}))
+    trades, checked = replay_while_flat(rows, 6, spread=0.3, eligible=F.col("adx_14").isNotNull())
+    return rows, materialize(trades), checked
+
+
+def gated_trades(spark: SparkSession, folder: str) -> DataFrame:
+    """Trades behind a regime that moves on only while no position is open."""
+    return rounded(_gated(spark, folder)[1].select(
+        "symbol", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "bars_held", "pnl_pct", "regime_state"))
+
+
+def gated_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of these trades: bars, checked bars and all metrics of each symbol."""
+    rows, trades, checked = _gated(spark, folder)
+    bars = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars_processed"))
+    seen = checked.groupBy("symbol").agg(F.count(F.lit(1)).alias("signals_generated"))
+    numbers = pf.trade_metrics(trades, step=STEP).drop("timeframe")
+    return rounded(bars.join(seen, "symbol").join(numbers, "symbol").withColumn("meets_minimum", pf.backtest_accepted()), 5)
+
+
+def gated_by_regime(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(pf.regime_breakdown(_gated(spark, folder)[1]).drop("timeframe"), 5)
+
+
 def trade_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Trades and summed result for each horizon and spread."""
     grid = replay_grid(_signals(spark, folder, "1h"), [3, 6], [0.0, 0.3, 1.0])
@@ -264,7 +295,7 @@ QUERIES = {
         labels_sign, labels_atr, forward_return, flat_dataset, scaled_features, sequence_windows, walk_forward_folds,
         cpcv_folds, fold_metrics, acceptance, drawdown, intraday_regime, regime_persistence, change_points,
         regime_decision, regime_gate, hmm_daily_features, hmm_states, regime_report, transition_report, hmm_filter,
-        hmm_state_report, hmm_transition_report, trades_rule_signal,
+        hmm_state_report, hmm_transition_report, trades_rule_signal, gated_trades, gated_backtest, gated_by_regime,
         trade_grid, trade_metrics, metrics_by_regime, metrics_by_direction,
     )
 }

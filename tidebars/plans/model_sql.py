@@ -136,6 +136,49 @@ def _grid() -> str:
   GROUP BY symbol, s)""")
     return " UNION ALL ".join(parts)
 
+_METRIC_CURVE = f"""cu AS (SELECT *, exp(sum(ln(1 + pnl_pct / 100)) OVER (PARTITION BY symbol ORDER BY exit_ts)) AS eq FROM c),
+dd AS (SELECT *, (max(eq) OVER (PARTITION BY symbol ORDER BY exit_ts) - eq) / max(eq) OVER (PARTITION BY symbol ORDER BY exit_ts) AS d FROM cu)"""
+_METRIC_COLUMNS = f"""{p.r(_GROW, 'total_return', 5)}, {p.r(_SHARPE, 'sharpe_ratio', 5)},
+  {p.r(f'avg(pnl_pct) / {_DOWN} * sqrt(252 * 6.5 / avg(bars_held))', 'sortino_ratio', 5)},
+  {p.r('least(sum(pnl_pct) FILTER (WHERE pnl_pct > 0) / abs(sum(pnl_pct) FILTER (WHERE pnl_pct <= 0)), 99.99)', 'profit_factor', 5)},
+  {p.r('100 * avg(CASE WHEN pnl_pct > 0 THEN 1.0 ELSE 0.0 END)', 'win_rate', 5)}, {p.r('100 * max(d)', 'max_drawdown', 5)},
+  count(*) AS trade_count, {p.r('avg(pnl_pct) FILTER (WHERE pnl_pct > 0)', 'avg_win', 5)},
+  {p.r('avg(pnl_pct) FILTER (WHERE pnl_pct <= 0)', 'avg_loss', 5)}, {p.r('max(pnl_pct)', 'best_trade', 5)},
+  {p.r('min(pnl_pct)', 'worst_trade', 5)}"""
+
+
+def _gated() -> str:
+    """Bar by bar, with the dead zone, persistence and holding all in one row that moves on only where it may."""
+    return f"""{_INTRADAY}, {_LR.replace('b AS (', 'b2 AS (').replace('FROM b)', 'FROM b2)')},
+sig AS MATERIALIZED (SELECT symbol, ts, rn, open + 1500 AS open, close + 1500 AS close, CASE WHEN r5 < -1 THEN 'long' WHEN r5 > 1 THEN 'short' END AS side,
+  lead(open) OVER {_W} + 1500 AS nopen, lead(ts) OVER {_W} AS nts, max(rn) OVER (PARTITION BY symbol) AS last_rn FROM rt),
+ask AS (SELECT sig.*, e.explicit, e.conf, e.y IS NOT NULL AS warm, isodow(e.ts) AS d, hour(e.ts) % 7 = 0 AS chg, hour(e.ts) AS h
+  FROM sig JOIN e ON e.symbol = sig.symbol AND e.ts = sig.ts),
+sc AS (SELECT ask.*, z,
+  CASE WHEN z = 'low_vol_trend' THEN 0.6::DOUBLE * conf ELSE 0 END + CASE WHEN d = 1 THEN 0.3::DOUBLE * 0.9::DOUBLE ELSE 0 END AS s1,
+  CASE WHEN z = 'high_vol_trend' THEN 0.6::DOUBLE * conf ELSE 0 END + CASE WHEN d = 2 THEN 0.3::DOUBLE * 0.9::DOUBLE ELSE 0 END
+    + CASE WHEN chg THEN 0.1::DOUBLE ELSE 0 END AS s2,
+  CASE WHEN z = 'ranging' THEN 0.6::DOUBLE * conf ELSE 0 END + CASE WHEN d = 3 THEN 0.3::DOUBLE * 0.9::DOUBLE ELSE 0 END AS s3
+  FROM ask, (VALUES ('low_vol_trend'), ('high_vol_trend'), ('ranging')) v(z)),
+vt AS MATERIALIZED (SELECT *,
+  CASE WHEN d > 3 THEN z WHEN s1 >= s2 AND s1 >= s3 THEN 'low_vol_trend' WHEN s2 >= s3 THEN 'high_vol_trend' ELSE 'ranging' END AS p,
+  NOT (h BETWEEN 17 AND 21) AND CASE WHEN d > 3 THEN conf * CASE WHEN chg THEN 0.9 ELSE 1 END ELSE greatest(s1, s2, s3) / (s1 + s2 + s3) END >= 0.6 AS may FROM sc),
+mac AS (
+  SELECT DISTINCT symbol, 0::BIGINT AS rn, 'ranging' AS z, 'ranging' AS cur, 0 AS k, 0 AS held, FALSE AS asked, FALSE AS entered FROM sig
+  UNION ALL
+  SELECT v.symbol, v.rn, CASE WHEN v.warm AND m.held <= 1 THEN v.z ELSE m.z END,
+    CASE WHEN v.warm AND m.held <= 1 AND v.p <> m.cur AND m.k >= 2 THEN v.p ELSE m.cur END,
+    CASE WHEN NOT (v.warm AND m.held <= 1) THEN m.k WHEN v.p <> m.cur AND m.k < 2 THEN m.k + 1 ELSE 0 END,
+    CASE WHEN v.warm AND m.held <= 1 AND v.may AND v.side IS NOT NULL AND v.nopen > 0 THEN 6 ELSE greatest(m.held - 1, 0) END,
+    v.warm AND m.held <= 1 AND v.may, v.warm AND m.held <= 1 AND v.may AND v.side IS NOT NULL AND coalesce(v.nopen > 0, FALSE)
+  FROM mac m JOIN vt v ON v.symbol = m.symbol AND v.rn = m.rn + 1 AND v.z = coalesce(v.explicit, m.z)),
+tr AS (
+  SELECT s.symbol, s.side AS direction, s.nts AS entry_ts, s.nopen AS entry_price, x.ts AS exit_ts, x.close AS exit_price,
+    CAST(x.rn - s.rn AS INTEGER) AS bars_held, m.cur AS regime_state,
+    100 * ((CASE WHEN s.side = 'long' THEN x.close - s.nopen ELSE s.nopen - x.close END) / s.nopen - 0.3 / s.nopen) AS pnl_pct
+  FROM mac m JOIN sig s ON s.symbol = m.symbol AND s.rn = m.rn
+    JOIN sig x ON x.symbol = s.symbol AND x.rn = least(s.rn + 6, s.last_rn) WHERE m.entered)"""
+
 
 _DAILY = f"""{p.order_bars()}, {p.numbered()},
 a AS (SELECT *, (close - pc) / nullif(pc, 0) AS r FROM b), l AS (SELECT *, lag(r) OVER {_W} AS lr FROM a),
@@ -177,6 +220,16 @@ seen AS (SELECT symbol, f, t, count(*) AS times FROM pairs WHERE f IS NOT NULL G
 cells AS (SELECT symbol, c.f, c.t, c.p FROM (SELECT DISTINCT symbol FROM day), (VALUES {_CELLS}) c(f, t, p))
 SELECT cells.symbol, {p.r('p', 'probability', 5)}, cells.f AS from_state, cells.t AS to_state, coalesce(times, 0) AS times
 FROM cells LEFT JOIN seen ON seen.symbol = cells.symbol AND seen.f = cells.f AND seen.t = cells.t""",
+    "gated_trades": f"""WITH RECURSIVE {_gated()} SELECT symbol, direction, entry_ts, {p.r('entry_price', 'entry_price')}, exit_ts,
+  {p.r('exit_price', 'exit_price')}, bars_held, {p.r('pnl_pct', 'pnl_pct')}, regime_state FROM tr""",
+    "gated_by_regime": f"""WITH RECURSIVE {_gated()} SELECT symbol, regime_state, count(*) AS trade_count,
+  {p.r('100 * avg(CASE WHEN pnl_pct > 0 THEN 1.0 ELSE 0.0 END)', 'win_rate', 5)}, {p.r(_SHARPE, 'sharpe_ratio', 5)},
+  {p.r(_GROW, 'total_return', 5)} FROM tr GROUP BY symbol, regime_state""",
+    "gated_backtest": f"""WITH RECURSIVE {_gated()}, c AS (SELECT * FROM tr), {_METRIC_CURVE},
+n AS (SELECT symbol, count(*) AS bars_processed FROM sig GROUP BY symbol), g AS (SELECT symbol, count(*) AS signals_generated FROM mac WHERE asked GROUP BY symbol),
+r AS (SELECT symbol, {_METRIC_COLUMNS} FROM dd GROUP BY symbol)
+SELECT *, sharpe_ratio >= 1.0 AND sortino_ratio >= 1.5 AND profit_factor >= 1.3 AND win_rate >= 40 AS meets_minimum
+FROM n JOIN g USING (symbol) JOIN r USING (symbol)""",
     "labels_sign": f"""WITH {B5} SELECT symbol, ts, CASE WHEN lead(close, 24) OVER w - close > 0 THEN 1.0::DOUBLE
   WHEN lead(close, 24) OVER w - close <= 0 THEN 0.0::DOUBLE END AS label FROM bars WINDOW w AS {_W}""",
     "labels_atr": f"""WITH {B5}, {p.numbered()}, t AS (SELECT *, {p.TR.format('b')} AS tr FROM b),

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tidebars.operators import performance as pf
 from tidebars.operators.crossasset import cross_asset
 from tidebars.operators.features import compute_features
+from tidebars.operators.gated import VOTES, replay_while_flat
 from tidebars.operators.labels import attach_returns, flat_dataset, require_bars
 from tidebars.operators.models import Ensemble, EnsembleConfig, save_run, train_run
 from tidebars.operators.regime import classify
+from tidebars.operators.regime import votes as votes_of
 from tidebars.operators.resample import resample_many
 from tidebars.operators.splits import periods_overlap
 from tidebars.operators.trades import default_horizon, replay
@@ -71,12 +73,16 @@ def backtest(
     spread: float = 0.0,
     regimes: DataFrame | None = None,
     horizon: int | None = None,
+    votes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(trades, one report row per series) of bars with a ``direction`` per (series, ts) in ``signal``.
 
-    Only warm bars may signal, and with ``regimes`` only bars whose decision allows it. The regime is
-    worked out on all bars, not only on those without a position.
+    Only warm bars may signal, and with ``regimes`` (decisions of ``regime_table``) only bars whose decision allows
+    it; these are worked out on all bars. With ``votes`` (of ``regime_votes``) in their place, dead zone and
+    persistence of the regime move on only at warm bars at which no position is open.
     """
+    if regimes is not None and votes is not None:
+        raise ValueError("give decisions of all bars or votes, not both")
     horizon = horizon or default_horizon(timeframe)
     rows = bars.filter(F.col("timeframe") == timeframe).join(
         signal.select(*SERIES, "ts", "direction", "warmup_complete"), [*SERIES, "ts"], "left")
@@ -86,8 +92,13 @@ def backtest(
         rows = rows.join(regimes.select(*SERIES, "ts", F.col("state").alias("regime_state"), "should_trade"),
                          [*SERIES, "ts"], "left")
         allowed, regime = allowed & F.col("should_trade"), "regime_state"
+    if votes is not None:
+        rows = rows.join(votes.select(*SERIES, "ts", *VOTES), [*SERIES, "ts"], "left")
     rows = materialize(rows)
-    found, checked = replay(rows, horizon, spread, eligible=allowed, regime=regime)
+    if votes is not None:
+        found, checked = replay_while_flat(rows, horizon, spread, eligible=allowed)
+    else:
+        found, checked = replay(rows, horizon, spread, eligible=allowed, regime=regime)
     trades = materialize(found)
     span = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("bars_processed"), F.min("ts").alias("start_date"),
                                      F.max("ts").alias("end_date"))
@@ -98,11 +109,18 @@ def backtest(
     return trades, report
 
 
+def regime_votes(bars: DataFrame, features: DataFrame, daily_states: DataFrame | None = None) -> DataFrame:
+    """Votes on the regime at all bars that have features."""
+    return votes_of(_bars_with_atr(bars, features), daily_states)
+
+
+def _bars_with_atr(bars: DataFrame, features: DataFrame) -> DataFrame:
+    return bars.select(*SERIES, "ts", "high", "low", "close").join(features.select(*SERIES, "ts", "atr_14"), [*SERIES, "ts"])
+
+
 def regime_table(bars: DataFrame, features: DataFrame, daily_states: DataFrame | None = None) -> DataFrame:
     """Decisions for all bars that have features."""
-    rows = bars.select(*SERIES, "ts", "high", "low", "close").join(
-        features.select(*SERIES, "ts", "atr_14"), [*SERIES, "ts"])
-    return classify(rows, daily_states)
+    return classify(_bars_with_atr(bars, features), daily_states)
 
 
 def training_overlaps(runs: DataFrame, start: Column, end: Column) -> DataFrame:
