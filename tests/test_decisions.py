@@ -215,6 +215,21 @@ def test_change_points(spark):
     assert cut["recent_change"].tolist() == got["recent_change"].iloc[:100].tolist()
 
 
+def test_change_points_over_blocks(spark):
+    """Windows that reach over blocks and start short, bar by bar; no array per bar in any exchange."""
+    rng = np.random.default_rng(8)
+    pdf = walk(1100)
+    pdf["close"] = 100 * np.cumprod(1 + rng.normal(0, 1, 1100) * np.where(np.arange(1100) // 60 % 2, 0.001, 0.01))
+    out = cp.with_change_points(frame(spark, pdf))
+    got = collect(out, "change_points", "recent_change")
+    r = np.diff(pdf["close"]) / pdf["close"].to_numpy()[:-1]
+    for i in [*range(15, 130, 9), *range(500, 640, 11), 1098, 1099]:
+        window = r[max(0, i - cp.WINDOW):i]
+        want = cp.segment(window[None])[0] if len(window) >= 2 * cp.MIN_SIZE else []
+        assert list(got["change_points"].iloc[i]) == want
+        assert got["recent_change"].iloc[i] == any(p > len(window) - cp.RECENT for p in want)
+
+
 def forward_loop(x, start, trans, means, covs):
     out, total = [], 0.0
     for i, row in enumerate(x):

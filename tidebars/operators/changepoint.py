@@ -1,7 +1,7 @@
 """Structural breaks in the last returns of every bar.
 
-Each bar has its own window of at most 100 past returns. Windows are independent rows, so Spark
-spreads them like any other rows; a vectorized function segments a batch of them at a time.
+Each bar has its own window of at most 100 past returns. The returns of a block, with the 100 before it, go to a task
+in one array; windows are views of it, segmented a batch at a time, and only their breaks leave the task.
 """
 
 from __future__ import annotations
@@ -12,15 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidebars.operators.blocks import ROW, block_window, blocked, carry_last, own_rows
+from tidebars.operators.blocks import BLOCK, OWN, ROW, block_window, blocked, carry_last, own_rows
 from tidebars.schema import SERIES
 from tidebars.session import spread
 
 # fixed values: segmentation settings
 WINDOW, MIN_SIZE, PENALTY, GRID, RECENT = 100, 10, 3.0, 5, 20
 _BATCH = 64
+_BLOCK = 512  # returns of a block, which as many segmentations follow
 
 
 def segment(x: np.ndarray, min_size: int = MIN_SIZE, penalty: float = PENALTY, grid: int = GRID) -> list[list[int]]:
@@ -65,25 +65,37 @@ def segment(x: np.ndarray, min_size: int = MIN_SIZE, penalty: float = PENALTY, g
     return breaks
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def change_points(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Break positions in an array of returns, none for fewer than two minimal segments."""
-    for batch in windows:
-        found: list[list[int]] = [[] for _ in range(len(batch))]
-        sizes = np.asarray([0 if w is None else len(w) for w in batch])
-        for n in np.unique(sizes[sizes >= 2 * MIN_SIZE]):
-            where = np.flatnonzero(sizes == n)
-            for lo in range(0, len(where), _BATCH):
-                part = where[lo: lo + _BATCH]
-                for i, points in zip(part, segment(np.stack([np.asarray(batch.iloc[i], float) for i in part]))):
-                    found[i] = points
-        yield pd.Series(found)
+def trailing_breaks(values: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Break positions in the windows of ``sizes`` values that end with the places ``ends``; none below two minimal segments."""
+    found: list[list[int]] = [[] for _ in range(len(ends))]
+    for n in np.unique(sizes[sizes >= 2 * MIN_SIZE]):
+        windows = np.lib.stride_tricks.sliding_window_view(values, n)
+        where = np.flatnonzero(sizes == n)
+        for lo in range(0, len(where), _BATCH):
+            part = where[lo: lo + _BATCH]
+            for i, points in zip(part, segment(windows[ends[part] - n + 1])):
+                found[i] = points
+    return found
 
 
 def has_recent_change(points: Column, length: Column, lookback: int = RECENT) -> Column:
     return F.exists(points, lambda p: p > length - lookback)
 
 
+def _breaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for block in batch.itertuples(index=False):
+            _, _, _, row, at, values, own = block
+            sizes = np.minimum(np.asarray(row), WINDOW)
+            mine = np.flatnonzero(np.asarray(own) & (sizes >= 2 * MIN_SIZE))
+            if not len(mine):
+                continue
+            found = trailing_breaks(np.asarray(values, float), mine, sizes[mine])
+            recent = [any(p > n - RECENT for p in points) for n, points in zip(sizes[mine], found)]
+            yield pd.DataFrame({"symbol": block.symbol, "timeframe": block.timeframe, "_at": np.asarray(at)[mine],
+                                "change_points": found, "recent_change": recent})
+
+
 def with_change_points(bars: DataFrame) -> DataFrame:
     """``change_points`` of the trailing returns and ``recent_change`` at every bar.
 
@@ -93,17 +105,13 @@ def with_change_points(bars: DataFrame) -> DataFrame:
     previous = F.lag("close").over(block_window())
     returns = own_rows(blocked(bars.select(*SERIES, "ts", "close"), back=1).withColumn(
         "_r", F.when(previous > 0, (F.col("close") - previous) / F.nullif(previous, F.lit(0.0)))))
-    frame = block_window().rowsBetween(-(WINDOW - 1), 0)
-    windows = own_rows(
-        blocked(returns.filter(F.col("_r").isNotNull()), back=WINDOW)
-        .withColumn("_win", F.when(F.col(ROW) >= 2 * MIN_SIZE, F.collect_list("_r").over(frame)))
-    ).select(*SERIES, "ts", "_win")
-    # the segmentation is the dear part: share it out evenly, whatever the blocks look like
-    shared = spread(windows.filter(F.col("_win").isNotNull()), *SERIES, "ts")
-    points = shared.withColumn("_p", change_points("_win")).select(
-        *SERIES, "ts", F.struct(
-            F.col("_p").alias("change_points"),
-            has_recent_change(F.col("_p"), F.size("_win")).alias("recent_change")).alias("_c"))
+    cut = blocked(returns.filter(F.col("_r").isNotNull()), back=WINDOW, rows=_BLOCK)
+    packed = cut.groupBy(*SERIES, BLOCK).agg(F.sort_array(F.collect_list(F.struct(
+        F.col(ROW).alias("row"), F.unix_micros("ts").alias("at"), F.col("_r").alias("r"), F.col(OWN).alias("own")))).alias("_rows"))
+    # the segmentation is the dear part: share the blocks out evenly, whatever their bytes
+    shared = spread(packed.select(*SERIES, BLOCK, *[F.col(f"_rows.{c}").alias(f"_{c}") for c in ("row", "at", "r", "own")]), *SERIES, BLOCK)
+    points = shared.mapInPandas(_breaks, "symbol string, timeframe string, _at long, change_points array<int>, recent_change boolean").select(
+        *SERIES, F.timestamp_micros("_at").alias("ts"), F.struct("change_points", "recent_change").alias("_c"))
     joined = bars.join(points, [*SERIES, "ts"], "left")
     filled = carry_last(joined, {"_c": "_last"}).drop("_c")
     return filled.withColumns({
