@@ -15,6 +15,7 @@ from tidebars.operators.labels import attach_returns, flat_dataset
 from tidebars.operators.models import Ensemble, EnsembleConfig, evaluate_fold, fit_ensemble, run_summary, train_run
 from tidebars.operators.resample import resample
 from tidebars.operators.trades import signal_rule
+from tidebars.operators.trees import TreeTable
 from tidebars.plans import catalog
 from tidebars.plans.pipelines import build_features, ingest, summary, training_overlaps
 from tidebars.schema import BARS, FEATURE_COLUMNS, SERIES
@@ -209,3 +210,34 @@ def test_batch_jobs(spark, tmp_path):
 def test_catalog_is_complete():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) > 80
+
+
+def test_trees_as_a_table(spark):
+    """Scores of the node table are the model's; effects are those of scoring each variant."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (400, 5)), 1)
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(400) < 0.1)).astype(float)
+    data = spark.createDataFrame([(i, v.tolist(), float(label)) for i, (v, label) in enumerate(zip(x, y))], "k long, x array<double>, label double")
+    data = data.withColumn("features", array_to_vector("x")).repartition(3)
+    model = GBTClassifier(maxIter=6, maxDepth=4, stepSize=0.2, seed=3).fit(data)
+    table = TreeTable.of_model(model)
+    want = dict(model.transform(data).select("k", vector_to_array("probability")[1]).collect())
+    got = dict(table.scores(data, ["k"], "x").collect())
+    np.testing.assert_allclose([got[k] for k in range(400)], [want[k] for k in range(400)], atol=1e-12)
+    means = x.mean(axis=0)
+    effects = table.effects(x, means)
+    for i in range(5):
+        changed = x.copy()
+        changed[:, i] = means[i]
+        again = [1 / (1 + np.exp(-2 * m)) for m in table.values(changed).sum(axis=1)]
+        np.testing.assert_allclose(effects[:, i], [want[k] - again[k] for k in range(400)], atol=1e-12)
+    top = {r["k"]: r["top_features"] for r in table.attributions(data, ["k"], "x", list("abcde"), means, 2).collect()}
+    for k in range(400):
+        order = sorted(range(5), key=lambda i: (-round(abs(effects[k, i]), 12), i))[:2]
+        assert top[k] == pytest.approx({"abcde"[i]: effects[k, i] for i in order})
+    plan = table.attributions(data, ["k"], "x", list("abcde"), means)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == data._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert table.scores(data.limit(0), ["k"], "x").count() == 0

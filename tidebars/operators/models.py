@@ -20,6 +20,7 @@ from tidebars.operators.labels import chronological_position, fit_scaler, sequen
 from tidebars.operators.performance import BAR_PERIODS, fold_metrics
 from tidebars.operators.splits import walk_forward
 from tidebars.operators.trades import signal_rule
+from tidebars.operators.trees import TreeTable
 from tidebars.schema import FEATURE_COLUMNS, SERIES, timeframe_minutes
 from tidebars.session import materialize
 
@@ -105,25 +106,10 @@ class Ensemble:
     def attributions(self, rows: DataFrame, top: int = 5) -> DataFrame:
         """What each input adds to the base probability: the change when it is set to its mean.
 
-        Every row becomes 25 rows that are scored at once; the 24 changes of a row meet again by key.
+        A row's 24 variants are worked out where it lies, from the table of the trees' nodes.
         """
-        keyed = self.inputs(rows).select(*KEY, vector_to_array("features").alias("_x"))
-        means = _literals(self.means)
-        variants = keyed.select(*KEY, "_x", F.posexplode(F.sequence(F.lit(-1), F.lit(len(FEATURE_COLUMNS) - 1))).alias(
-            "_p", "_i"))
-        changed = variants.withColumn("features", array_to_vector(F.transform(
-            "_x", lambda x, i: F.when(i == F.col("_i"), F.get(means, i)).otherwise(x)))).drop("_x", "_p")
-        scored = self.with_base(changed).select(*KEY, "_i", "base_long")
-        names = F.array(*[F.lit(c) for c in FEATURE_COLUMNS])
-        by_row = scored.groupBy(*KEY).agg(
-            F.max(F.when(F.col("_i") == -1, F.col("base_long"))).alias("_all"),
-            F.collect_list(F.when(F.col("_i") >= 0, F.struct("_i", "base_long"))).alias("_each"))
-        effects = F.transform("_each", lambda e: F.struct(
-            (-F.abs(F.col("_all") - e["base_long"])).alias("rank"), e["_i"].alias("i"),
-            (F.col("_all") - e["base_long"]).alias("effect")))
-        best = F.slice(F.array_sort(effects), 1, top)
-        return by_row.select(*KEY, F.map_from_entries(F.transform(best, lambda e: F.struct(
-            F.get(names, e["i"]), e["effect"]))).alias("top_features"))
+        keyed = rows.select(*KEY, feature_array().alias("_inputs"))
+        return TreeTable.of_model(self.base).attributions(keyed, KEY, "_inputs", FEATURE_COLUMNS, self.means, top)
 
     def save(self, path: str) -> None:
         """Parts as pyspark.ml models, numbers as one JSON record. No pickles."""

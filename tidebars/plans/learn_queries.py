@@ -12,6 +12,7 @@ from tidebars.operators.features import compute_features
 from tidebars.operators.labels import attach_returns, sign_label
 from tidebars.operators.models import EnsembleConfig, fit_ensemble, run_summary, train_run
 from tidebars.operators.splits import periods_overlap
+from tidebars.operators.trees import NODES, TreeTable
 from tidebars.plans.common import rounded
 from tidebars.plans.pipelines import backtest
 from tidebars.schema import SERIES
@@ -54,6 +55,37 @@ def training_summary(spark: SparkSession, folder: str) -> DataFrame:
     return run_summary(train_run(data, LIGHT, folds=2)[1])
 
 
+#: A small model for comparisons with SQL: (tree, weight, node, feature, threshold, left, right, value).
+TREES = [
+    (0, 1.0, 0, 0, 0.1, 1, 2, 0.0), (0, 1.0, 1, 1, 1.5, 3, 4, 0.0), (0, 1.0, 2, -1, None, -1, -1, -0.4), (0, 1.0, 3, -1, None, -1, -1, 0.5),
+    (0, 1.0, 4, 3, 11.5, 5, 6, 0.0), (0, 1.0, 5, -1, None, -1, -1, 0.25), (0, 1.0, 6, -1, None, -1, -1, -0.125),
+    (1, 0.5, 0, 2, 60.0, 1, 2, 0.0), (1, 0.5, 1, 0, -0.3, 3, 4, 0.0), (1, 0.5, 2, 2, 110.0, 5, 6, 0.0), (1, 0.5, 3, -1, None, -1, -1, 0.75),
+    (1, 0.5, 4, -1, None, -1, -1, 0.1), (1, 0.5, 5, -1, None, -1, -1, -0.2), (1, 0.5, 6, -1, None, -1, -1, -0.9),
+    (2, 0.25, 0, 3, 6.5, 1, 2, 0.0), (2, 0.25, 1, -1, None, -1, -1, 0.6), (2, 0.25, 2, 1, 3.5, 3, 4, 0.0), (2, 0.25, 3, -1, None, -1, -1, -0.3),
+    (2, 0.25, 4, -1, None, -1, -1, 0.3),
+]
+TREE_INPUTS, TREE_MEANS = ["return_1bar", "volume", "close", "hour"], [0.0, 2.0, 80.0, 12.0]
+
+
+def _tree_rows(spark: SparkSession, folder: str) -> tuple[TreeTable, DataFrame]:
+    bars = ind.log_returns(event_bars(spark, folder, "1h")).withColumn("hour", F.hour("ts"))
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in TREE_INPUTS])
+    return TreeTable.of_rows(spark.createDataFrame(TREES, NODES)), bars.select("symbol", "ts", values.alias("x"))
+
+
+def tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities from a table of nodes."""
+    table, rows = _tree_rows(spark, folder)
+    return rounded(table.scores(rows, ["symbol", "ts"], "x"))
+
+
+def tree_attributions(spark: SparkSession, folder: str) -> DataFrame:
+    """The two inputs that matter most for each score."""
+    table, rows = _tree_rows(spark, folder)
+    top = table.attributions(rows, ["symbol", "ts"], "x", TREE_INPUTS, TREE_MEANS, 2)
+    return rounded(top.select("symbol", "ts", F.explode("top_features").alias("feature", "effect")))
+
+
 def backtest_report(spark: SparkSession, folder: str) -> DataFrame:
     """A contrarian rule on warm 1h bars, replayed and reported."""
     bars = ind.log_returns(event_bars(spark, folder, "1h"))
@@ -74,5 +106,5 @@ def overlap_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (ml_signals, top_attributions, training_run, training_summary, backtest_report, overlap_check)
+    f.__name__: f for f in (ml_signals, top_attributions, training_run, training_summary, tree_scores, tree_attributions, backtest_report, overlap_check)
 }
