@@ -33,28 +33,40 @@ def _bar_stream(spark: SparkSession, folder: str, timeframe: str) -> DataFrame:
     return stream_parquet(spark, _bar_files(spark, folder, timeframe), BARS, files_per_batch=1)
 
 
-def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """1h bars of the event stream: what the watermark let out, and the tail a flush adds."""
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks of the events, a day's file after the other."""
     prepare(spark)
-    schema = read_table(spark, folder, "events").schema
-    ticks = stream_parquet(spark, f"{folder}/events.parquet*", schema).select(
-        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
-    emitted = drain(ticks_to_bars(ticks, "1h"), scratch(spark, "bars"))
-    whole = event_bars(spark, folder, "1h")
-    return emitted.unionByName(open_tail(whole, emitted)).drop("is_complete")
+    feed = scratch(spark, "ticks")
+    ticks = event_ticks(spark, folder)
+    for i in range(SLICES + 1):
+        part = ticks.filter(F.floor((F.day("ts") - 1) / (30 / SLICES)) == i)
+        part.coalesce(1).write.mode("append").parquet(feed)
+    return stream_parquet(spark, feed, ticks.schema, files_per_batch=1)
+
+
+def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """1h bars of the event stream, as far as the watermark has let them out; nothing is added from elsewhere."""
+    return drain(ticks_to_bars(_event_stream(spark, folder), "1h"), scratch(spark, "bars"))
+
+
+def stream_flush(spark: SparkSession, folder: str) -> DataFrame:
+    """What a flush at session end adds to the stream: the hours that it still holds open."""
+    emitted = drain(ticks_to_bars(_event_stream(spark, folder), "1h"), scratch(spark, "bars"))
+    return open_tail(event_bars(spark, folder, "1h"), emitted).drop("is_complete")
 
 
 def stream_live(spark: SparkSession, folder: str) -> DataFrame:
-    """1h bars from live 5-second bars whose prices are text; none is complete, as no hour has all 720."""
+    """1h bars from live 5-second bars whose prices are text, as far as the watermark has let them out."""
     feed = scratch(spark, "live")
     seconds = align("ts", 5)
-    event_ticks(spark, folder).groupBy("symbol", seconds.alias("start")).agg(
+    live = event_ticks(spark, folder).groupBy("symbol", seconds.alias("start")).agg(
         F.min_by("price", "ts").cast("string").alias("open"), F.max("price").cast("string").alias("high"),
         F.min("price").cast("string").alias("low"), F.max_by("price", "ts").cast("string").alias("close"),
-        F.count(F.lit(1)).cast("string").alias("volume")).withColumnRenamed("start", "ts").write.parquet(feed)
-    live = stream_parquet(spark, feed, spark.read.parquet(feed).schema)
-    emitted = drain(live_to_minutes(live, "1h"), scratch(spark, "bars"))
-    return emitted.unionByName(open_tail(event_bars(spark, folder, "1h"), emitted)).drop("is_complete")
+        F.count(F.lit(1)).cast("string").alias("volume")).withColumnRenamed("start", "ts")
+    for i in range(SLICES + 1):
+        live.filter(F.floor((F.day("ts") - 1) / (30 / SLICES)) == i).coalesce(1).write.mode("append").parquet(feed)
+    rows = stream_parquet(spark, feed, spark.read.parquet(feed).schema, files_per_batch=1)
+    return drain(live_to_minutes(rows, "1h"), scratch(spark, "bars"))
 
 
 def stream_resample_early(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,5 +127,5 @@ def stream_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        stream_bars, stream_live, stream_resample_early, stream_features, stream_regime, stream_latest, stream_topics, stream_signals)
+        stream_bars, stream_flush, stream_live, stream_resample_early, stream_features, stream_regime, stream_latest, stream_topics, stream_signals)
 }
