@@ -35,6 +35,8 @@ PIECES = "shard int, start long, document long, doc_id long, whole boolean, n lo
 #: characters that are no white space, and before a stop after an ASCII letter or digit. Used for texts with
 #: characters that mark cuts.
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z0-9])(?=[.,])")
+#: Parts that are coded alike as lines of one text: what comes before and after them are line feeds of their own.
+LINE = re.compile(r"[ \n]?\S(?:[^\n]*\S)?")
 _KEPT_PARTS = 400_000
 
 
@@ -91,30 +93,49 @@ class PartCoder:
     """
 
     def __init__(self, vocabulary: str) -> None:
-        self.coder, self.parts, self.ids = tokenizer(vocabulary), _Parts(), np.zeros(1 << 16, np.uint32)
+        self.coder, self.parts, self.ids, self.used = tokenizer(vocabulary), _Parts(), np.zeros(1 << 16, np.uint32), 0
         # by number: begin, size, the least kind of end that the part must follow (0: no cut is safe), kind of its own end
         self.table = np.zeros((4, 0), np.int64)
+        feed = self.coder.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Where in the store the ids begin."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(self.used, np.uint32)])
+        self.ids[at:self.used] = ids
+        return at
 
     def _learn(self) -> None:
         parts = self.parts.fresh[self.table.shape[1] - len(self.parts):] if len(self.parts) > self.table.shape[1] else []
         if not parts:
             return
-        coded = [e.ids for e in self.coder.encode_batch_fast(parts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        used = int(self.table[:2, -1].sum()) if self.table.shape[1] else 0
-        ends = used + np.cumsum(sizes)
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.zeros(int(ends[-1]), np.uint32)])
-        self.ids[used:ends[-1]] = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+        begins, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        lines = [i for i, p in enumerate(parts) if LINE.fullmatch(p)] if self.feed is not None else []
+        others = range(len(parts))
+        if lines:  # one text of a line each; the line feed's id stands before each, and belongs to those that begin with it
+            text = "".join(["\n" + parts[i].removeprefix("\n") for i in lines])
+            ids = np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            feeds = np.flatnonzero(ids == self.feed)
+            if len(feeds) == len(lines):
+                first = feeds + np.array([parts[i][0] != "\n" for i in lines])
+                begins[lines], sizes[lines] = self._store(ids) + first, np.append(feeds[1:], len(ids)) - first
+                others = sorted(set(others).difference(lines))
+        if others:
+            coded = [e.ids for e in self.coder.encode_batch_fast([parts[i] for i in others], add_special_tokens=False)]
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            at = self._store(np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum())))
+            begins[others], sizes[others] = at + np.cumsum(size) - size, size
         before = [(2 if p[0] in ".," else 1 if p[0] in " \n" and len(p) > 1 and not p[1].isspace() else 0) if p else 0 for p in parts]
         after = [(2 if p[-1].isascii() and p[-1].isalnum() else 0 if p[-1].isspace() else 1) if p else 0 for p in parts]
-        self.table = np.concatenate([self.table, np.stack([ends - sizes, sizes, np.array(before), np.array(after)])], axis=1)
+        self.table = np.concatenate([self.table, np.stack([begins, sizes, np.array(before), np.array(after)])], axis=1)
 
     def _numbers(self, parts: list[str]) -> np.ndarray:
         return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        kept = len(self.parts)
+        kept, used = len(self.parts), self.used
         cut = [_at_marks(text) for text in texts]
         numbers = [self._numbers(parts) for parts in cut]
         self._learn()
@@ -133,7 +154,7 @@ class PartCoder:
         if len(self.parts) > _KEPT_PARTS:
             for part in self.parts.fresh:
                 del self.parts[part]
-            self.table = self.table[:, :kept]
+            self.table, self.used = self.table[:, :kept], used
         self.parts.fresh = []
         return out
 
