@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.columns import materialize
+from tidebars.llm.columns import discard, materialize
 
 
 FEW = 250_000
@@ -34,8 +34,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"))
         small = (large.select(F.col("hi").alias("n"), F.col("lo").alias("v")).join(lowest, "n").filter("v > m")
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")))
-        edges = materialize(small.unionByName(lowest.select(F.col("n").alias("hi"), F.col("m").alias("lo"))).distinct())
+        former, edges = edges, materialize(small.unionByName(lowest.select(F.col("n").alias("hi"), F.col("m").alias("lo"))).distinct())
         now = _state(edges)
+        discard(former)
         if now == state:
             break
         state = now

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.columns import drop_ids, materialize, text_or_empty
+from tidebars.llm.columns import discard, drop_ids, materialize, text_or_empty
 from tidebars.llm.components import components
 from tidebars.llm.text_arrays import WordHashes, hashes_of, lower_words, shingle_set
 
@@ -72,21 +72,17 @@ def _sets(shingle: int):
         known = WordHashes()
         for batch in batches:
             grams = [shingle_set(hashes_of(lower_words(text), known), shingle).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc"], "grams": grams})
+            yield pd.DataFrame({"doc": batch["doc"], "again": batch["again"], "grams": grams})
     return run
 
 
-def _signatures(permutations: int, band: int):
-    """Bands of the given sets, and the low bytes of more minima and maxima to compare pairs by."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
-                grams = [np.asarray(g, np.int64).view(np.uint64) for g in part["grams"]]
-                yield pd.DataFrame({"doc": part["doc"], "size": [len(g) for g in grams],
-                                    "marks": [np.concatenate(min_max(g, *_permutations(MARKS // 2))).astype(np.uint8).view(np.int8) for g in grams],
-                                    "bands": [banded(*min_max(g, *_permutations(permutations)), band) for g in grams]})
-    return run
+def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The low bytes of more minima and maxima, which pairs are compared by before their sets are."""
+    permutations = _permutations(MARKS // 2)
+    for batch in batches:
+        marks = [np.concatenate(min_max(np.asarray(g, np.int64).view(np.uint64), *permutations)).astype(np.uint8).view(np.int8)
+                 for g in batch["grams"]]
+        yield pd.DataFrame({"doc": batch["doc"], "marks": marks})
 
 
 def least_equal(marks: int, percent: int) -> int:
@@ -96,23 +92,32 @@ def least_equal(marks: int, percent: int) -> int:
     return int(marks * (share - 4.8 * (share * (1 - share) / marks) ** 0.5))
 
 
-def _reach(sets: DataFrame, kind: str, permutations: int, band: int) -> DataFrame:
-    """(doc, n, common, marks, bands): size, how many of the shingles any other unsettled text has too, signature, bands.
+def _reach(sets: DataFrame, percent: int) -> DataFrame:
+    """(reach_doc, texts, n, common) of the keys that may still be linked: size, and how many of the shingles another text has too.
 
-    Two sets overlap by no more than the smaller ``common``, which rules most pairs out before they are formed. A
-    key with several texts counts with the least size and the most overlap of these and without a signature.
+    Two sets overlap by no more than the smaller ``common``. A set with too few of them for any partner is left
+    out here, the rest rule pairs out before they are formed. A key with several texts counts with the least size
+    and the most overlap of these.
     """
     owners = (sets.select("doc", F.explode("grams").alias("gram")).groupBy("gram")
               .agg(F.count("*").alias("times"), F.min("doc").alias("owner")).filter("times = 1"))
     private = owners.groupBy("owner").agg(F.count("*").alias("private"))
-    signed = sets.mapInPandas(_signatures(permutations, band), f"doc {kind}, size int, marks array<byte>, bands array<long>")
-    sizes = signed.groupBy(F.col("doc").alias("reach_doc")).agg(
-        F.count("*").alias("texts"), F.min("size").alias("n"), F.max("size").alias("most"),
-        F.any_value("marks").alias("marks"), F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"))
+    sizes = sets.select("doc", F.size("grams").alias("size")).groupBy(F.col("doc").alias("reach_doc")).agg(
+        F.count("*").alias("texts"), F.min("size").alias("n"), F.max("size").alias("most"))
     return (sizes.join(private, F.col("reach_doc") == F.col("owner"), "left")
-            .select("reach_doc", "n", F.when(F.col("texts") > 1, F.col("most")).otherwise(
-                F.col("n") - F.coalesce("private", F.lit(0))).cast("long").alias("common"),
-                F.when(F.col("texts") == 1, F.col("marks")).alias("marks"), "bands"))
+            .select("reach_doc", "texts", "n", F.when(F.col("texts") > 1, F.col("most")).otherwise(
+                F.col("n") - F.coalesce("private", F.lit(0))).cast("long").alias("common"))
+            .filter(F.col("common") * 100 >= F.col("n") * percent))
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree well enough; texts without a signature do with any."""
+    left = marks.select(F.col("doc").alias("da"), F.col("marks").alias("ma"))
+    right = marks.select(F.col("doc").alias("db"), F.col("marks").alias("mb"))
+    equal = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
+    enough = F.lit(least_equal(MARKS, percent))
+    return (pairs.join(right, F.col("b") == F.col("db"), "left").join(left, F.col("a") == F.col("da"), "left")
+            .filter(F.coalesce(equal, enough) >= enough).select("a", "b"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -125,16 +130,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
 
 
-def _with_component(members: DataFrame, groups: DataFrame) -> DataFrame:
-    return members.join(groups, F.col("doc") == F.col("id"), "left").select(
-        *members.columns, F.coalesce("component", "doc").alias("component"))
+def _placed(holders: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row per bucket of every holder, with the component of the latter, which is looked up once per holder."""
+    return (holders.join(groups, F.col("doc") == F.col("id"), "left")
+            .withColumn("component", F.coalesce("component", "doc")).drop("id")
+            .select("*", F.explode("slots").alias("slot")).select("*", "slot.*").drop("slots", "slot"))
 
 
-def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of buckets whose members lie in several components."""
-    split = (_with_component(members, groups).groupBy(F.col("band").alias("open"))
-             .agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("open"))
-    return members.join(split, F.col("band") == F.col("open"), "left_semi")
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in several components, with the number of rows of the bucket."""
+    split = (placed.groupBy(F.col("band").alias("open"))
+             .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
+             .filter("x != y").select("open", "m"))
+    return placed.join(split, F.col("band") == F.col("open")).drop("open", "component")
+
+
+def _holders(rows: DataFrame, *also: str) -> DataFrame:
+    """A row per text, named by key and ``part``, with its buckets as an array: one for each band at most."""
+    return rows.groupBy("doc", "part", *also).agg(F.collect_list(F.struct("band", "turn")).alias("slots"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,
@@ -143,12 +156,12 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
 
     Equal word sequences are one class, which its smallest key stands for. Representatives that share a band
     are candidates. Each bucket is tested against its smallest member first; confirmed links are closed to
-    components, and only buckets whose members still lie in different components go on, with four times as
-    many members to test against in each round, until no untested pair of different components is left in
-    any bucket. So a large group of near copies costs one test per member, and no candidate is left out: a
-    pair is formed in the least band that it shares, and passed over only where shingles that no other
-    candidate has leave it too little to share, or where longer signatures are 4.8 deviations away from the
-    threshold. Links are confirmed on the full shingle sets.
+    components, and only buckets whose members still lie in different components go on, with about four times
+    as many members to test against in each round, whose turn a hash decides, until no untested pair of different
+    components is left in any bucket. So a large group of near copies costs one test per member, and no candidate
+    is left out: a pair is passed over only where shingles that no other candidate has leave it too little to share,
+    or where longer signatures are 4.8 deviations away from the threshold. Links are confirmed on the full shingle
+    sets. What is kept between rounds is a narrow row per text; tables are deleted once nothing reads them any more.
 
     Null and empty texts and texts of white space have no shingles, are linked with nothing and are kept. Rows
     that repeat a key are one document, which the links of any of its rows join. A row without a key
@@ -159,45 +172,58 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     rows = docs.select(F.col(key).alias("doc"), text_or_empty(text).alias("text"))
     sketches = materialize(rows.mapInPandas(_sketches(permutations, band, shingle),
                                             f"doc {kind}, n long, class binary, bands array<long>"))
-    first = (sketches.filter("n > 0 and doc is not null").groupBy("class")
-             .agg(F.min(F.struct("doc", "bands")).alias("s")).select("class", "s.doc", "s.bands"))
-    entries = first.select("doc", F.explode("bands").alias("band"))
+    heads = materialize(_heads(sketches.drop("bands")))
+    first = materialize(sketches.filter("n > 0 and doc is not null").groupBy("class")
+                        .agg(F.min(F.struct("doc", "bands")).alias("s"))
+                        .select(F.xxhash64("class").alias("part"), "s.doc", "s.bands"))
+    entries = first.select("doc", "part", F.explode("bands").alias("band"))
     shared = materialize(entries.groupBy("band").agg(F.count("*").alias("m"), F.min("doc").alias("hub"))
                          .filter("m > 1").drop("m"))
     members = materialize(entries.join(shared, "band"))
-    wanted = members.select("doc").distinct().withColumnRenamed("doc", "wanted")
-    sets = materialize(rows.join(wanted, F.col("doc") == F.col("wanted"), "left_semi").mapInPandas(
-        _sets(shingle), f"doc {kind}, grams array<long>").dropDuplicates(["doc", "grams"]))
+    often = sketches.filter("doc is not null").groupBy("doc").agg((F.count("*") > 1).alias("again"))
+    wanted = materialize(members.select("doc").distinct().join(often, "doc").withColumnRenamed("doc", "wanted"))
+    for written in (sketches, first, shared):
+        discard(written)
+    made = materialize(rows.join(wanted, F.col("doc") == F.col("wanted")).select("doc", "again", "text").mapInPandas(
+        _sets(shingle), f"doc {kind}, again boolean, grams array<long>"))
+    sets = made.filter("not again").drop("again").unionByName(  # only repeated keys can bring repeated sets
+        made.filter("again").drop("again").dropDuplicates(["doc", "grams"]))
 
-    heads = materialize(_heads(sketches.drop("bands")))
     links = materialize(_confirmed(members.filter("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
                                    .distinct(), sets, percent).unionByName(_repeated(heads)))
     groups = components(links)
-    members = materialize(_open(members.filter("doc != hub").select("band", "doc"), groups))
-    unsettled = materialize(sets.join(members.select(F.col("doc").alias("wanted")).distinct(), F.col("doc") == F.col("wanted"), "left_semi"))
-    reach = materialize(_reach(unsettled, kind, permutations, band))
-    members = materialize(members.join(reach, F.col("doc") == F.col("reach_doc")).drop("reach_doc")
-                          .withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("doc"))))
-    alike = F.aggregate(F.zip_with("marks", "ma", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
-    enough = F.lit(least_equal(MARKS, percent))
+    untested = _holders(members.filter("doc != hub").withColumn("turn", F.lit(0.0)))
+    chance = F.pmod(F.xxhash64("band", "doc", "part"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    holders = materialize(_holders(_open(_placed(untested, groups)).withColumn("turn", chance * F.col("m"))))
+    for written in (members, links):
+        discard(written)
+    unsettled = sets.join(holders.select(F.col("doc").alias("left")).distinct(), F.col("doc") == F.col("left"), "left_semi")
+    reach = materialize(_reach(unsettled, percent))
+    marks = materialize(sets.join(reach.filter("texts = 1").select("reach_doc"), F.col("doc") == F.col("reach_doc"), "left_semi")
+                        .mapInPandas(_signatures, f"doc {kind}, marks array<byte>"))
+    opened, holders = holders, materialize(holders.join(reach.drop("texts"), F.col("doc") == F.col("reach_doc")).drop("reach_doc"))
+    discard(opened)
     done, more = 0, 4
-    while not members.isEmpty():
-        here = _with_component(members, groups)
-        tested = here.filter(F.col("rank") <= done + more).select(
-            "band", F.col("doc").alias("a"), F.col("rank").alias("r"), F.col("component").alias("c"), F.col("n").alias("na"),
-            F.col("common").alias("ca"), F.col("marks").alias("ma"), F.col("bands").alias("ba"))
+    while not holders.isEmpty():
+        here = _placed(holders, groups)
+        tested = here.filter(F.col("turn") < done + more).select(
+            "band", F.col("doc").alias("a"), F.col("turn").alias("t"), F.col("component").alias("c"), F.col("n").alias("na"),
+            F.col("common").alias("ca"))
         pairs = (tested.join(here.withColumnRenamed("doc", "b"), "band")
-                 .filter((F.col("rank") > F.col("r")) & (F.col("component") != F.col("c"))
-                         & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
-                         & (F.col("band") == F.array_min(F.array_intersect("bands", "ba")))  # once per pair
-                         & (F.coalesce(alike, enough) >= enough))
+                 .filter(((F.col("turn") > F.col("t")) | ((F.col("turn") == F.col("t")) & (F.col("b") > F.col("a"))))
+                         & (F.col("component") != F.col("c"))
+                         & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent))
                  .select("a", "b").distinct())
-        fresh = materialize(_confirmed(pairs, sets, percent))
+        fresh = materialize(_confirmed(_alike(pairs, marks, percent), sets, percent))
         if not fresh.isEmpty():
             groups = components(groups.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
                                 .unionByName(fresh))
         done, more = done + more, more * 4
-        members = materialize(_open(members.filter(F.col("rank") > done), groups))
+        former = holders
+        holders = materialize(_holders(_open(_placed(holders, groups).filter(F.col("turn") >= done)), "n", "common"))
+        discard(former)
+    for written in (made, reach, marks):
+        discard(written)
 
     return _labelled(heads, groups, key)
 
