@@ -131,23 +131,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _placed(holders: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row per bucket of every holder, with the component of the latter, which is looked up once per holder."""
+    """A row per circle of every holder, with the component of the latter, which is looked up once per holder."""
     return (holders.join(groups, F.col("doc") == F.col("id"), "left")
             .withColumn("component", F.coalesce("component", "doc")).drop("id")
             .select("*", F.explode("slots").alias("slot")).select("*", "slot.*").drop("slots", "slot"))
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """The rows of buckets whose members lie in several components, with the number of rows of the bucket."""
-    split = (placed.groupBy(F.col("band").alias("open"))
+    """The rows of circles whose members lie in several components, with the number of rows of the circle."""
+    split = (placed.groupBy(F.col("hub").alias("open"))
              .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
              .filter("x != y").select("open", "m"))
-    return placed.join(split, F.col("band") == F.col("open")).drop("open", "component")
+    return placed.join(split, F.col("hub") == F.col("open")).drop("open", "component")
 
 
 def _holders(rows: DataFrame, *also: str) -> DataFrame:
-    """A row per text, named by key and ``part``, with its buckets as an array: one for each band at most."""
-    return rows.groupBy("doc", "part", *also).agg(F.collect_list(F.struct("band", "turn")).alias("slots"))
+    """A row per text, named by key and ``part``, with its circles as an array: one for each band at most."""
+    return rows.groupBy("doc", "part", *also).agg(F.collect_list(F.struct("hub", "turn")).alias("slots"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT,
@@ -155,10 +155,11 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     """One row per input row: key, n_shingles, component_id, kept.
 
     Equal word sequences are one class, which its smallest key stands for. Representatives that share a band
-    are candidates. Each bucket is tested against its smallest member first; confirmed links are closed to
-    components, and only buckets whose members still lie in different components go on, with about four times
-    as many members to test against in each round, whose turn a hash decides, until no untested pair of different
-    components is left in any bucket. So a large group of near copies costs one test per member, and no candidate
+    are candidates. Each bucket is tested against its smallest member, its hub, first; the buckets of one hub are one
+    circle from then on, so that copies that share many bands with it take one row and not one a band. Confirmed links
+    are closed to components, and only circles whose members still lie in different components go on, with about four
+    times as many members to test against in each round, whose turn a hash decides, until no untested pair of
+    different components is left in any circle. So a large group of near copies costs one test per member, and no candidate
     is left out: a pair is passed over only where shingles that no other candidate has leave it too little to share,
     or where longer signatures are 4.8 deviations away from the threshold. Links are confirmed on the full shingle
     sets. What is kept between rounds is a narrow row per text; tables are deleted once nothing reads them any more.
@@ -179,7 +180,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     entries = first.select("doc", "part", F.explode("bands").alias("band"))
     shared = materialize(entries.groupBy("band").agg(F.count("*").alias("m"), F.min("doc").alias("hub"))
                          .filter("m > 1").drop("m"))
-    members = materialize(entries.join(shared, "band"))
+    members = materialize(entries.join(shared, "band").select("hub", "doc", "part").distinct())
     often = sketches.filter("doc is not null").groupBy("doc").agg((F.count("*") > 1).alias("again"))
     wanted = materialize(members.select("doc").distinct().join(often, "doc").withColumnRenamed("doc", "wanted"))
     for written in (sketches, first, shared):
@@ -193,7 +194,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
                                    .distinct(), sets, percent).unionByName(_repeated(heads)))
     groups = components(links)
     untested = _holders(members.filter("doc != hub").withColumn("turn", F.lit(0.0)))
-    chance = F.pmod(F.xxhash64("band", "doc", "part"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    chance = F.pmod(F.xxhash64("hub", "doc", "part"), F.lit(1 << 31)) / F.lit(float(1 << 31))
     holders = materialize(_holders(_open(_placed(untested, groups)).withColumn("turn", chance * F.col("m"))))
     for written in (members, links):
         discard(written)
@@ -207,9 +208,9 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     while not holders.isEmpty():
         here = _placed(holders, groups)
         tested = here.filter(F.col("turn") < done + more).select(
-            "band", F.col("doc").alias("a"), F.col("turn").alias("t"), F.col("component").alias("c"), F.col("n").alias("na"),
+            "hub", F.col("doc").alias("a"), F.col("turn").alias("t"), F.col("component").alias("c"), F.col("n").alias("na"),
             F.col("common").alias("ca"))
-        pairs = (tested.join(here.withColumnRenamed("doc", "b"), "band")
+        pairs = (tested.join(here.withColumnRenamed("doc", "b"), "hub")
                  .filter(((F.col("turn") > F.col("t")) | ((F.col("turn") == F.col("t")) & (F.col("b") > F.col("a"))))
                          & (F.col("component") != F.col("c"))
                          & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent))
