@@ -146,6 +146,39 @@ def test_online_scores_repair_seams(spark):
     same([z[0] for z in got["_z"]], loops.online_scores(pdf["close"].to_numpy(), np.arange(5000) * 5.0), 1e-7)
 
 
+def test_online_scores_repair_takes_few_turns(spark, monkeypatch):
+    """Where every seam of 18 blocks disagrees, turns do not grow with the blocks, and each writes what it redoes."""
+    pdf = walk(9000)
+    redone, retrace = [], on._retrace
+
+    def counted(rows, runs, *rest):
+        redone.append(runs.count())
+        return retrace(rows, runs, *rest)
+
+    monkeypatch.setattr(on, "_retrace", counted)
+    rows = frame(spark, pdf).withColumn("v", F.array("close"))
+    got = collect(on.running_scores(rows, "v", [False], SERIES, block_rows=512, burn_in=25), "_z")
+    assert len(got) == 9000
+    same([z[0] for z in got["_z"]], loops.online_scores(pdf["close"].to_numpy(), np.arange(9000) * 5.0), 1e-9)
+    assert 1 <= len(redone) <= 3 and redone[0] >= 15
+
+
+def test_seam_runs(spark):
+    """Unbroken runs begin with what the block before them ends with; later turns take following blocks along."""
+    at = pd.Timestamp("2024-01-01").to_pydatetime()
+    state = lambda m: [30.0, m, 1.0]
+    made = [("a", 0, state(0.0), state(1.0)), ("a", 1, state(9.0), state(2.0)), ("a", 2, state(9.0), state(3.0)),
+            ("a", 3, state(3.0), state(4.0)), ("a", 4, state(4.0), state(5.0)), ("a", 5, state(9.0), state(6.0)),
+            ("b", 0, state(0.0), state(1.0)), ("b", 1, state(1.0), state(2.0))]
+    ends = spark.createDataFrame([(*row, at) for row in made],
+                                 f"symbol string, {on.BLOCK} long, _begin array<double>, _end array<double>, _last timestamp")
+    found = lambda ahead: {(r["symbol"], r[on.BLOCK], r["_run"], tuple(r["_given"] or ()))
+                           for r in on._runs(ends, ["symbol"], ahead).collect()}
+    assert found(0) == {("a", 1, 1, (30.0, 1.0, 1.0)), ("a", 2, 1, ()), ("a", 5, 5, (30.0, 5.0, 1.0))}
+    assert found(1) == found(0) | {("a", 3, 1, ())}
+    assert found(3) == {("a", 1, 1, (30.0, 1.0, 1.0)), *[("a", i, 1, ()) for i in (2, 3, 4, 5)]}
+
+
 def test_feature_specific_classes(spark):
     pdf = walk(60)
     layout = ["rsi_14", "return_1bar", "is_asian_session", "macd_line", "bb_width", "hour_of_day"]

@@ -2,13 +2,16 @@
 
 The update is not linear, so rows of a series have to be followed one after the other. A task does
 that for one block and all vector positions at once. A block starts far enough ahead of its rows for
-its statistics to forget how they began, and that is then verified: where two neighbouring blocks
-disagree at their seam, the later one is run again from the earlier one's end until none does.
+its statistics to forget how they began, and that is then verified: where neighbouring blocks disagree at
+their seams, each unbroken run of such blocks is followed again from the end before it, as one stream of rows
+through one task. Later turns take more blocks after a run along, twice as many each time, so that the number of
+turns grows with the logarithm of a series at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -97,19 +100,20 @@ class _Stats:
         return out
 
 
+def _logged(vectors: pd.Series, logs: np.ndarray) -> np.ndarray:
+    values = np.stack([np.asarray(v, float) for v in vectors])
+    values[:, logs] = np.log(np.maximum(values[:, logs], 1e-10))
+    return values
+
+
 def _follow(group: pd.DataFrame, logs: np.ndarray, ts: str) -> pd.DataFrame:
     """Scores of a block's own rows, with the statistics before the first and after the last of them."""
     group = group.sort_values(ts, kind="stable")
     if group[OWN].any():  # nothing after the last own row may enter
         group = group.iloc[: np.flatnonzero(group[OWN])[-1] + 1]
-    values = np.stack([np.asarray(v, float) for v in group["_vec"]])
-    values[:, logs] = np.log(np.maximum(values[:, logs], 1e-10))
+    values = _logged(group["_vec"], logs)
     times, own = group[ts].to_numpy(), group[OWN].to_numpy()
-    given = group["_given"].iloc[0]
-    if given is None:
-        stats = _Stats(values.shape[1])
-    else:
-        stats = _Stats.unpack(given, group["_given_ts"].to_numpy()[0])
+    stats = _Stats(values.shape[1])
     scores, begin = [], None
     for x, at, mine in zip(values, times, own):
         if mine and begin is None:
@@ -117,56 +121,112 @@ def _follow(group: pd.DataFrame, logs: np.ndarray, ts: str) -> pd.DataFrame:
         stats.update(x, at)
         if mine:
             scores.append(stats.score(x).tolist())
-    kept = group[own].drop(columns=["_vec", OWN, "_given", "_given_ts"])
+    kept = group[own].drop(columns=["_vec", OWN])
     blank = [None] * (len(kept) - 1)
     return kept.assign(_z=scores, _begin=[begin, *blank] if len(kept) else [],
                        _end=[*blank, stats.pack()] if len(kept) else [])
 
 
-def _trace(rows: DataFrame, keys: list[str], ts: str, logs: np.ndarray) -> DataFrame:
+def _resume(keys: list[str], ts: str, logs: np.ndarray):
+    """As ``_follow`` for sorted rows of runs: statistics go on from block to block and from batch to batch."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = block = stats = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            values, times = _logged(batch["_vec"], logs), batch[ts].to_numpy()
+            scores, begins, ends = [], [None] * len(batch), [None] * len(batch)
+            names = [*keys, "_run", BLOCK]
+            segment = batch.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(segment)) + 1), len(batch)]
+            for low, high in zip(cuts, cuts[1:]):
+                first = batch.iloc[low]
+                name, number = repr([first[n] for n in names[:-1]]), first[BLOCK]
+                if name != here:
+                    here, block, stats = name, None, _Stats.unpack(first["_given"], first["_given_ts"].to_datetime64())
+                if number != block:
+                    block, begins[low] = number, stats.pack()
+                for x, at in zip(values[low:high], times[low:high]):
+                    stats.update(x, at)
+                    scores.append(stats.score(x).tolist())
+                ends[high - 1] = stats.pack()  # of several in a block, the one with the highest count is the last
+            yield batch[[*keys, BLOCK, ts]].assign(_z=scores, _begin=begins, _end=ends)
+    return run
+
+
+def _traced_schema(rows: DataFrame, keys: list[str], ts: str) -> str:
     types = dict(rows.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"{BLOCK} long", f"`{ts}` timestamp",
-                        "_z array<double>", "_begin array<double>", "_end array<double>"])
-    narrow = rows.select(*keys, BLOCK, ts, "_vec", OWN, "_given", "_given_ts")
-    return spread(narrow, *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(lambda g: _follow(g, logs, ts), schema)
+    return ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"{BLOCK} long", f"`{ts}` timestamp",
+                      "_z array<double>", "_begin array<double>", "_end array<double>"])
 
 
-def _seams(traced: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Blocks whose start differs from the end of the block before them, with that end."""
-    per_block = traced.groupBy(*keys, BLOCK).agg(
-        F.max("_begin").alias("_begin"), F.max("_end").alias("_end"), F.max(ts).alias("_last"))
+def _trace(rows: DataFrame, keys: list[str], ts: str, logs: np.ndarray) -> DataFrame:
+    narrow = rows.select(*keys, BLOCK, ts, "_vec", OWN)
+    return spread(narrow, *keys, BLOCK).groupBy(*keys, BLOCK).applyInPandas(
+        lambda g: _follow(g, logs, ts), _traced_schema(rows, keys, ts))
+
+
+def _retrace(rows: DataFrame, runs: DataFrame, keys: list[str], ts: str, logs: np.ndarray) -> DataFrame:
+    """The blocks of ``runs`` anew, a run after the other in a task, of which it holds one batch at a time."""
+    again = rows.filter(F.col(OWN)).join(runs, [*keys, BLOCK]).select(*keys, "_run", BLOCK, ts, "_vec", "_given", "_given_ts")
+    return (spread(again, *keys, "_run").sortWithinPartitions(*keys, "_run", ts)
+            .mapInPandas(_resume(keys, ts, logs), _traced_schema(rows, keys, ts)))
+
+
+def _ends(traced: DataFrame, keys: list[str], ts: str, turn: int) -> DataFrame:
+    """A row per block: the statistics at its begin and end, its last time, and the turn that found them."""
+    return traced.groupBy(*keys, BLOCK).agg(F.max("_begin").alias("_begin"), F.max("_end").alias("_end"),
+                                            F.max(ts).alias("_last")).withColumn("_turn", F.lit(turn))
+
+
+def _runs(ends: DataFrame, keys: list[str], ahead: int) -> DataFrame:
+    """Blocks whose start differs from the end of the block before them and up to ``ahead`` after such ones.
+
+    ``_run`` is the first block of an unbroken run; that block has the statistics to begin with.
+    """
     w = Window.partitionBy(*keys).orderBy(BLOCK)
-    linked = per_block.withColumns({"_given": F.lag("_end").over(w), "_given_ts": F.lag("_last").over(w)})
+    linked = ends.withColumns({"_given": F.lag("_end").over(w), "_given_ts": F.lag("_last").over(w)})
     size = (F.size("_given") - 1) / 2
     # means are compared on the scale of the deviation, variances on their own
     worst = F.array_max(F.transform(F.slice("_given", F.lit(2), F.size("_given") - 1), lambda g, i: (
         F.abs(g - F.element_at("_begin", (i + 2).cast("int")))
         / (F.when(i < size, F.sqrt(F.greatest(F.element_at("_given", (i + 2 + size).cast("int")), F.lit(0.0)))
                   + F.abs(g)).otherwise(F.abs(g)) + 1e-12))))
-    return linked.filter(F.col("_given").isNotNull()).filter(worst > SEAM_TOLERANCE).select(
-        *keys, BLOCK, "_given", "_given_ts")
+    wrong = F.when(F.col("_given").isNotNull(), worst > SEAM_TOLERANCE).otherwise(False)
+    marked = linked.withColumn("_wrong", wrong).withColumn("_redo", F.max("_wrong").over(w.rowsBetween(-ahead, 0)))
+    starts = F.col("_redo") & ~F.coalesce(F.lag("_redo").over(w), F.lit(False))
+    placed = marked.withColumn("_first", starts).withColumn(
+        "_run", F.last(F.when(F.col("_first"), F.col(BLOCK)), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.filter("_redo").select(*keys, BLOCK, "_run", F.when(F.col("_first"), F.col("_given")).alias("_given"),
+                                         F.when(F.col("_first"), F.col("_given_ts")).alias("_given_ts"))
 
 
 def running_scores(rows: DataFrame, vector: str, logs: Sequence[bool], keys: Sequence[str], ts: str = "ts",
                    step: int | None = None, block_rows: int = 4096, burn_in: int = BURN_IN) -> DataFrame:
-    """``rows`` plus ``_z``: every position of ``vector`` as a z-score under its running statistics."""
+    """``rows`` plus ``_z``: every position of ``vector`` as a z-score under its running statistics.
+
+    Every turn writes the blocks that it redoes and no others; which turn counts for a block is kept in a table
+    of one row per block.
+    """
     keys, mask = list(keys), np.asarray(logs, bool)
     cut = blocked(rows.select(*keys, ts, F.col(vector).alias("_vec")), back=burn_in, keys=keys, ts=ts, step=step,
                   rows=block_rows)
-    fresh = cut.withColumns({"_given": F.lit(None).cast("array<double>"), "_given_ts": F.lit(None).cast("timestamp")})
-    traced = materialize(_trace(fresh, keys, ts, mask))
+    traced = [materialize(_trace(cut, keys, ts, mask))]
+    ends = materialize(_ends(traced[0], keys, ts, 0))
     while True:
-        wrong = _seams(traced, keys, ts)
-        # a block can be redone once the block before it stands: the first wrong one of each series
-        first = materialize(wrong.groupBy(*keys).agg(F.min_by(F.struct(BLOCK, "_given", "_given_ts"), BLOCK).alias("x"))
-                            .select(*keys, "x.*"))
-        if first.isEmpty():
+        turn = len(traced)
+        runs = materialize(_runs(ends, keys, 2 ** (turn - 1) - 1))
+        if runs.isEmpty():
             break
-        again = cut.filter(F.col(OWN)).join(first, [*keys, BLOCK])
-        redone = _trace(again, keys, ts, mask)
-        kept = traced.join(first.select(*keys, BLOCK), [*keys, BLOCK], "left_anti")
-        traced = materialize(kept.unionByName(redone))
-    return rows.join(traced.select(*keys, ts, "_z"), [*keys, ts])
+        traced.append(materialize(_retrace(cut, runs, keys, ts, mask)))
+        fresh = _ends(traced[-1], keys, ts, turn)
+        ends = materialize(ends.join(runs.select(*keys, BLOCK), [*keys, BLOCK], "left_anti").unionByName(fresh))
+    scores = traced[0].select(*keys, BLOCK, ts, "_z")
+    if len(traced) > 1:
+        parts = [t.select(*keys, BLOCK, ts, "_z", F.lit(i).alias("_turn")) for i, t in enumerate(traced)]
+        scores = reduce(DataFrame.unionByName, parts).join(ends.select(*keys, BLOCK, "_turn"), [*keys, BLOCK, "_turn"])
+    return rows.join(scores.select(*keys, ts, "_z"), [*keys, ts])
 
 
 def normalize_vectors(
