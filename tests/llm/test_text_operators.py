@@ -308,6 +308,20 @@ def test_toxicity_learns_pairs_that_sums_miss():
     assert (guess == np.array(marks[3000:], bool)).mean() > 0.97
 
 
+def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone():
+    """Toxic where both of two terms or neither occurs, so each is as frequent in either class."""
+    draw = np.random.default_rng(4)
+    rows, marks = [], []
+    for _ in range(4000):
+        one, other = draw.random() < 0.5, draw.random() < 0.5
+        words = {int(w) for w in draw.integers(100, 160, 6)} | ({1} if one else set()) | ({2} if other else set())
+        rows.append(np.array(sorted(words), np.int32))
+        marks.append(float(one == other))
+    machine = toxicity.fit(rows[:3000], np.array(marks[:3000]))
+    guess = np.array([machine.score(r) >= 0.5 for r in rows[3000:]])
+    assert (guess == np.array(marks[3000:], bool)).mean() > 0.95
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
