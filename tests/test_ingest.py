@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 import pandas as pd
 import pytest
 from conftest import collect, frame, walk
 from pyspark.sql import functions as F
 
-from tidebars.functions.records import from_record, to_record
+from tidebars.functions.records import exact_text, from_record, to_record
 from tidebars.functions.sessions import is_month_turn, session_bias, session_class, with_time_features
 from tidebars.operators import resample as rs
 from tidebars.operators import validate as v
@@ -165,3 +166,15 @@ def test_records_round_trip(spark, tmp_path):
     assert rows[0].r.hour_of_day == 0 and rows[0].r.is_month_turn is False and rows[1].r is None
     export_features(features, str(tmp_path / "out"))
     assert len(spark.read.csv(str(tmp_path / "out"), header=True).columns) == 27
+
+
+@pytest.mark.parametrize("number, text", [
+    (1.5, "1.5"), (1.23456789012345, "1.23456789012345"), (1e-9, "0.000000001"), (12345678.25, "12345678.25"), (20000000.0, "20000000"),
+    (1.2345e-17, "1.2345E-17"), (1e30, "1.0E30"), (-2e7, "-20000000"), (0.0, "0.0"), (Decimal("0.123456789012345678"), "0.123456789012345678"),
+])
+def test_records_keep_all_digits(spark, number, text):
+    """No digit of a number is lost on its way to text and back."""
+    kind = "decimal(38,18)" if isinstance(number, Decimal) else "double"
+    one = spark.createDataFrame([(number,)], f"n {kind}").select(exact_text(F.col("n")).alias("t"))
+    got = one.select("t", F.col("t").cast("double").alias("back")).first()
+    assert got["t"] == text and got["back"] == float(number)

@@ -36,6 +36,14 @@ def iso_time(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.date_format(ts, "xxx"))
 
 
+def exact_text(number: Column) -> Column:
+    """All digits of a number, without an exponent where 38 digits hold it."""
+    text = number.cast("string")
+    plain = F.regexp_replace(number.try_cast(T.DecimalType(38, 18)).cast("string"), r"\.?0+$", "")
+    same = plain.try_cast("double") == number.cast("double")
+    return F.when(text.contains("E") & same, plain).otherwise(text)
+
+
 def to_record(kind: str) -> Column:
     """The JSON text of a row of the ``kind`` table: times in ISO form, bar numbers as text, nulls kept."""
     fields = []
@@ -44,7 +52,7 @@ def to_record(kind: str) -> Column:
         if f.name == "ts":
             fields.append(iso_time(column).alias("timestamp"))
         elif f.name in TEXT_NUMBERS.get(kind, set()):
-            fields.append(column.cast(T.DecimalType(24, 6)).cast("string").alias(f.name))
+            fields.append(exact_text(column).alias(f.name))
         else:
             fields.append(column.alias(f.name))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

@@ -11,11 +11,11 @@ from tidebars.functions.records import from_record, to_record, topic
 from tidebars.operators import validate as v
 from tidebars.operators.features import compute_features
 from tidebars.plans.common import rounded
-from tidebars.schema import BARS, FEATURE_COLUMNS
+from tidebars.schema import BARS, FEATURE_COLUMNS, FEATURES
 from tidebars.sources.batches import merge_batches, merge_stats
 from tidebars.sources.csv_bars import ColumnMapping, load_csv, parse_datetime
 from tidebars.sources.driver_tables import event_bars, read_table
-from tidebars.sources.tables import export_frame, forget, fresh, latest, range_scan, write_table
+from tidebars.sources.tables import add_missing, export_frame, forget, fresh, latest, range_scan, write_table
 from tidebars.sources.tables import read_table as read_stored
 from tidebars.streaming.replay import scratch
 
@@ -178,10 +178,17 @@ def bar_records(spark: SparkSession, folder: str) -> DataFrame:
         "topic", "b.symbol", "b.ts", "b.open", "b.high", "b.low", "b.close", "b.volume", "b.is_complete")
 
 
+def feature_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature rows written as JSON records and read back."""
+    rows = add_missing(compute_features(event_bars(spark, folder, "1h")), FEATURES)
+    wire = rows.select(to_record("features").alias("record"))
+    return rounded(export_frame(wire.select(from_record("features", "record").alias("f")).select("f.*")))
+
+
 QUERIES = {
     f.__name__: f for f in (
         validate_default, validate_live, validate_historical, normalized_bars, unknown_symbols, null_profile,
         load_summary, dedupe_batches, dedupe_stats, latest_bar, range_scan_series, latest_state, feature_export,
-        datetime_formats, csv_load, table_upsert, bar_records,
+        datetime_formats, csv_load, table_upsert, bar_records, feature_records,
     )
 }

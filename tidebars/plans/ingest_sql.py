@@ -92,3 +92,4 @@ SELECT * FROM l WHERE ts > (SELECT max(ts) FROM bars) - INTERVAL '1 hour' AND sy
     "bar_records": f"""WITH {B1} SELECT concat('bar.', symbol, '.1h') AS topic, symbol, ts, open, high, low, close,
   volume, TRUE AS is_complete FROM bars""",
 }
+SQL["feature_records"] = SQL["feature_export"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars.functions.records import from_record, to_record, topic
 from tidebars.operators import hmm as hs
 from tidebars.operators import indicators as ind
 from tidebars.operators import labels as lb
@@ -15,9 +16,10 @@ from tidebars.operators.changepoint import with_change_points
 from tidebars.operators.gated import replay_while_flat
 from tidebars.operators.trades import replay, replay_grid, signal_rule
 from tidebars.plans.common import rounded
-from tidebars.schema import SERIES
+from tidebars.schema import REGIME, SERIES, SIGNALS
 from tidebars.session import materialize
 from tidebars.sources.driver_tables import event_bars, order_bars
+from tidebars.sources.tables import add_missing
 
 STEP = 3600
 LIFT = 1500.0
@@ -134,7 +136,7 @@ def regime_decision(spark: SparkSession, folder: str) -> DataFrame:
         "atr_expanding", "session_bias"))
 
 
-def regime_gate(spark: SparkSession, folder: str) -> DataFrame:
+def _gate_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Vote, persistence and gate on 1h bars, with the calendar standing in for daily states and breaks."""
     rows = materialize(rg.intraday_regime(materialize(ind.adx(ind.atr(event_bars(spark, folder, "1h"))))))
     day = F.weekday("ts")
@@ -144,11 +146,38 @@ def regime_gate(spark: SparkSession, folder: str) -> DataFrame:
     })
     state, conf = rg.combine_votes(*[F.col(c) for c in (
         "intraday_state", "intraday_conf", "hmm_state", "hmm_prob", "recent_change")])
-    out = rg.decide(rg.persist(rows.withColumns({"proposed_state": state, "vote_conf": conf})))
+    return rg.decide(rg.persist(rows.withColumns({"proposed_state": state, "vote_conf": conf})))
+
+
+def regime_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """What was voted, and what the gate makes of it."""
+    out = _gate_rows(spark, folder)
     return rounded(out.select("symbol", "ts", "proposed_state", "state", "confidence", "position_multiplier",
                               "should_trade", F.col("reason").startswith("Low").alias("low"), "session_bias"))
 
 
+def regime_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole decisions, reasons included, written as JSON records and read back."""
+    rows = add_missing(_gate_rows(spark, folder).withColumn("adx_value", F.col("adx_14")), REGIME)
+    wire = rows.select(topic("regime").alias("topic"), to_record("regime").alias("record"))
+    fields = ["symbol", "ts", "state", "confidence", "position_multiplier", "should_trade", "reason", "hmm_prob", "adx_value",
+              "atr_expanding", "session_bias"]
+    return rounded(wire.select("topic", from_record("regime", "record").alias("d")).select("topic", *[f"d.{f}" for f in fields]))
+
+
+def signal_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of the threshold rule with what they rest on, written as JSON records and read back."""
+    up = F.coalesce((F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.5))
+    direction, confidence = signal_rule(up, 1 - up)
+    rows = event_bars(spark, folder, "1h").select("symbol", "timeframe", "ts", direction.alias("direction"), confidence.alias("confidence"),
+                                                  F.lit("4h").alias("predicted_horizon"), up.alias("ensemble_prob"),
+                                                  F.create_map(F.lit("place"), up).alias("top_features"))
+    wire = add_missing(rows, SIGNALS).select(topic("signal").alias("topic"), to_record("signal").alias("record"))
+    back = wire.select("topic", from_record("signal", "record").alias("s")).select("topic", "s.*")
+    return rounded(back.select("topic", "symbol", "ts", "direction", "confidence", "predicted_horizon", "base_prob", "ensemble_prob",
+                               F.col("top_features")["place"].alias("place"), "warmup_complete"))
+
+
 def hmm_daily_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(hs.daily_features(order_bars(spark, folder)).select(
         "symbol", "ts", "realized_vol", "autocorrelation"))
@@ -294,7 +323,7 @@ QUERIES = {
     f.__name__: f for f in (
         labels_sign, labels_atr, forward_return, flat_dataset, scaled_features, sequence_windows, walk_forward_folds,
         cpcv_folds, fold_metrics, acceptance, drawdown, intraday_regime, regime_persistence, change_points,
-        regime_decision, regime_gate, hmm_daily_features, hmm_states, regime_report, transition_report, hmm_filter,
+        regime_decision, regime_gate, regime_records, signal_records, hmm_daily_features, hmm_states, regime_report, transition_report, hmm_filter,
         hmm_state_report, hmm_transition_report, trades_rule_signal, gated_trades, gated_backtest, gated_by_regime,
         trade_grid, trade_metrics, metrics_by_regime, metrics_by_direction,
     )

@@ -265,6 +265,20 @@ SELECT symbol, ts, istate AS intraday_state, {p.r('conf', 'intraday_conf')}, x A
   {p.r("round(CASE cur WHEN 'low_vol_trend' THEN 1.5 WHEN 'high_vol_trend' THEN 0.5 ELSE 1.0 END * bias * CASE WHEN chg THEN 0.7 ELSE 1 END, 3)", 'position_multiplier')},
   NOT (h BETWEEN 17 AND 21) AND vc >= 0.6 AS should_trade, vc < 0.6 AND NOT (h BETWEEN 17 AND 21) AS low,
   CAST(bias AS DOUBLE) AS session_bias FROM g""",
+    "regime_records": f"""WITH RECURSIVE {_GATE} SELECT concat('regime.', g.symbol) AS topic, g.symbol, g.ts, cur AS state,
+  {p.r('vc * CASE WHEN chg THEN 0.8 ELSE 1 END', 'confidence')},
+  {p.r("round(CASE cur WHEN 'low_vol_trend' THEN 1.5 WHEN 'high_vol_trend' THEN 0.5 ELSE 1.0 END * bias * CASE WHEN chg THEN 0.7 ELSE 1 END, 3)", 'position_multiplier')},
+  NOT (h BETWEEN 17 AND 21) AND vc >= 0.6 AS should_trade,
+  coalesce(nullif(concat_ws('; ', CASE WHEN h BETWEEN 17 AND 21 THEN 'Late NY — declining liquidity' END,
+    CASE WHEN vc < 0.6 THEN printf('Low confidence (%.2f < 0.60)', vc) END, CASE WHEN chg THEN 'Recent structural break detected' END), ''),
+    cur || ' regime — ' || CASE WHEN h = 7 THEN 'London open — breakout expected' WHEN h BETWEEN 12 AND 15 THEN 'London-NY overlap — peak liquidity'
+      WHEN h >= 22 OR h < 7 THEN 'Asian session — consolidation expected' ELSE 'Normal trading hours' END) AS reason,
+  CASE WHEN isodow(g.ts) <= 3 THEN 0.9::DOUBLE END AS hmm_prob, {p.r('x.y', 'adx_value')}, x.x AS atr_expanding, CAST(bias AS DOUBLE) AS session_bias
+FROM g JOIN x ON x.symbol = g.symbol AND x.ts = g.ts""",
+    "signal_records": f"""WITH {B1}, u AS (SELECT symbol, ts, CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS u FROM bars)
+SELECT concat('signal.', symbol) AS topic, symbol, ts, CASE WHEN greatest(u, 1 - u) <= 0.55 THEN 'neutral' WHEN u > 1 - u THEN 'long' ELSE 'short' END AS direction,
+  {p.r('CASE WHEN greatest(u, 1 - u) <= 0.55 THEN 0 ELSE greatest(u, 1 - u) END', 'confidence')}, '4h' AS predicted_horizon,
+  CAST(NULL AS DOUBLE) AS base_prob, {p.r('u', 'ensemble_prob')}, {p.r('u', 'place')}, FALSE AS warmup_complete FROM u""",
     "regime_persistence": f"""WITH RECURSIVE {_PERSIST}
 SELECT b.symbol, b.ts, b.proposed_state, st.cur AS state FROM b JOIN st USING (symbol, rn)""",
     "hmm_daily_features": f"""WITH {p.order_bars()}, {p.numbered()},
