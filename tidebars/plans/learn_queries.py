@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tidebars.operators import indicators as ind
 from tidebars.operators.features import compute_features
-from tidebars.operators.labels import attach_returns, sign_label
+from tidebars.operators.labels import attach_returns, chronological_position, sign_label
 from tidebars.operators.models import EnsembleConfig, fit_ensemble, run_summary, train_run
 from tidebars.operators.splits import periods_overlap
 from tidebars.operators.trees import NODES, TreeTable
 from tidebars.plans.common import rounded
 from tidebars.plans.pipelines import backtest
-from tidebars.schema import SERIES
+from tidebars.schema import SERIES, WARMUP_BARS
 from tidebars.session import materialize
 from tidebars.sources.driver_tables import event_bars, order_bars
 
@@ -88,9 +88,9 @@ def tree_attributions(spark: SparkSession, folder: str) -> DataFrame:
 
 def backtest_report(spark: SparkSession, folder: str) -> DataFrame:
     """A contrarian rule on warm 1h bars, replayed and reported."""
-    bars = ind.log_returns(event_bars(spark, folder, "1h"))
+    bars = chronological_position(ind.log_returns(event_bars(spark, folder, "1h")))
     side = F.when(F.col("return_5bar") < -1, "long").when(F.col("return_5bar") > 1, "short").otherwise("neutral")
-    signal = bars.withColumns({"direction": side, "warmup_complete": F.col("ts") >= F.lit(datetime(2024, 1, 4))})
+    signal = bars.withColumns({"direction": side, "warmup_complete": F.col("position") + 1 >= WARMUP_BARS})
     bars = bars.withColumns({p: F.col(p) + 500 for p in ("open", "high", "low", "close")})
     report = backtest(bars, signal, "1h", spread=0.3)[1]
     return report.select("symbol", "bars_processed", "start_date", "end_date", "signals_generated", "trade_count",

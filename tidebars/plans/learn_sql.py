@@ -8,7 +8,7 @@ from tidebars.plans.series_sql import B1
 
 _W = "(PARTITION BY symbol ORDER BY ts)"
 _REPORT = f"""{B1}, {_LR},
-sg AS (SELECT symbol, ts, rn, open + 500 AS open, close + 500 AS close, ts >= TIMESTAMP '2024-01-04' AS warm,
+sg AS (SELECT symbol, ts, rn, open + 500 AS open, close + 500 AS close, rn >= 49 AS warm,
   CASE WHEN r5 < -1 THEN 'long' WHEN r5 > 1 THEN 'short' END AS side, lead(open + 500) OVER {_W} AS nopen FROM rt),
 cd AS (SELECT *, side IS NOT NULL AND nopen > 0 AND warm AS cand FROM sg),
 hold AS (
