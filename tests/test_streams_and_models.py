@@ -241,3 +241,17 @@ def test_trees_as_a_table(spark):
     plan = table.attributions(data, ["k"], "x", list("abcde"), means)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == data._jdf.queryExecution().executedPlan().toString().count("Exchange")
     assert table.scores(data.limit(0), ["k"], "x").count() == 0
+
+
+def test_stream_bars_give_every_hour_of_events_over_several_months(spark, tmp_path):
+    from tidebars.plans.stream_queries import stream_bars
+    from tidebars.sources.driver_tables import event_bars
+
+    times = pd.date_range("2024-01-28 10:07", "2024-03-05 09:59", freq="97min")
+    events = pd.DataFrame({"event_type": ["click", "view"] * (len(times) // 2), "ts": times[:len(times) // 2 * 2]})
+    events["value"] = np.arange(len(events)) % 13 * 1.5
+    spark.createDataFrame(events).write.parquet(str(tmp_path / "events.parquet"))
+    numbers = ["open", "high", "low", "close", "volume"]
+    got, wanted = (collect(f(spark, str(tmp_path)), *numbers) for f in (stream_bars, event_bars))
+    assert list(got.ts) == list(wanted.ts) and list(got.symbol) == list(wanted.symbol)
+    same(got[numbers], wanted[numbers])

@@ -13,7 +13,7 @@ from tidebars.sources.driver_tables import event_bars, event_ticks, read_table
 from tidebars.streaming.features import features_stream, regime_stream
 from tidebars.streaming.publish import append_to, as_records, fan_out, upsert_latest
 from tidebars.streaming.replay import drain, drain_batches, scratch, stream_parquet
-from tidebars.streaming.resample import live_to_minutes, open_tail, resample_stream_early, ticks_to_bars
+from tidebars.streaming.resample import live_to_minutes, open_tail, resample_stream_early, session_end, ticks_to_bars
 from tidebars.streaming.signals import decisions, signal_handler
 
 SLICES = 3
@@ -33,20 +33,24 @@ def _bar_stream(spark: SparkSession, folder: str, timeframe: str) -> DataFrame:
     return stream_parquet(spark, _bar_files(spark, folder, timeframe), BARS, files_per_batch=1)
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Ticks of the events, a day's file after the other."""
+def _event_stream(spark: SparkSession, folder: str, closing: bool = False) -> DataFrame:
+    """Ticks of the events in files of one span of time after the other; ``closing`` ends the session after the last."""
     prepare(spark)
     feed = scratch(spark, "ticks")
     ticks = event_ticks(spark, folder)
+    first, last = ticks.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    span = ((last or 0) - (first or 0)) // (SLICES + 1) + 1
     for i in range(SLICES + 1):
-        part = ticks.filter(F.floor((F.day("ts") - 1) / (30 / SLICES)) == i)
+        part = ticks.filter(F.floor((F.unix_micros("ts") - F.lit(first or 0)) / F.lit(span)) == i)
         part.coalesce(1).write.mode("append").parquet(feed)
+    if closing:
+        session_end(spark, ticks.schema).coalesce(1).write.mode("append").parquet(feed)
     return stream_parquet(spark, feed, ticks.schema, files_per_batch=1)
 
 
 def stream_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """1h bars of the event stream, as far as the watermark has let them out; nothing is added from elsewhere."""
-    return drain(ticks_to_bars(_event_stream(spark, folder), "1h"), scratch(spark, "bars"))
+    """1h bars of the event stream, whose session end lets the last hours out; nothing is added from elsewhere."""
+    return drain(ticks_to_bars(_event_stream(spark, folder, closing=True), "1h"), scratch(spark, "bars"))
 
 
 def stream_flush(spark: SparkSession, folder: str) -> DataFrame:

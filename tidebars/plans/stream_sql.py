@@ -1,4 +1,4 @@
-"""Comparison SQL of ``stream_queries``: a drained stream equals the batch result, as far as its watermark went."""
+"""Comparison SQL of ``stream_queries``: a drained stream equals the batch result, without a session end as far as its watermark went."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from tidebars.plans.series_sql import B1, SQL as SERIES_SQL, _coarse
 SQL = {
     # the watermark stands a minute (ticks) or ten seconds (live bars, which begin on a multiple of five) behind the last time
     "stream_bars": f"""WITH {B1} SELECT symbol, '1h' AS timeframe, ts, open, high, low, close, volume, TRUE AS is_complete
-FROM bars WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 minute' FROM events)""",
+FROM bars""",
     "stream_flush": f"""WITH {B1} SELECT symbol, '1h' AS timeframe, ts, open, high, low, close, volume
 FROM bars WHERE ts + INTERVAL '1 hour' > (SELECT max(ts) - INTERVAL '1 minute' FROM events)""",
     "stream_live": f"""WITH {B1}, f AS (SELECT event_type AS symbol, time_bucket(INTERVAL '5 seconds', ts) AS b FROM events GROUP BY 1, 2),

@@ -1,7 +1,8 @@
 """Resampling of bar streams.
 
 ``resample_stream`` leaves completeness to the watermark: a period is emitted once, after the
-watermark has passed it; bars that come later are dropped. ``resample_stream_early`` emits a period
+watermark has passed it; bars that come later are dropped. A feed that ends with ``session_end`` lets
+out what is still open. ``resample_stream_early`` emits a period
 with its last expected bar and the partial one when a bar of another period arrives, as a live feed
 wants it; a bar that comes later opens its period again.
 """
@@ -11,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebars.functions.bars import align
@@ -20,6 +22,7 @@ from tidebars.operators.resample import check_pair, resample
 from tidebars.schema import BARS, timeframe_minutes
 
 LIVE_SECONDS = 5  # a live feed sends 5-second bars, which are no timeframe of their own
+SESSION_END = "9999-12-31 00:00:00"  # fixed value: later than any tick
 _OUT = ("symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, "
         "volume double, is_complete boolean")
 _STATE = "period timestamp, open double, high double, low double, close double, volume double, n int"
@@ -62,6 +65,12 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str, delay: str = "1 minute") ->
     )
 
 
+def session_end(spark: SparkSession, schema: T.StructType, ts: str = "ts") -> DataFrame:
+    """The row that a feed ends with: its time moves the watermark past every period, its own never closes."""
+    return spark.range(1).select(*[
+        (F.lit(SESSION_END) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def open_tail(whole: DataFrame, emitted: DataFrame) -> DataFrame:
     """Periods of a batch result that a stream has not emitted yet: what a flush at session end gives."""
     return whole.join(emitted.select("symbol", "timeframe", "ts"), ["symbol", "timeframe", "ts"], "left_anti")
