@@ -241,6 +241,21 @@ def test_near_groups_of_chains_and_stars(spark):
     assert Counter(map(tuple, got.collect())) == near_loop(made)
 
 
+def test_near_groups_pair_few_of_many_texts_around_a_hub(spark, monkeypatch):
+    """Texts short of the threshold to their hub, whose shingles others have too: most share too little to be paired."""
+    draw = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    made = [(0, " ".join(base))]
+    for i in range(150):
+        out = set(draw.choice(120, 3 if i % 10 == 0 else 5, replace=False).tolist())
+        made.append((1 + i, " ".join(w for j, w in enumerate(base) if j not in out)))
+    paired, alike = [], minhash_dedup._alike
+    monkeypatch.setattr(minhash_dedup, "_alike", lambda pairs, *more: paired.append(pairs.count()) or alike(pairs, *more))
+    got = minhash_dedup.near_groups(spark.createDataFrame(made, "doc_id long, text string"))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == near_loop(made)
+    assert 4 * sum(paired) < 150 * 149 / 2, paired
+
+
 def test_min_max_estimates_similarity():
     draw = np.random.default_rng(3)
     a = np.unique(draw.integers(0, 1 << 63, 900).astype(np.uint64))

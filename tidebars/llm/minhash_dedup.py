@@ -18,6 +18,7 @@ SHINGLE = 5
 PERCENT = 75
 PERMUTATIONS = 144
 MARKS = 768  # minima and maxima, a byte each, by which unsettled pairs are compared before their sets are
+RARE = 64  # texts that a shingle may have for pairs to be found by it; pairs of the rest can only share more frequent ones
 BAND = 6  # values of a band; 48 bands: a pair of similarity 0.75 shares none with probability 8e-5, one of 0.8 5e-7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,22 +93,50 @@ def least_equal(marks: int, percent: int) -> int:
     return int(marks * (share - 4.8 * (share * (1 - share) / marks) ** 0.5))
 
 
-def _reach(sets: DataFrame, percent: int) -> DataFrame:
-    """(reach_doc, texts, n, common) of the keys that may still be linked: size, and how many of the shingles another text has too.
+def _rare(sets: DataFrame) -> DataFrame:
+    """(gram, times, owner) of the shingles that ``RARE`` texts or fewer have."""
+    return (sets.select("doc", F.explode("grams").alias("gram")).groupBy("gram")
+            .agg(F.count("*").alias("times"), F.min("doc").alias("owner")).filter(F.col("times") <= RARE))
 
-    Two sets overlap by no more than the smaller ``common``. A set with too few of them for any partner is left
-    out here, the rest rule pairs out before they are formed. A key with several texts counts with the least size
+
+def _reach(sets: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """(reach_doc, texts, n, common, light) of the keys that may still be linked: size, how many of the shingles another
+    text has too, and (times, gram) of those that few have, rarest first.
+
+    A set with too little in common for any partner is left out. A key with several texts counts with the least size
     and the most overlap of these.
     """
-    owners = (sets.select("doc", F.explode("grams").alias("gram")).groupBy("gram")
-              .agg(F.count("*").alias("times"), F.min("doc").alias("owner")).filter("times = 1"))
-    private = owners.groupBy("owner").agg(F.count("*").alias("private"))
+    private = rare.filter("times = 1").groupBy("owner").agg(F.count("*").alias("private"))
+    light = (sets.select("doc", F.explode("grams").alias("g")).join(rare.filter("times > 1"), F.col("g") == F.col("gram"))
+             .groupBy(F.col("doc").alias("held_by")).agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("light")))
     sizes = sets.select("doc", F.size("grams").alias("size")).groupBy(F.col("doc").alias("reach_doc")).agg(
         F.count("*").alias("texts"), F.min("size").alias("n"), F.max("size").alias("most"))
     return (sizes.join(private, F.col("reach_doc") == F.col("owner"), "left")
             .select("reach_doc", "texts", "n", F.when(F.col("texts") > 1, F.col("most")).otherwise(
                 F.col("n") - F.coalesce("private", F.lit(0))).cast("long").alias("common"))
-            .filter(F.col("common") * 100 >= F.col("n") * percent))
+            .filter(F.col("common") * 100 >= F.col("n") * percent)
+            .join(light, F.col("reach_doc") == F.col("held_by"), "left").drop("held_by"))
+
+
+def _rare_pairs(reach: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle and may be linked.
+
+    Shingles are put in order, the rarest first. The first that a linked pair shares has a place in both sets after
+    which, itself included, enough are left for the overlap; so only such places are joined, at ``RARE`` rows each at
+    most. Keys with several texts take part with all their rare shingles.
+    """
+    several = F.col("texts") > 1
+    rows = (reach.join(groups, F.col("reach_doc") == F.col("id"), "left")
+            .select(F.col("reach_doc").alias("b"), F.coalesce("component", "reach_doc").alias("c"), "n", "common", several.alias("several"),
+                    F.posexplode("light").alias("at", "rare"))
+            .select("b", "c", "n", F.col("rare.gram").alias("gram"),
+                    F.when(F.col("several"), F.col("common")).otherwise(F.col("common") - F.col("at")).alias("rest"))
+            .filter(F.col("rest") * 100 >= F.col("n") * percent))
+    others = rows.select("gram", F.col("b").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    return (rows.join(others, "gram")
+            .filter((F.col("a") < F.col("b")) & (F.col("c") != F.col("ca"))
+                    & (F.least("rest", "ra") * (100 + percent) >= (F.col("n") + F.col("na")) * percent))
+            .select("a", "b").distinct())
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -145,6 +174,13 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(split, F.col("hub") == F.col("open")).drop("open", "component")
 
 
+def _joined(groups: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The components with more links (a, b)."""
+    if fresh.isEmpty():
+        return groups
+    return components(groups.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+
+
 def _holders(rows: DataFrame, *also: str) -> DataFrame:
     """A row per text, named by key and ``part``, with its circles as an array: one for each band at most."""
     return rows.groupBy("doc", "part", *also).agg(F.collect_list(F.struct("hub", "turn")).alias("slots"))
@@ -157,11 +193,14 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     Equal word sequences are one class, which its smallest key stands for. Representatives that share a band
     are candidates. Each bucket is tested against its smallest member, its hub, first; the buckets of one hub are one
     circle from then on, so that copies that share many bands with it take one row and not one a band. Confirmed links
-    are closed to components, and only circles whose members still lie in different components go on, with about four
-    times as many members to test against in each round, whose turn a hash decides, until no untested pair of
-    different components is left in any circle. So a large group of near copies costs one test per member, and no candidate
-    is left out: a pair is passed over only where shingles that no other candidate has leave it too little to share,
-    or where longer signatures are 4.8 deviations away from the threshold. Links are confirmed on the full shingle
+    are closed to components, and only circles whose members still lie in different components go on. Of their members,
+    those that share a shingle of ``RARE`` texts or fewer are paired by these, whatever their circle, where places in the
+    order of rarity leave enough to share. Pairs that share none can overlap by no more than the smaller number of
+    frequent shingles, so few texts are left: these are tested circle by circle, about four times as many members
+    in each round, whose turn a hash decides, until no untested pair of different components is left in any circle.
+    So a large group of near copies costs one test per member, linked with its hub or not, and no candidate
+    is left out: a pair is passed over only where the bounds leave it too little to share, which is exact, or where longer
+    signatures are 4.8 deviations away from the threshold. Links are confirmed on the full shingle
     sets. What is kept between rounds is a narrow row per text; tables are deleted once nothing reads them any more.
 
     Null and empty texts and texts of white space have no shingles, are linked with nothing and are kept. Rows
@@ -199,10 +238,17 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     for written in (members, links):
         discard(written)
     unsettled = sets.join(holders.select(F.col("doc").alias("left")).distinct(), F.col("doc") == F.col("left"), "left_semi")
-    reach = materialize(_reach(unsettled, percent))
+    rare = materialize(_rare(unsettled))
+    reach = materialize(_reach(unsettled, rare, percent))
+    discard(rare)
     marks = materialize(sets.join(reach.filter("texts = 1").select("reach_doc"), F.col("doc") == F.col("reach_doc"), "left_semi")
                         .mapInPandas(_signatures, f"doc {kind}, marks array<byte>"))
-    opened, holders = holders, materialize(holders.join(reach.drop("texts"), F.col("doc") == F.col("reach_doc")).drop("reach_doc"))
+    fresh = materialize(_confirmed(_alike(_rare_pairs(reach, groups, percent), marks, percent), sets, percent))
+    groups = _joined(groups, fresh)
+    frequent = reach.select("reach_doc", "n", F.when(F.col("texts") > 1, F.col("common")).otherwise(
+        F.col("common") - F.coalesce(F.size("light"), F.lit(0))).alias("common")).filter(F.col("common") * 100 >= F.col("n") * percent)
+    bounded = holders.join(frequent, F.col("doc") == F.col("reach_doc")).drop("reach_doc")
+    opened, holders = holders, materialize(_holders(_open(_placed(bounded, groups)), "n", "common"))
     discard(opened)
     done, more = 0, 4
     while not holders.isEmpty():
@@ -216,9 +262,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
                          & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent))
                  .select("a", "b").distinct())
         fresh = materialize(_confirmed(_alike(pairs, marks, percent), sets, percent))
-        if not fresh.isEmpty():
-            groups = components(groups.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-                                .unionByName(fresh))
+        groups = _joined(groups, fresh)
         done, more = done + more, more * 4
         former = holders
         holders = materialize(_holders(_open(_placed(holders, groups).filter(F.col("turn") >= done)), "n", "common"))
