@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -223,6 +224,21 @@ def test_collocations(phrase_docs, least, share, top, monkeypatch):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def test_collocations_hold_few_words_however_many_languages(monkeypatch):
+    monkeypatch.setattr(collocations, "SLICE", 1000)
+    read = []
+
+    def batches():
+        for i in range(50):
+            read.append(i)
+            yield pd.DataFrame({"lang": [f"l{i}"], "text": [" ".join(f"w{j}" for j in range(300))]})
+
+    out = collocations._counted(0)(batches())
+    first = next(out)
+    assert len(read) < 5
+    assert len(first) + sum(map(len, out)) == 50 * 300
+
+
 def test_collocations_of_odd_tables(odd_docs, no_docs):
     got = collocations.top_phrases(collocations.phrases(odd_docs, least=3))
     assert Counter(map(tuple, got.collect())) == phrase_loop([(r["lang"], r["text"]) for r in odd_docs.collect()], 3, 100, 2000)

@@ -20,7 +20,9 @@ LEAST = 100  # occurrences of a candidate
 SHARE = 100  # percent of a candidate's occurrences that a longer one must have for it to be dropped
 TOP = 2000
 MOST_BITS = 28  # of the filter that is broadcast: 32 MB
-SLICE = 1 << 20  # characters, or words, that are worked on at once
+SLICE = 1 << 20  # characters of a text, and words of all languages, that are worked on at once
+
+BATCH = 1 << 16  # rows that are handed to Spark at once
 
 _STOPS = ".,;:!?\x0a\x0b\x0c\x0d"  # fixed values: where pieces end
 _TABLE = bytes.maketrans((UPPER + _STOPS).encode(), (LOWER + "." * len(_STOPS)).encode())
@@ -61,30 +63,74 @@ def hash_word(word: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(word, seed)
 
 
-def _lines(batches: Iterator[pd.DataFrame], take: Callable[[str, list[bytes]], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
-    """Hands the words of each language to ``take``, about ``SLICE`` at a time; pieces stay whole."""
-    held: dict[str, list[bytes]] = {}
+class _Tally:
+    """Counts of the words of a language, as far as one set of them goes."""
+
+    def __init__(self) -> None:
+        self.found, self.size = Counter(), 0
+
+    def add(self, words: list[bytes]) -> None:
+        self.found.update(words)
+        self.size = 4 * len(self.found)  # a counted word takes more room than a hash
+
+
+class _Line:
+    """The words of a language as hashes of eight bytes, in one array of ``SLICE``; longer pieces make it longer."""
+
+    def __init__(self) -> None:
+        self.hashes, self.size = np.empty(1 << 12, np.uint64), 0
+
+    def add(self, words: np.ndarray) -> None:
+        end = self.size + len(words)
+        if end > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes[:self.size], np.empty(max(end, min(2 * end, SLICE)) - self.size, np.uint64)])
+        self.hashes[self.size:end] = words
+        self.size = end
+
+    def taken(self) -> np.ndarray:
+        return self.hashes[:self.size]
+
+
+def _in_parts(out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+    """The rows in batches, so that neither side holds all of them once more on their way to Spark."""
+    if out is not None:
+        for at in range(0, len(out), BATCH):
+            yield out.iloc[at:at + BATCH]
+
+
+def _lines(batches: Iterator[pd.DataFrame], make: Callable[[], _Tally | _Line], read: Callable[[str, list[bytes]], list[bytes] | np.ndarray],
+           take: Callable[[str, _Tally | _Line], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+    """Gathers what ``read`` makes of the words of each language and hands it to ``take`` when all languages together
+    hold ``SLICE``, the largest first; pieces stay whole. Words themselves are held for one text at a time."""
+    held: dict[str, _Tally | _Line] = {}
+    size = 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             for words in tokens(text):
-                held.setdefault(lang, []).extend(words)
-                if len(held[lang]) >= SLICE and (out := take(lang, held.pop(lang))) is not None:
-                    yield out
-    for lang, words in held.items():
-        if (out := take(lang, words)) is not None:
-            yield out
+                own = held.get(lang) or held.setdefault(lang, make())
+                size -= own.size
+                own.add(read(lang, words))
+                size += own.size
+                while size >= SLICE:
+                    largest = max(held, key=lambda of: held[of].size)
+                    full = held.pop(largest)
+                    size -= full.size
+                    yield from _in_parts(take(largest, full))
+                    del full
+    for lang in list(held):
+        yield from _in_parts(take(lang, held.pop(lang)))
 
 
 def _counted(seed: int):
     """(lang, word, h, n) of the words of each slice of a task."""
-    def take(lang: str, words: list[bytes]) -> pd.DataFrame:
-        found = Counter(words)
+    def take(lang: str, tally: _Tally) -> pd.DataFrame:
+        found = tally.found
         del found[b"."]
         known = _Hashes(lang, seed)
         return pd.DataFrame({"lang": lang, "word": [w.decode("utf-8", "surrogatepass") for w in found],
                              "h": np.fromiter(map(known.__getitem__, found), np.uint64, len(found)).view(np.int64), "n": list(found.values())})
 
-    return lambda batches: _lines(batches, take)
+    return lambda batches: _lines(batches, _Tally, lambda lang, words: words, take)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,35 +159,41 @@ def filter_of(keys: DataFrame, column: str = "h", most_bits: int = MOST_BITS) ->
     return Filter(bits, rows["place"].to_numpy(np.int64), rows["mask"].to_numpy(np.int64).view(np.uint64))
 
 
-def _hashed(words: list[bytes], known: dict[str, _Hashes], lang: str, seed: int) -> np.ndarray:
-    if lang not in known:
-        known[lang] = _Hashes(lang, seed)
-    return np.fromiter(map(known[lang].__getitem__, words), np.uint64, len(words))
+def _hashed(seed: int) -> Callable[[str, list[bytes]], np.ndarray]:
+    """Hashes of words; those of all languages together are forgotten past a bound."""
+    known: dict[str, _Hashes] = {}
+
+    def read(lang: str, words: list[bytes]) -> np.ndarray:
+        if lang not in known:
+            known[lang] = _Hashes(lang, seed)
+        own = known[lang]
+        hashes = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
+        if len(own) > _KEPT_WORDS // len(known):
+            del known[lang]
+        return hashes
+
+    return read
 
 
 def _pairs(seed: int, frequent):
     """(h, n) of the pairs of neighbours that are both frequent."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, _Hashes] = {}
-
-        def take(lang: str, words: list[bytes]) -> pd.DataFrame:
-            hashes = _hashed(words, known, lang, seed)
+        def take(lang: str, line: _Line) -> pd.DataFrame:
+            hashes = line.taken()
             good = frequent.value.has(hashes) & (hashes != 0)
             at = np.flatnonzero(good[:-1] & good[1:])
             pairs, times = np.unique(pair_hash(hashes[at], hashes[at + 1]), return_counts=True)
             return pd.DataFrame({"h": pairs.view(np.int64), "n": times})
 
-        return _lines(batches, take)
+        return _lines(batches, _Line, _hashed(seed), take)
     return run
 
 
 def _edges(seed: int, frequent, linked):
     """(w1..w5, n): the gram of five that begins at each word that is linked to the next; 0 where its run ends."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, _Hashes] = {}
-
-        def take(lang: str, words: list[bytes]) -> pd.DataFrame | None:
-            hashes = _hashed(words, known, lang, seed)
+        def take(lang: str, line: _Line) -> pd.DataFrame | None:
+            hashes = line.taken()
             good = frequent.value.has(hashes) & (hashes != 0)
             link = np.zeros(len(hashes) + LONGEST, bool)
             at = np.flatnonzero(good[:-1] & good[1:])
@@ -156,7 +208,7 @@ def _edges(seed: int, frequent, linked):
                 grams[on, i] = hashes[at[on] + i]
             return pd.DataFrame(dict(zip([*WORDS, "n"], _tallied(grams), strict=True)))
 
-        return _lines(batches, take)
+        return _lines(batches, _Line, _hashed(seed), take)
     return run
 
 
@@ -167,7 +219,7 @@ def _tallied(grams: np.ndarray) -> list[np.ndarray]:
         mixed = _mixed(mixed * _FACTOR + grams[:, i])
     _, first, place, times = np.unique(mixed, return_index=True, return_inverse=True, return_counts=True)
     rows = grams[first]
-    if (grams != rows[place]).any():
+    if any((grams[:, i] != rows[place, i]).any() for i in range(grams.shape[1])):
         rows, times = np.unique(grams, axis=0, return_counts=True)
     return [*rows.view(np.int64).T, times]
 
@@ -245,7 +297,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
 
     Counts of five words are the edges on the graph's unary paths, those of fewer words sums of what flows out of its
     nodes with the ends of runs; counts of single words come from the vocabulary. Null languages are ``und``, null
-    texts empty. No rows give no phrases. A piece without any stop is held whole in a task, a longer text is not.
+    texts empty. No rows give no phrases. A piece without any stop is held whole in a task, a longer text is not; of other
+    texts a task holds the hashes of ``SLICE`` words, however many languages they are in.
     Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
