@@ -447,3 +447,16 @@ def test_language_model_seats_every_context(spark):
     got = pitman_yor.score(docs, model, state).toPandas().set_index("doc_id")
     learnt = [k for k, text in rows if text != common and all(counts[f"right{j}".encode(), f"left{j}".encode()] == 2 for j in [k // 2])]
     assert len(learnt) > 50 and (got.score[learnt] - got.base_score[learnt]).mean() > 2
+
+
+def test_pitman_yor_requests_hold_each_hash_before_once():
+    draw = np.random.default_rng(4)
+    text = " ".join(f"w{i}" for i in (draw.random(30_000) ** 3 * 2000).astype(int))
+    block = pitman_yor.block_of([text], 3)
+    pairs, packed = len(block.distinct()), 0
+    for bucket, words, keys in block.parts():
+        _, hashes, lens, prev = pitman_yor._packed(block, bucket, words, keys)
+        assert (pitman_yor.many(prev) == block.hashes[block.distinct()[keys] & 0xFFFFFFFF]).all()
+        assert (pitman_yor.full(lens).sum(), len(hashes)) == (keys.stop - keys.start, 8 * (words.stop - words.start))
+        packed += len(prev)
+    assert packed < 5 * pairs

@@ -103,6 +103,32 @@ def _blocks(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[list[str]]:
         yield held
 
 
+def lean(values: np.ndarray) -> bytes:
+    """Whole numbers, most of them small, in few bytes."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return bytes([kind.itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def full(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), f"u{data[0]}").astype(np.int64)
+
+
+def few(hashes: np.ndarray) -> bytes:
+    """Hashes, many of them repeated: how many differ, these, and the place of each among them."""
+    distinct, at = np.unique(hashes, return_inverse=True)
+    return len(distinct).to_bytes(8, "little") + distinct.tobytes() + lean(at)
+
+
+def many(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, np.uint64, n, 8)[full(memoryview(data)[8 + 8 * n:])]
+
+
+def tight(values: np.ndarray) -> bytes:
+    """Fractions, many of them repeated."""
+    return zlib.compress(values.tobytes(), 1)
+
+
 COUNTS = "bucket int, words binary, lens binary, prev binary, n binary"
 
 
@@ -110,8 +136,8 @@ def _counted(buckets: int, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts in _blocks(batches, limit):
             block = block_of(texts, buckets)
-            counts = block.counts().astype(np.uint32)
-            rows = [(*_packed(block, bucket, words, keys), counts[keys].tobytes()) for bucket, words, keys in block.parts()]
+            counts = block.counts()
+            rows = [(*_packed(block, bucket, words, keys), lean(counts[keys])) for bucket, words, keys in block.parts()]
             yield pd.DataFrame(rows, columns=["bucket", "words", "lens", "prev", "n"])
     return run
 
@@ -119,8 +145,8 @@ def _counted(buckets: int, limit: int):
 def _packed(block: Block, bucket: int, words: slice, keys: slice) -> tuple:
     """A bucket's words, how many contexts each has, and the hashes of these."""
     pairs = block.distinct()[keys]
-    lens = np.bincount((pairs >> 32) - words.start, minlength=words.stop - words.start).astype(np.int32)
-    return bucket, block.hashes[words].tobytes(), lens.tobytes(), block.hashes[pairs & 0xFFFFFFFF].tobytes()
+    lens = np.bincount((pairs >> 32) - words.start, minlength=words.stop - words.start)
+    return bucket, block.hashes[words].tobytes(), lean(lens), few(block.hashes[pairs & 0xFFFFFFFF])
 
 
 _SAMPLES = "array<struct<tables:binary,root_customers:binary,root_tables:binary>>"
@@ -128,16 +154,6 @@ STATE = f"bucket int, words binary, lens binary, prev binary, counts binary, dra
 _STATE = ["bucket", "words", "lens", "prev", "counts", "drawn"]
 
 
-def lean(values: np.ndarray) -> bytes:
-    """Whole numbers, most of them small, in few bytes."""
-    kind = np.min_scalar_type(int(values.max(initial=0)))
-    return bytes([kind.itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
-
-
-def full(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), f"u{data[0]}").astype(np.int64)
-
-
 def spelled_out(state: DataFrame) -> DataFrame:
     """Adds what ``counts`` and ``drawn`` hold as plain 64-bit numbers, and the kinds of contexts; made only if read."""
     @F.pandas_udf("binary")
@@ -158,10 +174,10 @@ def spelled_out(state: DataFrame) -> DataFrame:
 
 def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """The state of a bucket out of the counts of all blocks: pairs by (word, hash before), a table each to begin with."""
-    words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(k, np.int32))
+    words = np.concatenate([np.repeat(np.frombuffer(w, np.uint64), full(k))
                             for w, k in zip(rows["words"], rows["lens"], strict=True)])
-    prev = np.concatenate([np.frombuffer(c, np.uint64) for c in rows["prev"]])
-    counts = np.concatenate([np.frombuffer(n, np.uint32) for n in rows["n"]])
+    prev = np.concatenate([many(c) for c in rows["prev"]])
+    counts = np.concatenate([full(n) for n in rows["n"]])
     order = np.lexsort((prev, words))
     words, prev = words[order], prev[order]
     first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (prev[1:] != prev[:-1])))
@@ -253,7 +269,7 @@ def _told(buckets: int):
                 ctx, holders, starts, at = _restaurants(np.frombuffer(row.prev, np.uint64), buckets)
                 tables = np.bincount(at, full(row.drawn[-1]["tables"]), len(ctx)).astype(np.int64)
                 stops = np.append(starts[1:], len(ctx))
-                yield pd.DataFrame([(int(h), row.bucket, ctx[i:j].tobytes(), tables[i:j].tobytes())
+                yield pd.DataFrame([(int(h), row.bucket, ctx[i:j].tobytes(), lean(tables[i:j]))
                                     for h, i, j in zip(holders, starts, stops, strict=True)],
                                    columns=["holder", "bucket", "ctx", "tables"])
     return run
@@ -263,9 +279,9 @@ def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Tables of a bucket's restaurants: an answer to each bucket that told some, and all of them as bucket -1."""
     parts = [np.frombuffer(c, np.uint64) for c in rows["ctx"]]
     ctx, at = np.unique(np.concatenate(parts), return_inverse=True)
-    tables = np.bincount(at, np.concatenate([np.frombuffer(t, np.int64) for t in rows["tables"]]), len(ctx)).astype(np.int64)
+    tables = np.bincount(at, np.concatenate([full(t) for t in rows["tables"]]), len(ctx)).astype(np.int64)
     ends = np.cumsum([len(p) for p in parts])
-    answers = [tables[part].tobytes() for part in np.split(at, ends[:-1])]
+    answers = [lean(tables[part]) for part in np.split(at, ends[:-1])]
     return pd.DataFrame({"holder": int(key[0]), "bucket": [*rows["bucket"], -1], "tables": [*answers, tables.tobytes()]})
 
 
@@ -286,7 +302,7 @@ def _sweep(model: Model, number: int, keep: bool):
         last, lens, counts = row["drawn"][-1], np.frombuffer(row["lens"], np.int32), full(row["counts"])
         owner = np.repeat(np.arange(len(lens)), lens)
         draw = np.random.default_rng([number, key[0]])
-        told = np.concatenate([np.frombuffer(t, np.int64) for t in answers.sort_values("holder")["tables"]])
+        told = np.concatenate([full(t) for t in answers.sort_values("holder")["tables"]])
         parent = model.root(full(last["root_customers"]), full(last["root_tables"]), totals)
         at = _restaurants(np.frombuffer(row["prev"], np.uint64), model.buckets)[3]
         tables = seat(counts, (STRENGTH + model.discounts[1] * told[at]) * parent[owner], model.discounts[1], draw)
@@ -382,8 +398,8 @@ def _answers(model: Model):
                        for s, tables, totals in zip(row["drawn"], row["restaurants"], model.totals, strict=True)]
         out, zero = [], np.zeros(1, np.int64)
         for request in asked.itertuples():
-            wanted, before = np.frombuffer(request.words, np.uint64), np.frombuffer(request.prev, np.uint64)
-            of = np.repeat(np.arange(len(wanted)), np.frombuffer(request.lens, np.int32))
+            wanted, before = np.frombuffer(request.words, np.uint64), many(request.prev)
+            of = np.repeat(np.arange(len(wanted)), full(request.lens))
             unseen = [model.root(zero, zero, totals)[0] for totals in model.totals]
             if len(state):
                 at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
@@ -401,7 +417,7 @@ def _answers(model: Model):
                 parents = [np.full(len(wanted), u) for u in unseen]
                 restaurants = [times for _ in unseen]
                 excess = [np.zeros(len(before), np.float32) for _ in unseen]
-            out.append((request.block, int(key[0]), times.tobytes(), *([x.tobytes() for x in part] for part in (parents, restaurants, excess))))
+            out.append((request.block, int(key[0]), lean(times), *([pack(x) for x in part] for pack, part in ((tight, parents), (lean, restaurants), (tight, excess)))))
         return pd.DataFrame(out, columns=["block", "bucket", "times", "parents", "restaurants", "excess"])
     return run
 
@@ -422,11 +438,11 @@ def _scored(model: Model):
         times, parents, restaurants, excess = np.empty(size, np.int64), np.empty((n, size)), np.empty((n, size), np.int64), np.empty((n, len(pairs)))
         for bucket, words, keys in block.parts():
             answer = by_bucket[bucket]
-            times[words] = np.frombuffer(answer.times, np.int64)
+            times[words] = full(answer.times)
             for i in range(n):
-                parents[i, words] = np.frombuffer(answer.parents[i], np.float64)
-                restaurants[i, words] = np.frombuffer(answer.restaurants[i], np.int64)
-                excess[i, keys] = np.frombuffer(answer.excess[i], np.float32)
+                parents[i, words] = np.frombuffer(zlib.decompress(answer.parents[i]), np.float64)
+                restaurants[i, words] = full(answer.restaurants[i])
+                excess[i, keys] = np.frombuffer(zlib.decompress(answer.excess[i]), np.float32)
         word, before = pairs >> 32, pairs & 0xFFFFFFFF
         total = sum(model.served(excess[i], times[before], restaurants[i][before], parents[i][word]) for i in range(n))
         logs = np.log10(total / n)
