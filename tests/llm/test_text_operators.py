@@ -449,6 +449,28 @@ def test_language_model_seats_every_context(spark):
     assert len(learnt) > 50 and (got.score[learnt] - got.base_score[learnt]).mean() > 2
 
 
+def test_pitman_yor_drops_what_it_shuffled(spark, docs):
+    """Messages of counts, sweeps and turns are gone once what is made of them is written, with every row scored."""
+    import time
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in [disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())] if "shuffle_" in f.getName()}
+    rows, before = docs.count(), shuffled()
+    got = pitman_yor.score(docs, *pitman_yor.train(docs, block_tokens=20_000), block_tokens=20_000)
+    assert len(got.collect()) == rows
+    time.sleep(2)
+    assert not shuffled() - before
+    row = pitman_yor.train(docs)[1].first()
+    assert len(row.before) < 0.8 * len(row.prev)
+
+
+def test_pitman_yor_words_are_parted_as_text_arrays_does():
+    said = [" \x0b A\x1cb  \x85x\u00a0y \u00c4Z\u2003q\n", "", " \t\r\x0c", "a A a\x00b"]
+    hashes, tokens, sizes = pitman_yor.numbers_of(pitman_yor._utf8(said))
+    words = [w for t in said for w in [*text_arrays.lower_words(t), b""]]
+    assert [int(hashes[t]) for t in tokens] == [pitman_yor.xxhash.xxh3_64_intdigest(w) for w in words]
+    assert list(sizes) == [len(text_arrays.lower_words(t)) + 1 for t in said] and len(set(hashes.tolist())) == len(hashes)
+
+
 def test_pitman_yor_requests_hold_each_hash_before_once():
     draw = np.random.default_rng(4)
     text = " ".join(f"w{i}" for i in (draw.random(30_000) ** 3 * 2000).astype(int))

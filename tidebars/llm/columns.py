@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.session import checkpoint_dir, materialize, prepare
 
-__all__ = ["ascii_lower", "discard", "drop_ids", "materialize", "new_folder", "prepare", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "discard", "drop_ids", "materialize", "new_folder", "prepare", "set_for", "table", "text_or_empty"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,6 +34,19 @@ def discard(written: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for the queries that are run within."""
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -59,7 +59,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of each document under a hierarchical Pitman-Yor model and a smoothed unigram."""
     docs = table(spark, sf_dir, "documents")
-    return pitman_yor.score(docs, *pitman_yor.train(docs))
+    return pitman_yor.train_and_score(docs)
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
