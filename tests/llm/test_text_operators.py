@@ -463,6 +463,15 @@ def test_pitman_yor_drops_what_it_shuffled(spark, docs):
     assert len(row.before) < 0.8 * len(row.prev)
 
 
+def test_language_model_has_buckets_as_its_input_asks(spark, odd_docs, monkeypatch):
+    """Few for a small input, however many shuffle partitions there are; with many of them pairs are learnt as well."""
+    from pyspark.sql import functions as F
+    assert pitman_yor.train(odd_docs)[0].buckets == 1
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 50)
+    assert pitman_yor.train(odd_docs.select("doc_id", F.lit("a b " * 5000).alias("text")))[0].buckets > 4
+    test_language_model_seats_every_context(spark)
+
+
 def test_pitman_yor_words_are_parted_as_text_arrays_does():
     said = [" \x0b A\x1cb  \x85x\u00a0y \u00c4Z\u2003q\n", "", " \t\r\x0c", "a A a\x00b"]
     hashes, tokens, sizes = pitman_yor.numbers_of(pitman_yor._utf8(said))
