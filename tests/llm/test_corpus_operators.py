@@ -170,6 +170,27 @@ def test_part_coder_forgets(monkeypatch):
     assert len(coder.parts) == coder.table.shape[1] <= 50
 
 
+def test_part_coder_cuts_before_stops():
+    """Words with different stops after them are one part, beyond ASCII too; what is no letter for certain is not parted."""
+    coder = token_files.PartCoder(token_files.default_vocabulary())
+    coder.encode(["été! été? été; (été) été"])
+    assert set(coder.parts) == {"été", " été", "!", "?", ";", " (été", ")"}
+    library = token_files.tokenizer(token_files.default_vocabulary())
+    signs = [chr(i) for i in (*range(1, 0x300), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0x4E00, 0x6680, 0xFEFF, 0x1F680)]
+    some = [f"a{x} b{x}.{x}\n{x}!a {x}'s {x},{x} {x}\nx{x}" for x in signs]
+    assert [x.tolist() for x in coder.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_part_coder_keeps_frequent_parts(monkeypatch):
+    """Frequent words stay remembered, also those that come when the coder is full of rare ones."""
+    monkeypatch.setattr(token_files, "_KEPT_PARTS", 50)
+    coder = token_files.PartCoder(token_files.default_vocabulary())
+    coder.encode([" ".join(f"early{i}" for i in range(45))])
+    for i in range(20):
+        coder.encode([f"the frequent words and rare{i} more{i} of{i} them{i}"])
+    assert {"the", " frequent", " words", " and"} <= set(coder.parts) and len(coder.parts) <= 50
+
+
 def test_joined_sums():
     assert token_files.joined_crc32(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
     assert token_files.joined_crc32(zlib.crc32(b"abc"), 0, 0) == zlib.crc32(b"abc")

@@ -9,6 +9,7 @@ COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 WIDTHS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 
 RUN = 256  # words between two entries of the offset table
+_DOUBLINGS = 5  # places of words are found 32 words at a time
 RARE = 64  # a width is enough for a block if at most one value in so many is wider
 _COUNTS, _WIDTHS = np.array(COUNTS), np.array(WIDTHS)
 _LIMITS = np.array([1 << w for w in WIDTHS], np.uint64)
@@ -27,57 +28,68 @@ def _selectors(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if n and values.max() < 1 << 32:
         values = values.astype(np.uint32)  # half the memory to go through
-    places = np.arange(n, dtype=np.int32)
     best = np.full(n, len(COUNTS) - 1, np.int8)
-    room = None
+    narrow = np.ones(n + COUNTS[0], bool)
     for selector in range(len(COUNTS) - 2, -1, -1):
-        if room is None or WIDTHS[selector] != WIDTHS[selector + 1]:
-            stops = np.where(values >= _LIMITS[selector], places, np.int32(n))
-            stops = np.minimum.accumulate(stops[::-1])[::-1]
-            room = stops - places
-            room[stops == n] = COUNTS[0]
-        fits = room >= COUNTS[selector]
+        np.less(values, _LIMITS[selector].astype(values.dtype), out=narrow[:n])
+        fits, held = narrow, 1
+        while held < COUNTS[selector]:  # whether all of so many values from a place on are narrow
+            step = min(held, COUNTS[selector] - held)
+            fits, held = fits[:-step] & fits[step:], held + step
+        fits = fits[:n]
         if not fits.any():
             break  # fewer bits and more values fit nowhere either
         best[fits] = selector
     return best
 
 
+def _starts(counts: np.ndarray) -> np.ndarray:
+    """The places from the first on that are reached by going on by the count of each."""
+    n = len(counts)
+    jumps = [np.append(np.minimum(np.arange(n) + counts, n), n)]
+    for _ in range(_DOUBLINGS):
+        jumps.append(jumps[-1][jumps[-1]])
+    at, some, far = 0, [], memoryview(jumps[-1])
+    while at < n:
+        some.append(at)
+        at = far[at]
+    starts = np.array(some, np.int64)
+    for jump in jumps[-2::-1]:
+        starts = np.stack([starts, jump[starts]], axis=1).ravel()
+    return starts[starts < n]
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """Words of values below 2^60, each filled with as many values as it can take."""
-    n = len(values)
     best = _selectors(values)
-    after = (np.arange(n) + _COUNTS[best]).tolist()
-    at, starts = 0, []
-    while at < n:
-        starts.append(at)
-        at = after[at]
-    starts = np.array(starts, np.int64)
+    starts = _starts(_COUNTS[best])
     chosen = best[starts]
     padded = np.concatenate([values, np.zeros(COUNTS[0], np.uint64)])
     words = chosen.astype(np.uint64) << np.uint64(60)
-    for selector in np.unique(chosen):
-        width, count = WIDTHS[selector], COUNTS[selector]
+    for selector in np.flatnonzero(np.bincount(chosen, minlength=len(COUNTS))):
+        width = WIDTHS[selector]
         if width:
             mine = np.flatnonzero(chosen == selector)
-            inside = np.arange(count)
-            parts = padded[starts[mine][:, None] + inside] << (inside * width).astype(np.uint64)
-            words[mine] |= np.bitwise_or.reduce(parts, axis=1)
+            word, at = words[mine], starts[mine]
+            for i in range(COUNTS[selector]):
+                word |= padded[at + i] << np.uint64(i * width)
+            words[mine] = word
     return words
 
 
 def unpack(words: np.ndarray) -> np.ndarray:
     """All values of the words, those that fill up the last word too."""
     chosen = (words >> np.uint64(60)).astype(np.int64)
-    ends = np.cumsum(_COUNTS[chosen])
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
-    for selector in np.unique(chosen):
-        width, count = WIDTHS[selector], COUNTS[selector]
+    counts = _COUNTS[chosen]
+    begins = np.cumsum(counts) - counts
+    out = np.zeros(int(counts.sum()), np.uint64)
+    for selector in np.flatnonzero(np.bincount(chosen, minlength=len(COUNTS))):
+        width = WIDTHS[selector]
         if width:
             mine = np.flatnonzero(chosen == selector)
-            inside = np.arange(count)
-            out[(ends[mine] - count)[:, None] + inside] = (
-                (words[mine][:, None] >> (inside * width).astype(np.uint64)) & np.uint64((1 << width) - 1))
+            word, at = words[mine], begins[mine]
+            for i in range(COUNTS[selector]):
+                out[at + i] = (word >> np.uint64(i * width)) & np.uint64((1 << width) - 1)
     return out
 
 

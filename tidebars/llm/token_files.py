@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +33,10 @@ NO_KEY, GOES_ON, ENDS = 1, 2, 4  # flags of directory entries: null key; began i
 
 PIECES = "shard int, start long, document long, doc_id long, whole boolean, n long"
 
-#: Where byte-level pre-tokenizers begin a new match in any case: before a single blank or line feed between
-#: characters that are no white space, and before a stop after an ASCII letter or digit. Used for texts with
-#: characters that mark cuts.
-CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[A-Za-z0-9])(?=[.,])")
 #: Parts that are coded alike as lines of one text: what comes before and after them are line feeds of their own.
 LINE = re.compile(r"[ \n]?\S(?:[^\n]*\S)?")
 _KEPT_PARTS = 400_000
+_CHUNK = 1 << 21  # bytes of the texts that are cut at a time, if a text is not longer
 
 
 def default_vocabulary() -> str:
@@ -59,8 +58,8 @@ def tokenizer(vocabulary: str):
 class _Parts(dict):
     """Numbers of the parts of texts seen so far; unknown ones queue up until they are encoded together."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known: Iterable[tuple[str, int]] = ()) -> None:
+        super().__init__(known)
         self.fresh: list[str] = []
 
     def __missing__(self, part: str) -> int:
@@ -69,33 +68,63 @@ class _Parts(dict):
         return number
 
 
-def _at_marks(text: str) -> list[str]:
-    """The text cut before every blank, line feed and stop; not all of these cuts are safe."""
-    if "\0" in text:
-        return CUT.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
+def _marked(*ranges: tuple[int, int]) -> np.ndarray:
+    """Whether a byte lies in one of the ranges, ends included."""
+    marks = np.zeros(256, bool)
+    for low, high in ranges:
+        marks[low:high + 1] = True
+    return marks
 
 
-def _rejoined(parts: list[str], wrong: list[int]) -> list[str]:
-    """The parts, those numbered in ``wrong`` put on the end of the part before."""
-    out, at = [], 0
-    for i in wrong:
-        out += parts[at:i]
-        out[-1] += parts[i]
-        at = i + 1
-    return out + parts[at:]
+# bytes of UTF-8; white space beyond ASCII has the encodings C2 85, C2 A0, E1 9A 80, E2 80 80-AF, E2 81 9F and E3 80 80
+_BLANK = _marked((0x0A, 0x0A), (0x20, 0x20))
+_STOP = _marked((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+_SEPARATOR = _BLANK | _STOP
+_VISIBLE = _marked((0x21, 0x7E), (0x80, 0xFF))
+_ALNUM = _marked((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_LATIN = _marked((0xC3, 0xC9))  # first bytes of U+00C0 to U+027F, letters but for two signs
+_SIGN = _marked((0x97, 0x97), (0xB7, 0xB7))  # second bytes of these signs
+_SPACE_SECOND = _marked((0x80, 0x81), (0x85, 0x85), (0x9A, 0x9A), (0xA0, 0xA0))
+_SPACE_FIRST = _marked((0xC2, 0xC2), (0xE1, 0xE3))
+_SPACE_LAST = _marked((0x80, 0xAF))
+_SPACE_BEFORE_LAST = _marked((0x80, 0x81), (0x9A, 0x9A), (0xC2, 0xC2))
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 where byte-level pre-tokenizers begin a match in any case.
+
+    These are before a single blank or line feed between characters that are no white space, and before a stop after
+    an ASCII letter or digit or a Latin letter of two bytes. Next to some characters that share bytes with white
+    space no cut is made.
+    """
+    at = np.flatnonzero(_SEPARATOR[data])
+    at = at[(at >= 2) & (at < len(data) - 2)]
+    here, last, first, after, second = data[at], data[at - 1], data[at - 2], data[at + 1], data[at + 2]
+    stop = _STOP[here] & (_ALNUM[last] | (_LATIN[first] & (last >= 0x80) & ~((first == 0xC3) & _SIGN[last])))
+    blank = (_BLANK[here] & _VISIBLE[last] & _VISIBLE[after] & ~(_SPACE_LAST[last] & _SPACE_BEFORE_LAST[first])
+             & ~(_SPACE_FIRST[after] & _SPACE_SECOND[second]))
+    return at[stop | blank]
+
+
+def _chunks(texts: pa.StringArray) -> Iterator[pa.StringArray]:
+    """Runs of texts of about ``_CHUNK`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHUNK, "right")), at + 1)
+        yield texts[at:end]
+        at = end
 
 
 class PartCoder:
     """Encodes texts by the library, each different part between safe cuts once while it is remembered.
 
-    What is remembered stays up to ``_KEPT_PARTS`` parts; later ones are forgotten after the texts that they are in.
+    Past ``_KEPT_PARTS`` remembered parts, the half of them stays that occurred in most chunks of texts lately.
     """
 
     def __init__(self, vocabulary: str) -> None:
         self.coder, self.parts, self.ids, self.used = tokenizer(vocabulary), _Parts(), np.zeros(1 << 16, np.uint32), 0
-        # by number: begin, size, the least kind of end that the part must follow (0: no cut is safe), kind of its own end
-        self.table = np.zeros((4, 0), np.int64)
+        self.table = np.zeros((3, 0), np.int64)  # by number: begin, size, chunks that it occurred in
         feed = self.coder.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
 
@@ -108,18 +137,19 @@ class PartCoder:
         return at
 
     def _learn(self) -> None:
-        parts = self.parts.fresh[self.table.shape[1] - len(self.parts):] if len(self.parts) > self.table.shape[1] else []
+        parts, self.parts.fresh = self.parts.fresh, []
         if not parts:
             return
         begins, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
         lines = [i for i, p in enumerate(parts) if LINE.fullmatch(p)] if self.feed is not None else []
         others = range(len(parts))
         if lines:  # one text of a line each; the line feed's id stands before each, and belongs to those that begin with it
-            text = "".join(["\n" + parts[i].removeprefix("\n") for i in lines])
+            own = [parts[i][0] == "\n" for i in lines]
+            text = "".join([parts[i] if feed else "\n" + parts[i] for i, feed in zip(lines, own, strict=True)])
             ids = np.array(self.coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             feeds = np.flatnonzero(ids == self.feed)
             if len(feeds) == len(lines):
-                first = feeds + np.array([parts[i][0] != "\n" for i in lines])
+                first = feeds + ~np.array(own)
                 begins[lines], sizes[lines] = self._store(ids) + first, np.append(feeds[1:], len(ids)) - first
                 others = sorted(set(others).difference(lines))
         if others:
@@ -127,36 +157,44 @@ class PartCoder:
             size = np.fromiter(map(len, coded), np.int64, len(coded))
             at = self._store(np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum())))
             begins[others], sizes[others] = at + np.cumsum(size) - size, size
-        before = [(2 if p[0] in ".," else 1 if p[0] in " \n" and len(p) > 1 and not p[1].isspace() else 0) if p else 0 for p in parts]
-        after = [(2 if p[-1].isascii() and p[-1].isalnum() else 0 if p[-1].isspace() else 1) if p else 0 for p in parts]
-        self.table = np.concatenate([self.table, np.stack([begins, sizes, np.array(before), np.array(after)])], axis=1)
-
-    def _numbers(self, parts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        self.table = np.concatenate([self.table, np.stack([begins, sizes, np.zeros_like(sizes)])], axis=1)
+
+    def _forget(self) -> None:
+        begins, sizes, uses = self.table
+        stay = np.zeros(len(uses), bool)
+        stay[np.argsort(-uses, kind="stable")[:_KEPT_PARTS // 2]] = True
+        self.parts = _Parts(zip(compress(self.parts, stay.tolist()), count()))
+        sizes = sizes[stay]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(begins[stay] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.used = len(self.ids)
+        self.table = np.stack([ends - sizes, sizes, uses[stay] // 2])
+
+    def chunks(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of a run of texts after one another, and where each text's end."""
+        for some in _chunks(texts):
+            some = pc.fill_null(pa.concat_arrays([some]), "")
+            data = np.frombuffer(some.buffers()[2] or b"", np.uint8)
+            edges = np.frombuffer(some.buffers()[1], np.int32)[some.offset:some.offset + len(some) + 1]
+            begins = np.zeros(int(edges[-1]) + 1, bool)
+            begins[_cuts(data[:edges[-1]])] = True
+            begins[edges] = True
+            begins[:edges[0]] = False
+            places = np.flatnonzero(begins).astype(np.int32)
+            parts = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), some.buffers()[2] or pa.py_buffer(b"")).dictionary_encode()
+            distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+            numbers = np.fromiter(map(self.parts.__getitem__, distinct), np.int64, len(distinct))
+            self._learn()
+            self.table[2, numbers] += 1
+            at, sizes = self.table[:2, numbers[parts.indices.to_numpy()]]
+            ends = np.append(0, np.cumsum(sizes))
+            ids = self.ids[np.repeat(at - ends[:-1], sizes) + np.arange(ends[-1])]
+            if len(self.parts) > _KEPT_PARTS:
+                self._forget()
+            yield ids, ends[np.searchsorted(places, edges[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        kept, used = len(self.parts), self.used
-        cut = [_at_marks(text) for text in texts]
-        numbers = [self._numbers(parts) for parts in cut]
-        self._learn()
-        before, after = self.table[2:]
-        for at, number in enumerate(numbers):
-            cuts = before[number[1:]]
-            wrong = np.flatnonzero((cuts == 0) | (cuts > after[number[:-1]])) + 1
-            if len(wrong):
-                numbers[at] = self._numbers(_rejoined(cut[at], wrong.tolist()))
-        self._learn()
-        out = []
-        for number in numbers:
-            begins, sizes = self.table[:2, number]
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])])
-        if len(self.parts) > _KEPT_PARTS:
-            for part in self.parts.fresh:
-                del self.parts[part]
-            self.table, self.used = self.table[:, :kept], used
-        self.parts.fresh = []
-        return out
+        return [part for ids, ends in self.chunks(pa.array(texts, pa.string())) for part in np.split(ids, ends[:-1])]
 
 
 @lru_cache(maxsize=1)
@@ -201,20 +239,25 @@ class _Writer:
 
 
 def _blocks(vocabulary: str, end_id: int, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, writer, end = part_coder(vocabulary), _Writer(TaskContext.get().partitionId(), size), np.uint32(end_id)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, writer = part_coder(vocabulary), _Writer(TaskContext.get().partitionId(), size)
         for batch in batches:
-            keys = [None if k is pd.NA else int(k) for k in batch["doc_id"].astype("Int64")]
-            for at in range(0, len(batch), 256):
-                coded = coder.encode(batch["text"].iloc[at:at + 256].tolist())
-                for key, ids in zip(keys[at:at + 256], coded, strict=True):
-                    for block in writer.add(key, np.append(ids, end)):
-                        yield pd.DataFrame({"data": [block]})
+            keys = iter(batch["doc_id"].to_pylist())
+            for ids, ends in coder.chunks(batch["text"].cast(pa.string())):
+                ids = np.insert(ids, ends, np.uint32(end_id))
+                ends = (ends + np.arange(1, len(ends) + 1)).tolist()
+                for begin, end in zip([0, *ends], ends):
+                    for block in writer.add(next(keys), ids[begin:end]):
+                        yield _row(block)
         if writer.held:
-            yield pd.DataFrame({"data": [writer.close()]})
+            yield _row(writer.close())
     return run
 
 
+def _row(block: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"data": pa.array([block], pa.binary())})
+
+
 def write_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", vocabulary: str | None = None,
               end_id: int = END_ID, block: int = BLOCK, blocks_per_file: int = BLOCKS_PER_FILE) -> None:
     """Encode every text and write the ids, ``end_id`` after each document, in ascending order of the key.
@@ -230,7 +273,7 @@ def write_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     ranged = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    (ranged.mapInPandas(_blocks(vocabulary or default_vocabulary(), end_id, block), "data binary")
+    (ranged.mapInArrow(_blocks(vocabulary or default_vocabulary(), end_id, block), "data binary")
      .select(F.col("data").cast("string").alias("value"))
      .write.option("lineSep", "\n").option("maxRecordsPerFile", blocks_per_file).text(path))
 
