@@ -296,17 +296,17 @@ class Block:
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         return simple8b.decode(self.words, self.offsets, self.places, self.escapes, begin, self.n if end is None else end)
 
-    def pieces(self) -> pd.DataFrame:
+    def pieces(self) -> dict[str, pa.Array]:
         """A row per document of the block, with the part of it that lies here."""
         goes_on = (self.flags & GOES_ON) > 0
         begins = self.begins.astype(np.int64)
-        keys = pd.array(self.keys, dtype="Int64")
-        keys[(self.flags & NO_KEY) > 0] = pd.NA
-        return pd.DataFrame({"shard": self.shard, "start": self.ids_before + begins, "document": self.docs_before + np.cumsum(~goes_on) - 1,
-                             "doc_id": keys, "whole": ~goes_on & ((self.flags & ENDS) > 0), "n": np.diff(begins, append=self.n)})
+        columns = {"shard": np.full(len(begins), self.shard, np.int32), "start": self.ids_before + begins,
+                   "document": self.docs_before + np.cumsum(~goes_on) - 1, "doc_id": pa.array(self.keys, mask=(self.flags & NO_KEY) > 0),
+                   "whole": ~goes_on & ((self.flags & ENDS) > 0), "n": np.diff(begins, append=self.n)}
+        return {name: pa.array(column) for name, column in columns.items()}
 
 
-def blocks_of(content: bytes) -> Iterator[Block]:
+def blocks_of(content: bytes | pa.Buffer) -> Iterator[Block]:
     view, at = memoryview(content), 0
     while at < len(view):
         block = Block(view[at:])
@@ -315,14 +315,14 @@ def blocks_of(content: bytes) -> Iterator[Block]:
 
 
 def _read(column: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
-                for block in blocks_of(content):
-                    pieces, ids = block.pieces(), block.ids().astype("<u4")
-                    parts = np.split(ids, block.begins[1:].astype(np.int64))
-                    pieces[column] = [zlib.crc32(part) for part in parts] if column == "crc32" else [part.astype(np.int64) for part in parts]
-                    yield pieces
+                for block in blocks_of(content.as_buffer()):
+                    parts = np.split(block.ids().astype("<u4"), block.begins[1:].astype(np.int64))
+                    values = (pa.array([zlib.crc32(part) for part in parts], pa.int64()) if column == "crc32"
+                              else pa.array([part.astype(np.int64) for part in parts], pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_pydict(block.pieces() | {column: values})
     return run
 
 
@@ -336,7 +336,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of the shard before the row and ``document`` its documents; ordered by shard and start
     the rows give all ids. A task holds one file, which the writer bounds. A folder without blocks gives no rows.
     """
-    return _files(spark, path).mapInPandas(_read("ids"), f"{PIECES}, ids array<long>")
+    return _files(spark, path).mapInArrow(_read("ids"), f"{PIECES}, ids array<long>")
 
 
 _POLYNOMIAL = 0xEDB88320  # fixed value: CRC-32, reflected
@@ -379,7 +379,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     Files are decoded block by block; sums of documents that lie in several blocks are joined. ``start`` is the
     document's place among the ids of all files.
     """
-    pieces = materialize(_files(spark, path).mapInPandas(_read("crc32"), f"{PIECES}, crc32 long"))
+    pieces = materialize(_files(spark, path).mapInArrow(_read("crc32"), f"{PIECES}, crc32 long"))
     shards = pieces.groupBy(F.col("shard").alias("s")).agg(F.sum("n").alias("ids"))
     before = shards.select("s", F.coalesce(F.sum("ids").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     one = pieces.filter("whole").select("shard", "doc_id", "start", "n", F.col("crc32").alias("ids_crc32"))
