@@ -16,7 +16,7 @@ from odd_tables import no_docs, odd_docs  # noqa: F401
 from tidebars.llm import (
     byte_bpe, components, decontaminate, exact_dedup, minhash_dedup, pitman_yor, quality, secret_ledger, text_arrays, toxicity,
 )
-from tidebars.llm.columns import materialize, new_folder
+from tidebars.llm.columns import materialize, new_folder, set_for
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -256,6 +256,22 @@ def test_near_groups_pair_few_of_many_texts_around_a_hub(spark, monkeypatch):
     assert 4 * sum(paired) < 150 * 149 / 2, paired
 
 
+def test_near_groups_grow_their_rounds_while_pairs_are_few(spark, monkeypatch):
+    """A circle that four members a round, then four times as many, would take more rounds than there is work for."""
+    draw = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    made = [(0, " ".join(base))]
+    for i in range(60):
+        out = set(draw.choice(120, 5, replace=False).tolist())
+        made.append((1 + i, " ".join(w for j, w in enumerate(base) if j not in out)))
+    tests, alike = [], minhash_dedup._alike
+    monkeypatch.setattr(minhash_dedup, "RARE", 2)
+    monkeypatch.setattr(minhash_dedup, "_alike", lambda *args: tests.append(1) or alike(*args))
+    got = minhash_dedup.near_groups(spark.createDataFrame(made, "doc_id long, text string"))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == near_loop(made)
+    assert len(tests) <= 3, len(tests)  # by rare shingles, the first members of every circle, all others
+
+
 def test_min_max_estimates_similarity():
     draw = np.random.default_rng(3)
     a = np.unique(draw.integers(0, 1 << 63, 900).astype(np.uint64))
@@ -273,6 +289,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_shuffle_nothing(spark, monkeypatch):
+    plans, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with set_for(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}):
+        got = dict(map(tuple, components.components(links).collect()))
+    assert got == dict.fromkeys(range(1, 41), 1)
+    assert len(plans) > 2 and not any("hashpartitioning" in plan for plan in plans[1:])
+
+
 def test_shingles_are_sets_of_word_runs():
     known = text_arrays.WordHashes()
     words = b"a b c d e f a b c d e f".split()

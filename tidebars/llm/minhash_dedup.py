@@ -19,6 +19,7 @@ PERCENT = 75
 PERMUTATIONS = 144
 MARKS = 768  # minima and maxima, a byte each, by which unsettled pairs are compared before their sets are
 RARE = 64  # texts that a shingle may have for pairs to be found by it; pairs of the rest can only share more frequent ones
+ROUND = 100_000  # pairs up to which a round of circles may grow faster than fourfold
 BAND = 6  # values of a band; 48 bands: a pair of similarity 0.75 shares none with probability 8e-5, one of 0.8 5e-7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,15 +141,29 @@ def _rare_pairs(reach: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree well enough; texts without a signature do with any."""
+    """The pairs (a, b) whose signatures agree well enough; texts whose signature is null do with any."""
     left = marks.select(F.col("doc").alias("da"), F.col("marks").alias("ma"))
     right = marks.select(F.col("doc").alias("db"), F.col("marks").alias("mb"))
     equal = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
     enough = F.lit(least_equal(MARKS, percent))
-    return (pairs.join(right, F.col("b") == F.col("db"), "left").join(left, F.col("a") == F.col("da"), "left")
+    return (pairs.join(right, F.col("b") == F.col("db")).join(left, F.col("a") == F.col("da"))
             .filter(F.coalesce(equal, enough) >= enough).select("a", "b"))
 
 
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of the texts that are in any pair; few pairs are broadcast, so that no other row is shuffled."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("paired")).distinct()
+    return rows.join(paired, F.col("doc") == F.col("paired"), "left_semi")
+
+
+def _fresh(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The written pairs that are links, by signature and then by their full sets."""
+    alike = materialize(_alike(pairs, _of_pairs(marks, pairs), percent))
+    links = materialize(_confirmed(alike, _of_pairs(sets, alike), percent))
+    discard(alike)
+    return links
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough."""
     left = sets.select(F.col("doc").alias("a"), F.col("grams").alias("x"))
@@ -197,7 +212,8 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     those that share a shingle of ``RARE`` texts or fewer are paired by these, whatever their circle, where places in the
     order of rarity leave enough to share. Pairs that share none can overlap by no more than the smaller number of
     frequent shingles, so few texts are left: these are tested circle by circle, about four times as many members
-    in each round, whose turn a hash decides, until no untested pair of different components is left in any circle.
+    in each round, and more after a round of few pairs, so that about ``ROUND`` come out; a hash decides whose turn
+    it is. They end when no untested pair of different components is left in any circle.
     So a large group of near copies costs one test per member, linked with its hub or not, and no candidate
     is left out: a pair is passed over only where the bounds leave it too little to share, which is exact, or where longer
     signatures are 4.8 deviations away from the threshold. Links are confirmed on the full shingle
@@ -242,9 +258,12 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     reach = materialize(_reach(unsettled, rare, percent))
     discard(rare)
     marks = materialize(sets.join(reach.filter("texts = 1").select("reach_doc"), F.col("doc") == F.col("reach_doc"), "left_semi")
-                        .mapInPandas(_signatures, f"doc {kind}, marks array<byte>"))
-    fresh = materialize(_confirmed(_alike(_rare_pairs(reach, groups, percent), marks, percent), sets, percent))
-    groups = _joined(groups, fresh)
+                        .mapInPandas(_signatures, f"doc {kind}, marks array<byte>")
+                        .unionByName(reach.filter("texts > 1").select(
+                            F.col("reach_doc").alias("doc"), F.lit(None).cast("array<byte>").alias("marks"))))
+    pairs = materialize(_rare_pairs(reach, groups, percent))
+    groups = _joined(groups, _fresh(pairs, marks, sets, percent))
+    discard(pairs)
     frequent = reach.select("reach_doc", "n", F.when(F.col("texts") > 1, F.col("common")).otherwise(
         F.col("common") - F.coalesce(F.size("light"), F.lit(0))).alias("common")).filter(F.col("common") * 100 >= F.col("n") * percent)
     bounded = holders.join(frequent, F.col("doc") == F.col("reach_doc")).drop("reach_doc")
@@ -256,14 +275,17 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
         tested = here.filter(F.col("turn") < done + more).select(
             "hub", F.col("doc").alias("a"), F.col("turn").alias("t"), F.col("component").alias("c"), F.col("n").alias("na"),
             F.col("common").alias("ca"))
-        pairs = (tested.join(here.withColumnRenamed("doc", "b"), "hub")
-                 .filter(((F.col("turn") > F.col("t")) | ((F.col("turn") == F.col("t")) & (F.col("b") > F.col("a"))))
-                         & (F.col("component") != F.col("c"))
-                         & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent))
-                 .select("a", "b").distinct())
-        fresh = materialize(_confirmed(_alike(pairs, marks, percent), sets, percent))
-        groups = _joined(groups, fresh)
-        done, more = done + more, more * 4
+        pairs = materialize(
+            tested.join(here.withColumnRenamed("doc", "b"), "hub")
+            .filter(((F.col("turn") > F.col("t")) | ((F.col("turn") == F.col("t")) & (F.col("b") > F.col("a"))))
+                    & (F.col("component") != F.col("c"))
+                    & (F.least("common", "ca") * (100 + percent) >= (F.col("n") + F.col("na")) * percent))
+            .select("a", "b").distinct())
+        made_pairs = pairs.count()
+        if made_pairs:
+            groups = _joined(groups, _fresh(pairs, marks, sets, percent))
+        discard(pairs)
+        done, more = done + more, more * max(4, ROUND // (made_pairs + 1))
         former = holders
         holders = materialize(_holders(_open(_placed(holders, groups).filter(F.col("turn") >= done)), "n", "common"))
         discard(former)
